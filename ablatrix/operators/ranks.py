@@ -44,18 +44,17 @@ def _refine(
     )
 
 
-def locate_ranks(rows: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:
-    """The element at each wanted 1-based rank of its group.
+def locate_bounds(rows: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:
+    """The bound (``at_key``, ``at_pos``) of the first ``rank`` rows of each group's order.
 
-    ``rows``: groups, ``key`` (below 2**32) and ``pos``, unique per group. ``wanted``: groups,
-    ``rank`` and ``far`` (count from the end of the order). A rank beyond the group is its last
-    element. Returns groups, ``rank``, ``far``, ``at_key`` and ``at_pos``. Passes over positions
-    run only for ranks that still fall among ties of their key.
+    ``rows``: groups, ``key`` (below 2**32) and ``pos`` (not negative), unique per group.
+    ``wanted``: groups, ``rank`` (from 1) and ``far`` (count from the end of the order). A rank
+    beyond the group takes all of it. Where every row with the bounding key is taken, ``at_pos``
+    is open-ended; positions are read only for ranks that cut through ties. Other columns of
+    ``wanted`` are kept.
     """
-    asked = [*groups, "rank", "far"]
-    wanted, _ = settle(wanted.select(*asked).distinct())
+    asked = wanted.columns
     wanted = wanted.withColumn("__left", F.col("rank"))
-
     by_high, _ = settle(
         _refine(rows, wanted, groups, F.shiftright("key", 16), "__high", True, narrow=False)
     )
@@ -63,27 +62,20 @@ def locate_ranks(rows: DataFrame, wanted: DataFrame, groups: list[str]) -> DataF
     by_key, local = settle(
         _refine(rows, by_high, [*groups, "__high"], F.col("key"), "at_key", True, narrow=True).drop("__high")
     )
-    tied, alone = by_key.filter(F.col("__n") > 1), by_key.filter(F.col("__n") == 1)
-    has_tied = any(r["__n"] > 1 for r in local) if local is not None else not tied.isEmpty()
-    has_alone = any(r["__n"] == 1 for r in local) if local is not None else not alone.isEmpty()
-    prefix, found = [*groups, "at_key"], []
-    if has_alone or not has_tied:
-        # A key with one row: that row is the answer.
-        only = rows.select(*prefix, F.col("pos").alias("at_pos"))
-        found.append(null_safe_join(only, alone.select(*prefix, "rank", "far"), prefix))
-    if has_tied:
-        block = F.shiftright("pos", 20)
-        by_block, _ = settle(_refine(rows, tied, prefix, block, "__block", False, narrow=True))
-        rows = rows.withColumn("__block", block)
-        found.append(_refine(rows, by_block, [*prefix, "__block"], F.col("pos"), "at_pos", False, narrow=True))
-    found = [f.select(*asked, "at_key", "at_pos") for f in found]
-    return settle(found[0] if len(found) == 1 else found[0].unionByName(found[1]))[0]
-
-
-def at_or_before(key: Column, pos: Column, at_key: Column, at_pos: Column) -> Column:
-    """Whether a row stands at or before the given element in (key desc, pos asc) order."""
-    return (key > at_key) | ((key == at_key) & (pos <= at_pos))
+    open_end = F.when(F.col("far"), F.lit(-1)).otherwise(F.lit(2**62)).cast("bigint")
+    whole = F.col("__left") == F.col("__n")
+    bounds = by_key.filter(whole).withColumn("at_pos", open_end).select(*asked, "at_key", "at_pos")
+    cut = by_key.filter(~whole)
+    if not (any(r["__left"] != r["__n"] for r in local) if local is not None else not cut.isEmpty()):
+        return bounds
+    prefix = [*groups, "at_key"]
+    by_block, _ = settle(_refine(rows, cut, prefix, F.shiftright("pos", 20), "__block", False, narrow=True))
+    rows = rows.withColumn("__block", F.shiftright("pos", 20))
+    by_pos = _refine(rows, by_block, [*prefix, "__block"], F.col("pos"), "at_pos", False, narrow=True)
+    return settle(bounds.unionByName(by_pos.select(*asked, "at_key", "at_pos")))[0]
 
 
-def at_or_after(key: Column, pos: Column, at_key: Column, at_pos: Column) -> Column:
-    return (key < at_key) | ((key == at_key) & (pos >= at_pos))
+def within(key: Column, pos: Column, at_key: Column, at_pos: Column, far: Column) -> Column:
+    """Whether a row lies on its side of a bound."""
+    tie = key == at_key
+    return F.when(far, (key < at_key) | (tie & (pos >= at_pos))).otherwise((key > at_key) | (tie & (pos <= at_pos)))

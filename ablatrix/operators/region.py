@@ -1,6 +1,6 @@
 """Region extraction: exact top and bottom fractions of attribution magnitudes in MLP layers.
 
-Input is a block table (ckpt, tensor, shape, block, vals). Element ``i`` of block ``b`` is flat
+Input is a block table (ckpt, tensor, shape, block, vals) and its ``layout``. Element ``i`` of block ``b`` is flat
 position ``b * block_size + i`` of its tensor. Across a checkpoint, eligible tensors are laid end to
 end in (layer, tensor) order; ``gpos`` is the position there and breaks ties, first one
 first at the top and last one first at the bottom.
@@ -9,14 +9,15 @@ first at the top and last one first at the bottom.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import naming
 from ..functions.hashing import order_hash
 from ..functions.numeric import format_k, magnitude_key
-from ..session import null_safe_join, settle
-from .ranks import at_or_after, at_or_before, locate_ranks
+from ..session import settle
+from .ranks import locate_bounds, within
 
 BLOCK_SIZE = 65_536
 # Least number of elements in a chunk, and the guard against division by zero.
@@ -50,12 +51,20 @@ def with_eligibility(meta: DataFrame, front: int = 0, back: int = 0) -> DataFram
     )
 
 
-def tensor_offsets(meta: DataFrame) -> DataFrame:
-    """Where each eligible tensor starts in its checkpoint's laid-out elements."""
-    w = Window.partitionBy("ckpt").orderBy("layer", "tensor").rowsBetween(Window.unboundedPreceding, -1)
-    return meta.filter("eligible").withColumn(
-        "offset", F.coalesce(F.sum("numel").over(w), F.lit(0).cast("bigint"))
+def with_offsets(meta: DataFrame) -> DataFrame:
+    """Add where each eligible tensor starts in its checkpoint's laid-out elements; null for others."""
+    w = (
+        Window.partitionBy("ckpt")
+        .orderBy(F.col("eligible").desc(), "layer", "tensor")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    before = F.coalesce(F.sum("numel").over(w), F.lit(0).cast("bigint"))
+    return meta.withColumn("offset", F.when(F.col("eligible"), before))
+
+
+def layout(blocks: DataFrame, front: int = 0, back: int = 0) -> DataFrame:
+    """Metadata with eligibility and offsets, evaluated once."""
+    return settle(with_offsets(with_eligibility(tensor_meta(blocks), front, back)))[0]
 
 
 def budgets(meta: DataFrame, ks: Sequence[float], chunk_floor: int = CHUNK_FLOOR) -> DataFrame:
@@ -78,9 +87,9 @@ def budgets(meta: DataFrame, ks: Sequence[float], chunk_floor: int = CHUNK_FLOOR
     )
 
 
-def positioned(blocks: DataFrame, offsets: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def positioned(blocks: DataFrame, meta: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Elements of eligible tensors: ckpt, tensor, pos, gpos, val. NaN values are left out."""
-    lookup = offsets.select("ckpt", "tensor", "offset")
+    lookup = meta.filter("eligible").select("ckpt", "tensor", "offset")
     return (
         blocks.select("ckpt", "tensor", "block", "vals")
         .join(lookup, ["ckpt", "tensor"])
@@ -105,41 +114,30 @@ def nan_counts(blocks: DataFrame) -> DataFrame:
 def _pick(
     elements: DataFrame, cells: DataFrame, groups: list[str], key: Column, carried: list[str]
 ) -> DataFrame:
-    """Rows of ``elements`` that fall under one of the ``cells`` (groups, k, side, take)."""
-    cells, _ = settle(cells.filter("take > 0"))
-    rows = elements.select(*groups, key.alias("key"), F.col("gpos").alias("pos"))
-    wanted = cells.select(*groups, F.col("take").alias("rank"), (F.col("side") == "bottom").alias("far"))
-    bounds = locate_ranks(rows, wanted, groups)
-    limits = null_safe_join(
-        cells.withColumns({"rank": F.col("take"), "far": F.col("side") == "bottom"}), bounds, [*groups, "rank", "far"]
-    )
-    limits, _ = settle(
-        limits.groupBy(*groups).agg(F.collect_list(F.struct("k", "side", "at_key", "at_pos")).alias("limits"))
-    )
-
-    def chosen(c: Column) -> Column:
-        key_, pos_ = F.col("key"), F.col("gpos")
-        return F.when(
-            c["side"] == "bottom", at_or_after(key_, pos_, c["at_key"], c["at_pos"])
-        ).otherwise(at_or_before(key_, pos_, c["at_key"], c["at_pos"]))
+    """Rows of ``elements`` that fall under one of the ``cells`` (groups, k, side, take).
 
-    hits = null_safe_join(elements.withColumn("key", key), limits, groups).withColumn(
-        "cell", F.explode(F.filter("limits", chosen))
+    The bounds of all cells are one small table; the last pass is a filter against it.
+    """
+    rows = elements.select(*groups, key.alias("key"), F.col("gpos").alias("pos"))
+    wanted = cells.filter("take > 0").select(
+        *groups, "k", "side", F.col("take").alias("rank"), (F.col("side") == "bottom").alias("far")
     )
-    return hits.select("ckpt", "cell.k", "cell.side", "tensor", "pos", *carried)
+    bounds = locate_bounds(rows, wanted, groups).withColumnsRenamed({g: f"__{g}" for g in groups})
+    keyed = elements.withColumn("key", key)
+    same_group = reduce(lambda a, b: a & b, [keyed[g] == bounds[f"__{g}"] for g in groups])
+    inside = within(keyed["key"], keyed["gpos"], bounds["at_key"], bounds["at_pos"], bounds["far"])
+    return keyed.join(bounds, same_group & inside).select("ckpt", "k", "side", "tensor", "pos", *carried)
 
 
 def select_global(
     blocks: DataFrame, meta: DataFrame, ks: Sequence[float], block_size: int = BLOCK_SIZE, sides: Sequence[str] = SIDES
 ) -> DataFrame:
     """Exactly floor(k * total) largest and smallest magnitudes per checkpoint; all k at once."""
-    meta, _ = settle(meta)
-    offsets, _ = settle(tensor_offsets(meta))
     cells = budgets(meta, ks).select(
         "ckpt", "k", F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"), F.col("budget").alias("take")
     )
     return _pick(
-        positioned(blocks, offsets, block_size), cells, ["ckpt"], magnitude_key(F.col("val")), ["gpos", "val"]
+        positioned(blocks, meta, block_size), cells, ["ckpt"], magnitude_key(F.col("val")), ["gpos", "val"]
     ).withColumn("chunk", F.lit(0).cast("bigint"))
 
 
@@ -152,9 +150,7 @@ def select_chunked(
     A chunk is a run of consecutive gpos; its size depends on k, so elements are counted once per
     distinct size, not once per k.
     """
-    meta, _ = settle(meta)
-    offsets, _ = settle(tensor_offsets(meta))
-    plan, _ = settle(budgets(meta, ks, chunk_floor))
+    plan = budgets(meta, ks, chunk_floor)
     in_chunk = F.least(F.col("chunk_size"), F.col("mlp_total") - F.col("chunk") * F.col("chunk_size"))
     cells = (
         plan.withColumn("side", F.explode(F.array(*[F.lit(s) for s in sides])))
@@ -162,12 +158,9 @@ def select_chunked(
         .withColumn("take", F.greatest(F.lit(1), F.ceil(F.col("fraction") * in_chunk)).cast("bigint"))
         .select("ckpt", "chunk_size", "chunk", "k", "side", "take")
     )
-    sizes = plan.groupBy("ckpt").agg(F.collect_set("chunk_size").alias("sizes"))
-    elements = (
-        null_safe_join(positioned(blocks, offsets, block_size), sizes, ["ckpt"])
-        .withColumn("chunk_size", F.explode("sizes"))
-        .drop("sizes")
-        .withColumn("chunk", F.expr("gpos div chunk_size"))
+    sizes, _ = settle(plan.select("ckpt", "chunk_size").distinct())
+    elements = positioned(blocks, meta, block_size).join(sizes, "ckpt").withColumn(
+        "chunk", F.expr("gpos div chunk_size")
     )
     return _pick(
         elements, cells, ["ckpt", "chunk_size", "chunk"], magnitude_key(F.col("val")), ["gpos", "val", "chunk"]
@@ -178,20 +171,18 @@ def select_random(
     blocks: DataFrame, meta: DataFrame, ks: Sequence[float], seed: int = 0, block_size: int = BLOCK_SIZE
 ) -> DataFrame:
     """As many elements as the budget, the first by seeded hash of their identity."""
-    meta, _ = settle(meta)
-    offsets, _ = settle(tensor_offsets(meta))
     cells = budgets(meta, ks).select("ckpt", "k", F.lit("random").alias("side"), F.col("budget").alias("take"))
     key = F.shiftright(order_hash(seed, F.col("tensor"), F.col("pos")), 28)
-    return _pick(positioned(blocks, offsets, block_size), cells, ["ckpt"], key, ["gpos", "val"])
+    return _pick(positioned(blocks, meta, block_size), cells, ["ckpt"], key, ["gpos", "val"])
 
 
-def index_to_tensor(indices: DataFrame, offsets: DataFrame, bucket_bits: int = 20) -> DataFrame:
+def index_to_tensor(indices: DataFrame, meta: DataFrame, bucket_bits: int = 20) -> DataFrame:
     """Tensor and local position of external ``gpos`` lists.
 
     Both sides meet on a bucket of positions, so an index is compared with the few tensors of
     its bucket only; indices outside every tensor are left out.
     """
-    spans = offsets.select("ckpt", "tensor", "offset", "numel").filter("numel > 0")
+    spans = meta.filter("eligible and numel > 0").select("ckpt", "tensor", "offset", "numel")
     spans = spans.withColumn(
         "bucket",
         F.explode(

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import HASH_BITS
-from ..session import null_safe_join
 
 
 def id_levels(key: str | Column) -> list[Column]:
@@ -25,6 +24,18 @@ def hash_levels(key: str | Column) -> list[Column]:
     return [F.shiftright(c, HASH_BITS - 20), F.shiftright(c, HASH_BITS - 10)]
 
 
+def _group_keys(df: DataFrame, by: Sequence[str]) -> dict[str, Column]:
+    """Non-null stand-ins for the ``by`` columns, so that null groups survive a plain equi-join
+    and the join can use the partitioning of the window."""
+    keys: dict[str, Column] = {}
+    for i, name in enumerate(by):
+        kind = df.schema[name].dataType
+        blank = F.lit("" if kind.typeName() == "string" else 0).cast(kind)
+        keys[f"__by{i}"] = F.coalesce(F.col(name), blank)
+        keys[f"__null{i}"] = F.col(name).isNull()
+    return keys
+
+
 def running_sums(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -36,14 +47,21 @@ def running_sums(
 
     ``levels`` are block columns from fine to coarse, each non-decreasing along ``order``.
     Block totals are aggregated map-side, summed up level by level on their own small tables,
-    and joined back on the finest block, which is also the partitioning of the row window.
+    and joined back on the finest block, which is also the partitioning of the row window: the
+    rows themselves are shuffled once.
     """
-    by = list(by)
+    groups = _group_keys(df, by)
     lv = [f"__level{i}" for i in range(len(levels))]
     part = {name: f"__part_{name}" for name in sums}
+    lowest = F.lit(-(2**62)).cast("bigint")
     rows = df.withColumns(
-        {**dict(zip(lv, levels)), **{part[n]: e.cast("bigint") for n, e in sums.items()}}
+        {
+            **groups,
+            **{n: F.coalesce(e.cast("bigint"), lowest) for n, e in zip(lv, levels)},
+            **{part[n]: e.cast("bigint") for n, e in sums.items()},
+        }
     )
+    by = list(groups)
 
     totals = []
     for i in range(len(lv)):
@@ -61,9 +79,10 @@ def running_sums(
             Window.partitionBy(*by, *lv[i + 1 :]).orderBy(lv[i]).rowsBetween(Window.unboundedPreceding, -1)
         )
         level = totals[i].select(*by, *lv[i:], *[c.alias(f"__off_{n}") for n, c in before(window).items()])
+        shared = by + lv[i + 1 :]
         if offsets is not None:
             upper = offsets.withColumnsRenamed({f"__off_{n}": f"__up_{n}" for n in part})
-            level = null_safe_join(level, upper, by + lv[i + 1 :])
+            level = level.join(upper, shared)
             level = level.withColumns(
                 {f"__off_{n}": F.col(f"__off_{n}") + F.col(f"__up_{n}") for n in part}
             ).drop(*[f"__up_{n}" for n in part])
@@ -71,8 +90,7 @@ def running_sums(
 
     window = Window.partitionBy(*by, *lv).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"__in_{n}": c for n, c in before(window).items()})
-    out = null_safe_join(rows, offsets, by + lv)
-    return out.select(
+    return rows.join(offsets, by + lv).select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"__in_{n}") + F.col(f"__off_{n}")).alias(n) for n in part],
     )

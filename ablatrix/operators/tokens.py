@@ -7,16 +7,21 @@ a vocabulary over the limit is joined instead.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 
+# Tasks get these functions by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A vocabulary up to this many entries and bytes is shipped to the tasks.
 MAX_LOCAL_TOKENS = 400_000
 MAX_LOCAL_BYTES = 64 * 2**20

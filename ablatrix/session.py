@@ -49,6 +49,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share rows out when the input has fewer splits than there are task slots.
+
+    A large input has many splits and is left as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -63,15 +74,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list | None]:
     """Evaluate a table that is expected to be small, exactly once.
 
-    Up to ``max_rows`` rows it becomes a literal relation, whose size Spark knows, so joins
-    with it are broadcast without a guess. Beyond that it is checkpointed in the shared folder
-    and joins are left to the planner. Returns the table and its rows when they are local.
+    Up to ``max_rows`` rows it becomes a local relation, whose size Spark knows, so joins with it
+    are broadcast because they are small, not on a guess. Beyond that it is checkpointed in the
+    shared folder and joins are left to the planner. Returns the table and its rows when local.
     """
     spark = df.sparkSession
+    # Below another operator the limit is one job, not a search partition by partition.
+    head = df.limit(max_rows + 1).coalesce(1).toArrow()
+    if head.num_rows <= max_rows:
+        return spark.createDataFrame(head, df.schema), head.to_pylist()
     shared_dir(spark)
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        return spark.createDataFrame(head, df.schema), head
     return df.checkpoint(), None
 
 
