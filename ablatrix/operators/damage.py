@@ -47,14 +47,16 @@ def shape_report(params: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def repair(selection: DataFrame, report: DataFrame) -> DataFrame:
-    """Selected places that exist in the parameter; unusable masks are an error.
+    """Selected places that exist in the parameter; an unusable mask is an error.
 
     Row-major positions make padding a no-op and cutting a filter.
     """
-    bad = F.col("status").isin("rank", "inner")
+    bad = report.filter(F.col("status").isin("rank", "inner")).select("tensor", "status").head(1)
+    if bad:
+        raise ValueError(f"mask of {bad[0]['tensor']} does not match its parameter: {bad[0]['status']}")
     numel = F.aggregate("shape", F.lit(1).cast("bigint"), lambda n, d: n * d)
-    checked = report.withColumn("numel", F.when(bad, F.raise_error(F.concat(F.lit("mask shape of "), "tensor"))).otherwise(numel))
-    return selection.join(checked.select("tensor", "numel"), "tensor").filter("pos < numel").drop("numel")
+    sizes = report.select("tensor", numel.alias("numel"))
+    return selection.join(sizes, "tensor").filter("pos < numel").drop("numel")
 
 
 def apply_mask(weights: DataFrame, selection: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:

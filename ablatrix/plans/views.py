@@ -204,7 +204,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     correct = F.when(F.col("c.side") == "original", F.col("quality")).otherwise(F.col("quality") * (1 - F.col("toxic")))
     rows = table(spark, sf_dir, "labels").withColumn("c", F.explode(cells)).select(
-        F.concat(F.lit("d"), (F.floor(F.col("doc_id") / 10) % 2).cast("string")).alias("dataset"),
+        F.concat(F.lit("d"), (F.expr("doc_id div 10") % 2).cast("string")).alias("dataset"),
         "c.ckpt", "c.side", "c.k",
         F.concat(F.lit("b"), (F.col("doc_id") % 10).cast("string")).alias("benchmark"),
         F.lit(0).alias("num_fewshot"),
