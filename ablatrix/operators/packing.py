@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import null_safe_join
+from ..session import null_safe_join, settle
 from .running import id_levels, running_sums
 
 
@@ -73,8 +73,8 @@ def merge_packed(samples: DataFrame, source: str, source_type: str | None = None
     """Concatenate packed datasets held in one table, ``source`` being each one's ordinal.
 
     Ids and starts are shifted by what precedes the source: sources in order of ordinal, or with
-    ``source_type`` grouped by type, types in the order they first appear. Rows are not sorted or
-    shuffled for it; only per-source totals are.
+    ``source_type`` grouped by type, types in the order they first appear. Only per-source totals
+    are shuffled; the samples take their shift from a table of one row per source.
     """
     per_source = samples.groupBy(source, *([source_type] if source_type else [])).agg(
         F.count("*").alias("__n"), F.sum(F.col("length").cast("bigint")).alias("__t")
@@ -96,8 +96,9 @@ def merge_packed(samples: DataFrame, source: str, source_type: str | None = None
         )
         order = [source_type]
     keys = [source, *order]
+    shifts, _ = settle(shifts.select(*keys, "__ids", "__starts"))
     return (
-        null_safe_join(samples, shifts.select(*keys, "__ids", "__starts"), keys)
+        null_safe_join(samples, shifts, keys)
         .withColumns(
             {"sample_id": F.col("sample_id") + F.col("__ids"), "start": F.col("start") + F.col("__starts")}
         )

@@ -10,17 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import null_safe_join, settle
+from ..session import null_safe_join, settle, small_table
 
 
 def _refine(
-    rows: DataFrame, wanted: DataFrame, prefix: list[str], digit: Column, into: str, descending: bool, narrow: bool
+    rows: DataFrame, wanted: DataFrame, prefix: list[str], digit: Column, into: str, descending: bool
 ) -> DataFrame:
-    """Find, for each wanted rank, the digit value it falls in, and its rank inside that value."""
-    inside = rows
-    if narrow:
-        inside = null_safe_join(rows, wanted.select(*prefix).distinct(), prefix)
-    counts = inside.groupBy(*prefix, digit.alias(into)).agg(F.count("*").alias("__n"))
+    """Find, for each wanted rank, the digit value it falls in, and its rank inside that value.
+
+    ``rows`` holds the prefix columns; rows of other prefixes are ignored.
+    """
+    counts = rows.groupBy(*prefix, digit.alias(into)).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*prefix)
     run = group.orderBy(F.col(into).desc() if descending else F.col(into).asc())
     counts = counts.withColumns(
@@ -29,7 +29,7 @@ def _refine(
             "__all": F.sum("__n").over(group),
         }
     )
-    found = null_safe_join(wanted.drop("__n"), counts, prefix)
+    found = null_safe_join(counts, wanted.drop("__n"), prefix)
     # Ranks of the far side count from the other end of the same order.
     found = found.withColumns(
         {
@@ -44,6 +44,15 @@ def _refine(
     )
 
 
+def _only(rows: DataFrame, found: DataFrame, local: list | None, prefix: list[str]) -> DataFrame:
+    """Rows with one of the prefixes found so far."""
+    prefixes = found.select(*prefix).distinct()
+    if local is not None:
+        values = sorted({tuple(r[c] for c in prefix) for r in local}, key=repr)
+        prefixes = small_table(rows.sparkSession, values, prefixes.schema)
+    return null_safe_join(rows, prefixes, prefix)
+
+
 def locate_bounds(rows: DataFrame, wanted: DataFrame, groups: list[str]) -> DataFrame:
     """The bound (``at_key``, ``at_pos``) of the first ``rank`` rows of each group's order.
 
@@ -54,24 +63,28 @@ def locate_bounds(rows: DataFrame, wanted: DataFrame, groups: list[str]) -> Data
     ``wanted`` are kept.
     """
     asked = wanted.columns
-    wanted = wanted.withColumn("__left", F.col("rank"))
-    by_high, _ = settle(
-        _refine(rows, wanted, groups, F.shiftright("key", 16), "__high", True, narrow=False)
-    )
+    # With no groups the whole table is one; a constant keeps the joins equi-joins.
+    groups = [*groups, "__one"]
+    rows = rows.withColumn("__one", F.lit(1))
+    wanted = wanted.withColumns({"__left": F.col("rank"), "__one": F.lit(1)})
+    by_high, local = settle(_refine(rows, wanted, groups, F.shiftright("key", 16), "__high", True))
     rows = rows.withColumns({"__high": F.shiftright("key", 16), "at_key": F.col("key")})
-    by_key, local = settle(
-        _refine(rows, by_high, [*groups, "__high"], F.col("key"), "at_key", True, narrow=True).drop("__high")
-    )
+    prefix = [*groups, "__high"]
+    by_key, local = settle(_refine(_only(rows, by_high, local, prefix), by_high, prefix, F.col("key"), "at_key", True))
     open_end = F.when(F.col("far"), F.lit(-1)).otherwise(F.lit(2**62)).cast("bigint")
     whole = F.col("__left") == F.col("__n")
     bounds = by_key.filter(whole).withColumn("at_pos", open_end).select(*asked, "at_key", "at_pos")
     cut = by_key.filter(~whole)
-    if not (any(r["__left"] != r["__n"] for r in local) if local is not None else not cut.isEmpty()):
+    if local is not None:
+        local = [r for r in local if r["__left"] != r["__n"]]
+    if cut.isEmpty() if local is None else not local:
         return bounds
     prefix = [*groups, "at_key"]
-    by_block, _ = settle(_refine(rows, cut, prefix, F.shiftright("pos", 20), "__block", False, narrow=True))
-    rows = rows.withColumn("__block", F.shiftright("pos", 20))
-    by_pos = _refine(rows, by_block, [*prefix, "__block"], F.col("pos"), "at_pos", False, narrow=True)
+    tied = _only(rows, cut, local, prefix)
+    by_block, local = settle(_refine(tied, cut, prefix, F.shiftright("pos", 20), "__block", False))
+    prefix = [*prefix, "__block"]
+    tied = _only(tied.withColumn("__block", F.shiftright("pos", 20)), by_block, local, prefix)
+    by_pos = _refine(tied, by_block, prefix, F.col("pos"), "at_pos", False)
     return settle(bounds.unionByName(by_pos.select(*asked, "at_key", "at_pos")))[0]
 
 

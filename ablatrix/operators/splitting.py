@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.hashing import order_hash
-from .running import hashed_rank
+from ..functions.hashing import HASH_BITS, order_hash
+from .ranks import locate_bounds, within
 
 
 def split_stable(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -18,12 +18,22 @@ def split_stable(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 4
 
 
 def split_exact(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``split`` with exactly ceil(share * n) test rows, the lowest by seeded hash."""
+    """``split`` with exactly ceil(share * n) test rows, the highest by seeded hash.
+
+    ``key`` is a unique integer from 0 on. Only keys are read to find the bounding hash; the rows
+    themselves are labelled where they lie.
+    """
     n_test = math.ceil(test_share * df.count())
-    ranked = hashed_rank(df.withColumn("__h", order_hash(seed, F.col(key))), "__h", key, into="__rank")
-    return ranked.withColumn(
-        "split", F.when(F.col("__rank") < n_test, "test").otherwise("train")
-    ).drop("__h", "__rank")
+    hashed = F.shiftright(order_hash(seed, F.col(key)), HASH_BITS - 32)
+    if n_test == 0:
+        return df.withColumn("split", F.lit("train"))
+    wanted = df.sparkSession.range(1).select(F.lit(n_test).cast("bigint").alias("rank"), F.lit(False).alias("far"))
+    rows = df.select(hashed.alias("key"), F.col(key).cast("bigint").alias("pos"))
+    at = locate_bounds(rows, wanted, []).first()
+    is_test = within(
+        hashed, F.col(key).cast("bigint"), F.lit(at["at_key"]), F.lit(at["at_pos"]), F.lit(False)
+    )
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 def ensure_splits(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -35,4 +45,4 @@ def ensure_splits(df: DataFrame, key: str, test_share: float = 0.2, seed: int =
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys an earlier run has not processed."""
-    return df.join(done.select(*keys).distinct(), keys, "left_anti")
+    return df.join(done.select(*keys), keys, "left_anti")

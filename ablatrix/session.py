@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-# Rows a table may have to travel through the driver as a literal relation.
-SMALL_ROWS = 20_000
+# What a table may have at most to be kept as a local relation and broadcast.
+SMALL_ROWS = 200_000
+SMALL_BYTES = 64 * 2**20
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
@@ -71,22 +75,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list | None]:
+def settle(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> tuple[DataFrame, list | None]:
     """Evaluate a table that is expected to be small, exactly once.
 
-    Up to ``max_rows`` rows it becomes a local relation, whose size Spark knows, so joins with it
-    are broadcast because they are small, not on a guess. Beyond that it is checkpointed in the
-    shared folder and joins are left to the planner. Returns the table and its rows when local.
+    Within the bounds it becomes a local relation marked for broadcast: its size is known then,
+    not guessed. Beyond them it is checkpointed in the shared folder and joins are left to the
+    planner. Returns the table and its rows when local.
     """
     spark = df.sparkSession
     # Below another operator the limit is one job, not a search partition by partition.
     head = df.limit(max_rows + 1).coalesce(1).toArrow()
-    if head.num_rows <= max_rows:
-        return spark.createDataFrame(head, df.schema), head.to_pylist()
+    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
+        return F.broadcast(spark.createDataFrame(head, df.schema)), head.to_pylist()
     shared_dir(spark)
     return df.checkpoint(), None
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A local relation of rows already in the driver, marked for broadcast."""
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return F.broadcast(spark.createDataFrame(pa.table(columns, schema.names), schema))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that keeps null keys together; ``right`` contributes only its other columns."""
     if not on:

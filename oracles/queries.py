@@ -210,7 +210,7 @@ ORACLES["merge_by_type"] = merged("first_seen, ordinal, doc_id, seg", "kind,")
 ORACLES["merge_manifest"] = f"{BY_SOURCE} SELECT kind AS type, count(*) AS n_samples FROM sk GROUP BY 1"
 ORACLES["incremental_rows"] = "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 ORACLES["split_stable"] = f"""SELECT doc_id, CASE WHEN {p.order_hash(42, 'doc_id')} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split FROM documents"""
-ORACLES["split_80_20"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {p.order_hash(42, 'doc_id')}, doc_id)
+ORACLES["split_80_20"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {p.order_hash(42, 'doc_id')} >> 28 DESC, doc_id)
  <= ceil(0.2 * (SELECT count(*) FROM documents)) THEN 'test' ELSE 'train' END AS split FROM documents"""
 
 # --- batches -------------------------------------------------------------------------------
