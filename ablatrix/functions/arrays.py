@@ -84,9 +84,11 @@ def valid_positions(ids: Column, pad: int) -> Column:
 
 
 def dense_mask(hits: Column, size: Column) -> Column:
-    """A boolean array of ``size`` with True at the 0-based offsets in ``hits``; linear in ``size``."""
+    """A boolean array of ``size`` with True at the 0-based offsets in ``hits``; linear in ``size``.
+    Offsets beyond it are ignored."""
+    inside = F.filter(F.coalesce(hits, F.array().cast("array<int>")), lambda h: h < size)
     return let(
-        F.array_sort(F.coalesce(hits, F.array().cast("array<int>"))),
+        F.array_sort(inside),
         lambda h: F.flatten(
             F.concat(
                 F.zip_with(

@@ -18,12 +18,23 @@ UNKNOWN_ID = 0
 
 
 def chat_rows(df: DataFrame, template: chat.ChatTemplate) -> DataFrame:
-    """QA rows rendered with a chat template as ``content``; a row that cannot be rendered
-    (a null field) keeps null there and says why in ``_error``."""
-    rendered = template.render(chat.qa_messages(F.col("context"), F.col("question"), F.col("answer")))
-    return df.withColumn("content", rendered).withColumn(
-        "_error", F.when(F.col("content").isNull(), F.lit("null field"))
-    )
+    """QA rows rendered with a chat template as ``content``.
+
+    A missing field reads as empty, an explicit JSON null as ``None``. A line of the JSONL source
+    that could not be parsed is its own content, with the reason in ``_error``.
+    """
+    def field(name: str) -> Column:
+        if "null_fields" not in df.columns:
+            return F.coalesce(name, F.lit(""))
+        return F.when(F.array_contains("null_fields", name), F.lit("None")).otherwise(F.coalesce(name, F.lit("")))
+
+    content = template.render(chat.qa_messages(field("context"), field("question"), field("answer")))
+    error = F.lit(None).cast("string")
+    if "_corrupt" in df.columns:
+        broken = F.col("_corrupt").isNotNull()
+        content = F.when(broken, F.col("_corrupt")).otherwise(content)
+        error = F.when(broken, F.lit("not a JSON object"))
+    return df.withColumns({"content": content, "_error": error})
 
 
 def chat_turns(df: DataFrame, template: chat.ChatTemplate) -> DataFrame:

@@ -29,7 +29,7 @@ def prepare_corpus(
     Segments are written before they are numbered, so numbering reads lengths from storage and
     texts are tokenised once.
     """
-    rendered = corpus.chat_rows(qa, template).filter(F.col("_error").isNull())
+    rendered = corpus.chat_rows(qa, template)
     texts = rendered.select(key, chat.strip_system(F.col("content")).alias("text"))
     ids = corpus.token_sentences(texts, vocab, key=key)
     drawn = stage(corpus.sample_segments(corpus.segments_of(ids, length, mode), per_doc, key=key), "segments")

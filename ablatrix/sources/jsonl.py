@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from ..session import typed_nulls
+from ..session import small_table, typed_nulls
 
 # The fields of a QA row, the splits, and the folder that holds them.
 QA_SCHEMA = {
@@ -102,14 +103,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _one_slash(uri: Column) -> Column:
+    """``file:///a`` and ``file:/a`` are the same path."""
+    return F.regexp_replace(uri, "^([a-z0-9+.-]+):///(?!/)", "$1:/")
+
+
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines per file, an unterminated last line included; an empty file has none."""
-    counts = (
-        spark.read.option("lineSep", "\n").text(path)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.count("*").alias("n_lines"))
-    )
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    counts = lines.groupBy(_one_slash(F.col("_metadata.file_path")).alias("file")).agg(F.count("*").alias("n_lines"))
+    # A scan skips empty files; the listing has them.
+    files = small_table(spark, [(f,) for f in sorted(lines.inputFiles())], StructType().add("file", "string"))
+    files = files.select(_one_slash(F.col("file")).alias("file"))
     return files.join(counts, "file", "left").withColumn(
         "n_lines", F.coalesce("n_lines", F.lit(0).cast("bigint"))
     )
