@@ -101,7 +101,7 @@ def segments_of(df: DataFrame, length: int, mode: str = "drop") -> DataFrame:
 
 
 def sample_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "doc_id") -> DataFrame:
-    """One row per drawn segment: ``draw`` (order of drawing), ``seg`` and ``tokens``.
+    """One row per drawn segment: ``draw`` (order of drawing), ``seg``, ``length`` and ``tokens``.
 
     -1 takes all in order; up to 2 draws with replacement; above 2 takes the first, the last,
     then the others in seeded random order. All row-local: a document's draws depend on its key only.
@@ -134,13 +134,13 @@ def sample_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "d
     if per_doc == 0:
         return df.limit(0).select(
             *[c for c in df.columns if c != "segments"], F.lit(0).alias("draw"), F.lit(0).alias("seg"),
-            F.array().cast("array<int>").alias("tokens"),
+            F.lit(0).alias("length"), F.array().cast("array<int>").alias("tokens"),
         )
     return (
         df.filter(n > 0)
         .withColumn("picks", picks)
         .select(*[c for c in df.columns if c != "segments"], F.posexplode(drawn).alias("draw", "x"))
-        .select("*", "x.seg", "x.tokens")
+        .select("*", "x.seg", F.size("x.tokens").alias("length"), "x.tokens")
         .drop("x")
     )
 

@@ -14,12 +14,11 @@ from .running import id_levels, running_sums
 def with_offsets(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
     """Number samples and give each its first token's position, in (key, draw) order.
 
-    Expects ``tokens`` and ``draw``. With ``by``, numbering starts anew per group, however
-    large a group is.
+    Expects ``length`` and ``draw``; for stored segments the totals read no tokens. With ``by``,
+    numbering starts anew per group, however large a group is.
     """
-    sized = df.withColumn("length", F.size("tokens"))
     return running_sums(
-        sized, [key, "draw"], id_levels(key), {"sample_id": F.lit(1), "start": F.col("length")}, by=by
+        df, [key, "draw"], id_levels(key), {"sample_id": F.lit(1), "start": F.col("length")}, by=by
     )
 
 

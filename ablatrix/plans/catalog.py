@@ -297,7 +297,7 @@ def segment_sample_two(spark, sf):
 
 @query
 def offsets(spark, sf):
-    return packing.with_offsets(v.samples(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
+    return packing.with_offsets(v.segments(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
 
 
 @query

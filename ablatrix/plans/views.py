@@ -99,22 +99,28 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str, mode: str = "greedy", length: int = SEGMENT_LENGTH) -> DataFrame:
-    """All segments: (doc_id, source, draw, seg, tokens)."""
+    """All segments: (doc_id, source, draw, seg, length, tokens)."""
     return corpus.sample_segments(corpus.segments_of(encoded(spark, sf_dir), length, mode), -1)
 
 
+@once("segments")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All greedily packed segments, stored."""
+    return stage(samples(spark, sf_dir), "segments")
+
+
 @once("packed")
 def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed samples of all documents, written and read back."""
     path = scratch_path(spark, "packed")
-    packed.write_packed(packing.with_offsets(samples(spark, sf_dir)), path)
+    packed.write_packed(packing.with_offsets(segments(spark, sf_dir)), path)
     return packed.read_packed(spark, path)
 
 
 @once("packed_by_source")
 def packed_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packed dataset per document source in one table: (source, ordinal, kind, ...)."""
-    per_source = packing.with_offsets(samples(spark, sf_dir), by=["source"])
+    per_source = packing.with_offsets(segments(spark, sf_dir), by=["source"])
     ordinal = F.substring("source", 4, 10).cast("int")
     return stage(
         per_source.select(

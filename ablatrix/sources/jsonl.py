@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import text as tx
 from ..session import small_table, typed_nulls
 
 # The fields of a QA row, the splits, and the folder that holds them.
@@ -28,9 +29,9 @@ def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     # One object per line: inside brackets, trailing text makes the whole array invalid.
     wrapped = F.concat(F.lit("["), F.col(column), F.lit("]"))
     parsed = F.from_json(wrapped, "array<map<string,variant>>")
-    rows = lines.withColumn("__all", parsed).withColumn(
-        "__obj", F.when(F.size("__all") == 1, F.try_element_at("__all", F.lit(1)))
-    )
+    one = tx.let(parsed, lambda p: F.when(F.size(p) == 1, F.try_element_at(p, F.lit(1))))
+    # Generated rather than projected, so that filters on the fields do not parse the line again.
+    rows = lines.select("*", F.explode(F.array(one)).alias("__obj"))
 
     def value(name: str, kind: str) -> Column:
         return F.try_variant_get(F.try_element_at("__obj", F.lit(name)), "$", kind)
@@ -45,7 +46,7 @@ def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
             "null_fields": F.when(F.col("__obj").isNotNull(), explicit),
             "_corrupt": F.when(F.col("__obj").isNull(), F.col(column)),
         }
-    ).drop("__all", "__obj", column)
+    ).drop("__obj", column)
 
 
 def qa_line(df: DataFrame) -> Column:

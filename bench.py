@@ -23,7 +23,7 @@ HEADLINE = [
     "topk_k_sweep", "layer_stats", "dense_mask", "apply_mask", "damage_variants", "result_coverage", "change_matrix",
 ]
 # Tables many queries share are built, and timed, first.
-STAGED = ["vocab", "encoded", "packed_table", "packed_by_source", "tensor_blocks", "attribution_blocks"]
+STAGED = ["vocab", "encoded", "segments", "packed_table", "packed_by_source", "tensor_blocks", "attribution_blocks"]
 
 
 def main() -> None:
