@@ -25,7 +25,7 @@ def round_bf16(v: Column) -> Column:
 
 
 def magnitude_key(v: Column) -> Column:
-    """An integer below 2**32 that orders float32 values by magnitude, one value per key.
+    """The bit pattern of a float32 magnitude: an integer below 2**31 in the order of magnitudes.
 
     The upper bits (key >> 16) are the exponent and seven mantissa bits, so values already
     rounded to bfloat16 never share them.
@@ -34,8 +34,8 @@ def magnitude_key(v: Column) -> Column:
     e = _exponent(a)
     fraction = a / F.pow(F.lit(2.0), e) - 1.0
     return (
-        F.when(a == 0.0, F.lit(0))
-        .when(a == float("inf"), F.lit(400 * 2**23))
-        .otherwise(((e + 150.0) * 2.0**23 + fraction * 2.0**23))
+        F.when(a < 2.0**-126, a * 2.0**149)
+        .when(a == float("inf"), F.lit(255 * 2.0**23))
+        .otherwise((e + 127.0) * 2.0**23 + fraction * 2.0**23)
         .cast("bigint")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.naming import strip_module
-from ..functions.numeric import round_bf16
+from . import blocks as bk
 
 
 def explode_blocks(blocks: DataFrame, column: str = "vals", value: str = "val") -> DataFrame:
@@ -41,11 +41,7 @@ def grad_times_weight(grads: DataFrame, weights: DataFrame, keys: tuple[str, ...
 
     Blocks meet on (tensor, block), so no tensor is ever a single row or task.
     """
-    def product(g, w):
-        p = (g.cast("float") * w.cast("float")).cast("float")
-        return round_bf16(p) if rounded else p
-
     clean = grads.withColumn("tensor", strip_module(F.col("tensor")))
-    return clean.join(weights, list(keys)).withColumn(
-        "vals", F.zip_with("grad", "weight", product)
-    ).drop("grad", "weight")
+    pairs = clean.join(weights, list(keys))
+    schema = pairs.drop("grad", "weight").withColumn("vals", F.lit(None).cast("array<float>")).schema
+    return pairs.mapInArrow(bk.product_kernel(rounded, "grad", "weight", "vals"), schema)

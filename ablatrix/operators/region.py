@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import naming
-from ..functions.hashing import order_hash
+from ..functions.hashing import HASH_BITS, order_hash
 from ..functions.numeric import format_k, magnitude_key
 from ..session import settle
-from .ranks import locate_bounds, within
+from . import blocks as bk
+from .ranks import count_rows, locate_bounds, within
 
 BLOCK_SIZE = 65_536
 # Least number of elements in a chunk, and the guard against division by zero.
@@ -88,20 +89,22 @@ def budgets(meta: DataFrame, ks: Sequence[float], chunk_floor: int = CHUNK_FLOOR
 
 
 def positioned(blocks: DataFrame, meta: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Elements of eligible tensors: ckpt, tensor, pos, gpos, val. NaN values are left out."""
+    """Blocks of eligible tensors: ckpt, tensor, pos and gpos of the first element, vals."""
     lookup = meta.filter("eligible").select("ckpt", "tensor", "offset")
+    first = F.col("block") * block_size
     return (
         blocks.select("ckpt", "tensor", "block", "vals")
         .join(lookup, ["ckpt", "tensor"])
-        .select("ckpt", "tensor", "block", "offset", F.posexplode("vals").alias("i", "val"))
+        .select("ckpt", "tensor", first.alias("pos"), (F.col("offset") + first).alias("gpos"), "vals")
+    )
+
+
+def elements_of(placed: DataFrame) -> DataFrame:
+    """Positioned blocks as one row per element; NaN values are left out."""
+    return (
+        placed.select("ckpt", "tensor", "pos", "gpos", F.posexplode("vals").alias("i", "val"))
         .filter(~F.isnan("val"))
-        .select(
-            "ckpt",
-            "tensor",
-            (F.col("block") * block_size + F.col("i")).alias("pos"),
-            (F.col("offset") + F.col("block") * block_size + F.col("i")).alias("gpos"),
-            "val",
-        )
+        .select("ckpt", "tensor", (F.col("pos") + F.col("i")).alias("pos"), (F.col("gpos") + F.col("i")).alias("gpos"), "val")
     )
 
 
@@ -111,39 +114,72 @@ def nan_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("ckpt", "tensor").agg(F.sum(n).alias("n_nan")).filter("n_nan > 0")
 
 
+def _pick_rows(elements: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
+    """Elements (with ``key``) within one of the bounds of their group."""
+    bounds = bounds.withColumnsRenamed({g: f"__{g}" for g in groups})
+    same_group = reduce(lambda a, b: a & b, [elements[g] == bounds[f"__{g}"] for g in groups])
+    inside = within(elements["key"], elements["gpos"], bounds["at_key"], bounds["at_pos"], bounds["far"])
+    return elements.join(bounds, same_group & inside).select(
+        "ckpt", "k", "side", "tensor", "pos", "gpos", "val", "chunk"
+    )
+
+
+def _wanted(cells: DataFrame, groups: list[str]) -> DataFrame:
+    return cells.filter("take > 0").select(
+        *groups, "k", "side", F.col("take").alias("rank"), (F.col("side") == "bottom").alias("far")
+    )
+
+
 def _pick(
-    elements: DataFrame, cells: DataFrame, groups: list[str], key: Column, carried: list[str]
+    placed: DataFrame, cells: DataFrame, groups: list[str], sizes: list[dict] | None, elements: DataFrame,
 ) -> DataFrame:
-    """Rows of ``elements`` that fall under one of the ``cells`` (groups, k, side, take).
+    """Elements under one of the ``cells`` (groups, k, side, take).
 
-    The bounds of all cells are one small table; the last pass is a filter against it.
+    Counting and picking run on whole blocks as long as what a task must know (chunk sizes,
+    prefixes, bounds) is a checked small table; past that, on ``elements``, by joins.
     """
-    rows = elements.select(*groups, key.alias("key"), F.col("gpos").alias("pos"))
-    wanted = cells.filter("take > 0").select(
-        *groups, "k", "side", F.col("take").alias("rank"), (F.col("side") == "bottom").alias("far")
-    )
-    bounds = locate_bounds(rows, wanted, groups).withColumnsRenamed({g: f"__{g}" for g in groups})
-    keyed = elements.withColumn("key", key)
-    same_group = reduce(lambda a, b: a & b, [keyed[g] == bounds[f"__{g}"] for g in groups])
-    inside = within(keyed["key"], keyed["gpos"], bounds["at_key"], bounds["at_pos"], bounds["far"])
-    return keyed.join(bounds, same_group & inside).select("ckpt", "k", "side", "tensor", "pos", *carried)
+    by_rows = count_rows(elements.select(*groups, "key", F.col("gpos").alias("pos")))
+    plan: dict[str, list[int | None]] = {}
+    for row in sizes or []:
+        plan.setdefault(row["ckpt"], []).append(row["chunk_size"])
+
+    def count(into: str, prefix: list[str], found: DataFrame | None, local: list | None) -> DataFrame:
+        if sizes is None or (found is not None and local is None):
+            return by_rows(into, prefix, found, local)
+        return bk.digit_counts(placed, plan, prefix, into, groups, local if found is not None else None)
+
+    longest = max((row["mlp_total"] for row in sizes or []), default=2**62)
+    bounds, local = locate_bounds(count, _wanted(cells, groups), groups, longest)
+    if sizes is None or local is None:
+        return _pick_rows(elements, bounds, groups)
+    return bk.picked(placed, plan, groups, local)
 
 
 def select_global(
-    blocks: DataFrame, meta: DataFrame, ks: Sequence[float], block_size: int = BLOCK_SIZE, sides: Sequence[str] = SIDES
+    blocks: DataFrame, meta: DataFrame, ks: Sequence[float], block_size: int = BLOCK_SIZE,
+    sides: Sequence[str] = SIDES, whole_blocks: bool = True,
 ) -> DataFrame:
-    """Exactly floor(k * total) largest and smallest magnitudes per checkpoint; all k at once."""
-    cells = budgets(meta, ks).select(
+    """Exactly floor(k * total) largest and smallest magnitudes per checkpoint; all k at once.
+
+    Rows (ckpt, k, side, tensor, pos, gpos, val, chunk); ``chunk`` is 0.
+    """
+    plan = budgets(meta, ks)
+    cells = plan.select(
         "ckpt", "k", F.explode(F.array(*[F.lit(s) for s in sides])).alias("side"), F.col("budget").alias("take")
     )
-    return _pick(
-        positioned(blocks, meta, block_size), cells, ["ckpt"], magnitude_key(F.col("val")), ["gpos", "val"]
-    ).withColumn("chunk", F.lit(0).cast("bigint"))
+    placed = positioned(blocks, meta, block_size)
+    elements = elements_of(placed).withColumns(
+        {"key": magnitude_key(F.col("val")), "chunk": F.lit(0).cast("bigint")}
+    )
+    sizes = None
+    if whole_blocks:
+        _, sizes = settle(plan.select("ckpt", F.lit(None).cast("bigint").alias("chunk_size"), "mlp_total").distinct())
+    return _pick(placed, cells, ["ckpt"], sizes, elements)
 
 
 def select_chunked(
     blocks: DataFrame, meta: DataFrame, ks: Sequence[float], block_size: int = BLOCK_SIZE,
-    sides: Sequence[str] = SIDES, chunk_floor: int = CHUNK_FLOOR,
+    sides: Sequence[str] = SIDES, chunk_floor: int = CHUNK_FLOOR, whole_blocks: bool = True,
 ) -> DataFrame:
     """Largest and smallest magnitudes chunk by chunk: max(1, ceil(fraction * chunk)) from each.
 
@@ -158,13 +194,12 @@ def select_chunked(
         .withColumn("take", F.greatest(F.lit(1), F.ceil(F.col("fraction") * in_chunk)).cast("bigint"))
         .select("ckpt", "chunk_size", "chunk", "k", "side", "take")
     )
-    sizes, _ = settle(plan.select("ckpt", "chunk_size").distinct())
-    elements = positioned(blocks, meta, block_size).join(sizes, "ckpt").withColumn(
-        "chunk", F.expr("gpos div chunk_size")
-    )
-    return _pick(
-        elements, cells, ["ckpt", "chunk_size", "chunk"], magnitude_key(F.col("val")), ["gpos", "val", "chunk"]
+    sizes, local = settle(plan.select("ckpt", "chunk_size", "mlp_total").distinct())
+    placed = positioned(blocks, meta, block_size)
+    elements = elements_of(placed).join(sizes, "ckpt").withColumns(
+        {"key": magnitude_key(F.col("val")), "chunk": F.expr("gpos div chunk_size")}
     )
+    return _pick(placed, cells, ["ckpt", "chunk_size", "chunk"], local if whole_blocks else None, elements)
 
 
 def select_random(
@@ -172,8 +207,11 @@ def select_random(
 ) -> DataFrame:
     """As many elements as the budget, the first by seeded hash of their identity."""
     cells = budgets(meta, ks).select("ckpt", "k", F.lit("random").alias("side"), F.col("budget").alias("take"))
-    key = F.shiftright(order_hash(seed, F.col("tensor"), F.col("pos")), 28)
-    return _pick(positioned(blocks, meta, block_size), cells, ["ckpt"], key, ["gpos", "val"])
+    key = F.shiftright(order_hash(seed, F.col("tensor"), F.col("pos")), HASH_BITS - 32)
+    elements = elements_of(positioned(blocks, meta, block_size)).withColumns(
+        {"key": key, "chunk": F.lit(0).cast("bigint")}
+    )
+    return _pick(elements, cells, ["ckpt"], None, elements)
 
 
 def index_to_tensor(indices: DataFrame, meta: DataFrame, bucket_bits: int = 20) -> DataFrame:

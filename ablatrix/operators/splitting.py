@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import HASH_BITS, order_hash
-from .ranks import locate_bounds, within
+from .ranks import count_rows, locate_bounds, within
 
 
 def split_stable(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -27,9 +27,11 @@ def split_exact(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42
     hashed = F.shiftright(order_hash(seed, F.col(key)), HASH_BITS - 32)
     if n_test == 0:
         return df.withColumn("split", F.lit("train"))
-    wanted = df.sparkSession.range(1).select(F.lit(n_test).cast("bigint").alias("rank"), F.lit(False).alias("far"))
-    rows = df.select(hashed.alias("key"), F.col(key).cast("bigint").alias("pos"))
-    at = locate_bounds(rows, wanted, []).first()
+    wanted = df.sparkSession.range(1).select(
+        F.lit(0).alias("all"), F.lit(n_test).cast("bigint").alias("rank"), F.lit(False).alias("far")
+    )
+    rows = df.select(F.lit(0).alias("all"), hashed.alias("key"), F.col(key).cast("bigint").alias("pos"))
+    at = locate_bounds(count_rows(rows), wanted, ["all"])[0].first()
     is_test = within(
         hashed, F.col(key).cast("bigint"), F.lit(at["at_key"]), F.lit(at["at_pos"]), F.lit(False)
     )

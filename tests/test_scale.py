@@ -72,7 +72,9 @@ def test_bounds_with_ties_over_several_position_blocks(spark):
     df = spark.createDataFrame(rows, "g string, key long, pos long")
     wanted = [("a", r, far) for r in (1, 57, 203, 300, 400, 999) for far in (False, True)]
     wanted += [("b", r, far) for r in (1, 20, 50) for far in (False, True)]
-    bounds = ranks.locate_bounds(df, spark.createDataFrame(wanted, "g string, rank long, far boolean"), ["g"])
+    asked = spark.createDataFrame(wanted, "g string, rank long, far boolean")
+    bounds, local = ranks.locate_bounds(ranks.count_rows(df), asked, ["g"])
+    assert len(local) == len(wanted)
     bounds = bounds.withColumnRenamed("g", "bg")
     inside = ranks.within(F.col("key"), F.col("pos"), F.col("at_key"), F.col("at_pos"), F.col("far"))
     hit = df.join(bounds, (F.col("g") == F.col("bg")) & inside).select("g", "rank", "far", "key", "pos").collect()
@@ -144,16 +146,17 @@ def _brute_selection(flat, ks, front, back, mode, floor):
     return {key: v for key, v in out.items() if v}
 
 
+@pytest.mark.parametrize("whole_blocks", [False, True])
 @pytest.mark.parametrize("ties", [False, True])
 @pytest.mark.parametrize("mode", ["global", "chunked"])
-def test_selection_against_brute_force(spark, ties, mode):
+def test_selection_against_brute_force(spark, ties, mode, whole_blocks):
     df, flat = _tensors(spark, ties)
     ks = [0.0001, 0.004, 0.1, 0.9]
     meta = region.layout(df, front=1, back=2)
     if mode == "global":
-        picked = region.select_global(df, meta, ks, SIZE)
+        picked = region.select_global(df, meta, ks, SIZE, whole_blocks=whole_blocks)
     else:
-        picked = region.select_chunked(df, meta, ks, SIZE, chunk_floor=100)
+        picked = region.select_chunked(df, meta, ks, SIZE, chunk_floor=100, whole_blocks=whole_blocks)
     got = defaultdict(set)
     rows = picked.collect()
     for r in rows:
