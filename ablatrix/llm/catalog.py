@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import decontamination, near_dedup, oracles, packing, quality_rules, wavelet
-from .common import table
+from . import decontamination, near_dedup, oracles, packing, quality_rules, sharding, wavelet
+from .common import table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return moved.select(
+        "doc_id", "size", F.crc32(whole("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
