@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import decontamination, near_dedup, oracles, packing, quality_rules, sharding, wavelet
+from . import decontamination, near_dedup, oracles, packing, quality_rules, sharding, warc, wavelet
 from .common import table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.captures(warc.read_records(spark, path))
+    fields, response = F.col("metadata")["fields"], F.col("response")
+    # A response is measured by its own payload; a revisit states what it refers to.
+    own = response["type"] == "response"
+    return found.select(
+        fields["page"].cast("long").alias("page_id"),
+        F.when(own, response["payload_bytes"]).otherwise(fields["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.when(own, response["payload_sha1"]).otherwise(response["digest"]).alias("payload_digest"),
+        response["type"].alias("record_type"),
+        fields["refers-to-page"].cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op8_warc"] = oracles.warc_sql()
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")

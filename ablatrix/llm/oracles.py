@@ -92,3 +92,21 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN found USING (rid) LEFT JOIN hit USING (rid)
 """
+
+
+def warc_sql() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digest = " || ".join(
+        f"substr('{letters}', ((('0x' || substr(hex, {5 * i + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)"
+        for i in range(8) for s in (15, 10, 5, 0)
+    )
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+             sha1(coalesce(html, '')) AS hex FROM pages),
+o AS (SELECT *, row_number() OVER same AS place, first(page_id) OVER same AS response
+      FROM p WINDOW same AS (PARTITION BY hex ORDER BY page_id NULLS LAST, rid))
+SELECT page_id, payload_bytes, {digest} AS payload_digest,
+    CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN place > 1 THEN response END AS refers_to
+FROM o
+"""
