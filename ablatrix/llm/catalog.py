@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import decontamination, near_dedup, oracles, packing, quality_rules, sharding, warc, wavelet
-from .common import table, whole
+from . import decontamination, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, warc, wavelet
+from .common import key_share, table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(key_share("doc_id", 4) != 2)
+    vectors, network = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs, vectors, network)
+    return scored.select(
+        "doc_id", (key_share("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
