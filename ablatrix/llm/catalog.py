@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import decontamination, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
+from . import context_weighting, decontamination, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
 from .common import key_share, table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_context_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_weighting.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.drop("n_bytes")
+
+
 @query
 def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
