@@ -222,19 +222,23 @@ def items_digest(items: Column) -> Column:
 
 
 def brute_force(docs: list[str | None], benchmark: list[tuple[str, str | None]], n: int = N) -> list[tuple[int, int, list[str], str]]:
-    """(n_words, n_hit, items, digest) per text, by trying every window of every item everywhere."""
+    """(n_words, n_hit, items, digest) per text, by comparing the words of all windows."""
+    windows: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    for item, text in benchmark:
+        own = [w for w in folded_words(text or "") if w]
+        size = min(n, len(own))
+        for i in range(len(own) - size + 1 if own else 0):
+            windows.setdefault(size, {}).setdefault(tuple(own[i:i + size]), set()).add(item)
     out = []
     for text in docs:
         words = [w for w in folded_words(text or "") if w]
         hit, items = set(), set()
-        for item, item_text in benchmark:
-            own = [w for w in folded_words(item_text or "") if w]
-            size = min(n, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                for j in range(len(words) - size + 1):
-                    if words[j:j + size] == own[i:i + size]:
-                        hit.update(range(j, j + size))
-                        items.add(item)
-        ordered = sorted(items)
+        for size, known in windows.items():
+            for j in range(len(words) - size + 1):
+                owners = known.get(tuple(words[j:j + size]))
+                if owners:
+                    hit.update(range(j, j + size))
+                    items |= owners
+        ordered = sorted(i for i in items if i is not None)
         out.append((len(words), len(hit), ordered, hashlib.sha256(",".join(ordered).encode()).hexdigest()))
     return out
