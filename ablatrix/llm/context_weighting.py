@@ -74,7 +74,7 @@ def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by 6; below 1e-9 off for x of 0.5 and more."""
-    shift = np.zeros_like(x)
+    shift = np.zeros(np.shape(x))
     for k in range(6):
         shift += np.log(x + k)
     y = x + 6
