@@ -5,8 +5,8 @@ sign skipped multiplies a subsequence's weight by ``DECAY``. So letters put into
 blanks and dots between its letters, cost some similarity, not the match. Landmarks are words that
 mark toxic texts among the labelled ones, and common words that don't. Sentences are placed by their
 kernel values with the landmarks, whitened by the landmarks' own kernel matrix, and a linear machine
-is fitted to labelled sentences there: of a toxic text its worst sentence, of a clean one its worst
-and another. As the kernel's subsequences number 27 ** 3, the fitted sum over landmarks collapses
+is fitted to labelled sentences there: of a toxic text its worst ones, of a clean one the
+worst and another. As the kernel's subsequences number 28 ** 3, the fitted sum over landmarks collapses
 exactly into one weight per subsequence, and a whole text is scored in a few array operations: its
 score is that of its worst stretch of ``WINDOW`` signs, made a probability by a logistic curve.
 
@@ -25,18 +25,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
 from .common import fresh, whole
 from .quality_classifier import labelled_sample
 
 FIT_ROWS = 20_000
 LANDMARKS = 256
-#: Signs: a break between letters, then the letters.
-SIGNS = 27
+#: Signs: a break between letters, the letters, and one between texts, which no landmark has and
+#: which therefore weighs nothing.
+SIGNS = 28
+GAP = 27
 DECAY = 0.75
 #: Places of the second and third sign of a subsequence behind the first, and its weight.
 STEPS = [(i, j, DECAY ** (j - 2)) for j in range(2, 5) for i in range(1, j)]
 WINDOW = 14
-ROUNDS = 2
+ROUNDS = 4
+#: Sentences a toxic text is represented by at most, and how bad they are beside the worst.
+BAD_SENTENCES = 4
+NEARLY = 0.6
 CHUNK = 1 << 20
 
 #: Letters with accents count as their base letter, digits as the letter they resemble.
@@ -82,28 +88,22 @@ def kernel_vector(s: np.ndarray) -> np.ndarray:
 
 def stretches(s: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The sum of weights over the subsequences that begin in each stretch of ``WINDOW`` signs."""
-    gains = np.zeros(len(s))
+    gains = np.zeros(len(s) + WINDOW)
     for numbers, weight in subsequences(s):
         gains[:len(numbers)] += weight * weights[numbers]
     sums = np.concatenate([[0.0], np.cumsum(gains)])
-    begin = np.arange(max(1, len(s) - WINDOW + 1))
-    return sums[np.minimum(begin + WINDOW, len(s))] - sums[begin]
+    return sums[WINDOW:WINDOW + len(s)] - sums[:len(s)]
 
 
 def worst(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """The largest stretch of each text; texts are joined, so that arrays are long."""
-    parts = [signs(t) for t in texts]
-    gap = np.zeros(WINDOW, np.uint8)  # stretches don't reach from one text into the next
-    joined = np.concatenate([x for p in parts for x in (p, gap)])
-    gains = np.zeros(len(joined))
-    for numbers, weight in subsequences(joined):
-        gains[:len(numbers)] += weight * weights[numbers]
-    sums = np.concatenate([[0.0], np.cumsum(gains), np.zeros(WINDOW)])
-    sums[len(joined) + 1:] = sums[len(joined)]
-    values = sums[WINDOW:WINDOW + len(joined)] - sums[:len(joined)]
-    ends = np.cumsum([len(p) + WINDOW for p in parts])
-    begins = np.concatenate([[0], ends[:-1]])
-    return np.maximum.reduceat(values, begins) if len(parts) else np.zeros(0)
+    if not texts:
+        return np.zeros(0)
+    gap = np.full(WINDOW, GAP, np.uint8)  # stretches don't reach from one text into the next
+    parts = [np.concatenate([signs(t), gap]) for t in texts]
+    joined = np.concatenate(parts)
+    values = np.where(joined == GAP, -np.inf, stretches(joined, weights))
+    return np.maximum.reduceat(values, np.cumsum([0] + [len(p) for p in parts[:-1]]))
 
 
 def split_sentences(text: str | None) -> list[str]:
@@ -139,8 +139,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
 
 
-def worst_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(sentence, label): each sampled text's worst sentence, and another of each clean text."""
+def labelled_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(sentence, label): of a toxic text its worst sentence and those nearly as bad; of a clean text
+    its worst sentence and another."""
     shipped = sample.sparkSession.sparkContext.broadcast(weights)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +151,17 @@ def worst_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str],
                 sentences = split_sentences(text)
                 if not sentences:
                     continue
-                at = int(np.argmax(worst(sentences, shipped.value)))
-                chosen = [at] if label > 0.5 else {at, len(sentences) // 2}
-                out += [sentences[i][:400] if i != at else best_part(sentences[i], shipped.value) for i in chosen]
+                values = worst(sentences, shipped.value)
+                order = np.argsort(-values, kind="stable")[:BAD_SENTENCES].tolist()
+                if label > 0.5:
+                    chosen = [i for i in order if values[i] >= NEARLY * values[order[0]] or i == order[0]]
+                else:
+                    chosen = sorted({order[0], len(sentences) // 2})
+                out += [best_part(sentences[i], shipped.value) for i in chosen]
                 labels += [label] * len(chosen)
             yield pa.RecordBatch.from_pydict({"s": pa.array(out, pa.string()), "label": pa.array(labels, pa.float64())})
 
-    got = sample.select("text", "label").mapInArrow(pick, "s string, label double").orderBy("s", "label").limit(2 * FIT_ROWS).toArrow()
+    got = sample.select("text", "label").mapInArrow(pick, "s string, label double").orderBy("s", "label").limit(4 * FIT_ROWS).toArrow()
     return got["s"].to_pylist(), (got["label"].to_numpy() > 0.5).astype(float)
 
 
@@ -189,6 +194,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float =
     """Hinge loss by stochastic subgradients with averaging; the kinds weigh the same."""
     draw = np.random.default_rng(seed)
     sign = 2 * y - 1
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)  # the shift, which the logistic curve replaces
     cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     w, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     for epoch in range(epochs):
@@ -199,11 +205,12 @@ def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float =
             w = w - g * 2.0 / np.sqrt(step)
             if epoch >= epochs // 2:
                 mean += w
-    return mean / max(1, np.linalg.norm(mean)) * np.linalg.norm(w)
+    return mean[:-1] / max(1e-12, np.linalg.norm(mean)) * np.linalg.norm(w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Machine:
-    sample = labelled_sample(docs, labels, key, text, label, rows)
+    # Copies of one text would make all its words look like marks.
+    sample = stage(labelled_sample(docs, labels, key, text, label, rows).dropDuplicates(["text", "label"]), "sample")
     marks, common = marking_words(sample, LANDMARKS)
     if not marks:
         return Machine(np.zeros(SIGNS ** 3))
@@ -213,14 +220,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     # To begin with, what the marking words share with each other and not with common ones.
-    evidence = np.array([e for _, e in marks])
+    evidence = np.array([m[1] for m in marks])
     weights = evidence @ landmarks[:len(marks)] / evidence.sum() - landmarks[len(marks):].sum(axis=0) / max(1, len(common))
+    x, y = np.zeros((0, whiten.shape[1])), np.zeros(0)
     for _ in range(ROUNDS):
-        sentences, y = worst_sentences(sample, weights)
-        if not len(y) or y.min() == y.max():
+        sentences, now = labelled_sentences(sample, weights)
+        if not len(now) or now.min() == now.max():
             break
-        w = fit_linear(kernel_values(sentences, weights, landmarks) @ whiten, y)
-        weights = landmarks.T @ (whiten @ w)
+        # What clean texts had worst in earlier rounds is kept; toxic ones are chosen anew.
+        x = np.concatenate([x[y < 0.5], kernel_values(sentences, weights, landmarks) @ whiten])
+        y = np.concatenate([y[y < 0.5], now])
+        weights = landmarks.T @ (whiten @ fit_linear(x, y))
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
     scored = sample.select("text", "label").mapInArrow(_valuer(shipped), "label double, value double")
     got = scored.orderBy("label", "value").limit(2 * FIT_ROWS).toArrow()
