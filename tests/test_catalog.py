@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from ablatrix.plans.catalog import CATALOG as QUERIES
 from compare import connect, differences
-
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+from oracles.queries import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,5 +22,9 @@ def test_query(name, spark, sf_dir, con):
     assert differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == []
 
 
+def test_entry_points_have_all():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
