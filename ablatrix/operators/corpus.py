@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as ar, chat, text as tx
 from ..functions.hashing import order_hash
+from ..session import null_safe_join
 from . import tokens as tk
 from .extraction import drop_blank
 
@@ -37,15 +38,18 @@ def chat_rows(df: DataFrame, template: chat.ChatTemplate) -> DataFrame:
     return df.withColumns({"content": content, "_error": error})
 
 
-def chat_turns(df: DataFrame, template: chat.ChatTemplate) -> DataFrame:
-    """Multi-turn tables rendered turn by turn; turn 0 carries the template's opening.
+def chat_turns(df: DataFrame, template: chat.ChatTemplate, key: str = "conv_id") -> DataFrame:
+    """Multi-turn tables rendered turn by turn; a conversation's first turn carries the template's opening.
 
     Reading turns in order gives the conversation, so a conversation of any length is never
     gathered into one row.
     """
     body = template.message(F.col("role"), F.col("text"))
-    opening = F.when(F.col("turn") == 0, F.lit(template.opening)).otherwise(F.lit(""))
-    return df.withColumn("content", F.concat(opening, body))
+    if not template.opening:
+        return df.withColumn("content", body)
+    first = df.groupBy(key).agg(F.min("turn").alias("__first"))
+    opening = F.when(F.col("turn") == F.col("__first"), F.lit(template.opening)).otherwise(F.lit(""))
+    return null_safe_join(df, first, [key], "left").withColumn("content", F.concat(opening, body)).drop("__first")
 
 
 def with_marks(sentences: Column, bos: int | None, eos: int | None) -> Column:

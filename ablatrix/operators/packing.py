@@ -122,6 +122,6 @@ def head_samples(samples: DataFrame, n: int = 20) -> DataFrame:
     return samples.filter(F.col("sample_id") < n)
 
 
-def cap_samples(samples: DataFrame, cap: int = 500_000) -> DataFrame:
-    """Train on the first ``cap`` samples at most."""
-    return samples.filter(F.col("sample_id") < cap)
+def cap_samples(samples: DataFrame, cap: int | None) -> DataFrame:
+    """The first ``cap`` samples at most; None keeps all."""
+    return samples if cap is None else samples.filter(F.col("sample_id") < cap)

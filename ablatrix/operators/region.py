@@ -28,6 +28,7 @@ SIDES = ("top", "bottom")
 
 
 def usable_checkpoints(df: DataFrame) -> DataFrame:
+    """Checkpoints that are not themselves damaged ones, as evaluations are queued for."""
     return df.filter(~naming.is_damaged_checkpoint(F.col("ckpt")))
 
 
@@ -35,8 +36,7 @@ def tensor_meta(blocks: DataFrame) -> DataFrame:
     """One row per tensor: ``shape``, ``numel`` and ``layer``. Reads no values."""
     numel = F.aggregate("shape", F.lit(1).cast("bigint"), lambda n, d: n * d)
     return (
-        usable_checkpoints(blocks)
-        .groupBy("ckpt", "tensor")
+        blocks.groupBy("ckpt", "tensor")
         .agg(F.max("shape").alias("shape"))
         .withColumns({"numel": numel, "layer": naming.layer_of(F.col("tensor"))})
     )
@@ -63,6 +63,11 @@ def with_offsets(meta: DataFrame) -> DataFrame:
     return meta.withColumn("offset", F.when(F.col("eligible"), before))
 
 
+def masked_tensors(meta: DataFrame) -> DataFrame:
+    """Tensors that get a mask: those of numbered layers, whether or not anything is selected there."""
+    return meta.filter(F.col("layer").isNotNull()).select("ckpt", "tensor")
+
+
 def layout(blocks: DataFrame, front: int = 0, back: int = 0) -> DataFrame:
     """Metadata with eligibility and offsets, evaluated once."""
     return settle(with_offsets(with_eligibility(tensor_meta(blocks), front, back)))[0]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import HASH_BITS, order_hash
+from ..session import null_safe_join
 from .ranks import count_rows, locate_bounds, within
 
 
@@ -46,5 +47,5 @@ def ensure_splits(df: DataFrame, key: str, test_share: float = 0.2, seed: int =
 
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys an earlier run has not processed."""
-    return df.join(done.select(*keys), keys, "left_anti")
+    """Rows whose keys an earlier run has not processed; a null key is a key like any other."""
+    return null_safe_join(df, done.select(*keys).distinct(), keys, "left_anti")

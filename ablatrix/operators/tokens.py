@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import stage
 
 # Tasks get these functions by value, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,8 +89,15 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array([0, *sizes.cumsum().tolist()], pa.int32())
 
 
+def _own_rows(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Rows with a number of their own, written once: keys may repeat or be null."""
+    row = f"__row_{key}"
+    return stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def _encode_by_join(df, vocab, unknown, column, into, key):
-    """Join every token to the vocabulary, then gather ids per document."""
+    """Join every token to the vocabulary, then gather ids per row."""
+    df, key = _own_rows(df, key)
     flat = df.select(
         key, F.posexplode(column).alias("s", "sentence")
     ).select(key, "s", F.posexplode_outer("sentence").alias("p", "token"))
@@ -108,7 +116,7 @@ def _encode_by_join(df, vocab, unknown, column, into, key):
         F.transform(F.array_sort(F.collect_list(F.struct("s", "ids"))), lambda x: x["ids"]).alias(into)
     )
     empty = F.array().cast("array<array<int>>")
-    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, empty))
+    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, empty)).drop(key)
 
 
 def decode_ids(
@@ -145,6 +153,7 @@ def _decode_in_place(df, vocab, column, into):
 
 
 def _decode_by_join(df, vocab, column, into, key):
+    df, key = _own_rows(df, key)
     flat = df.select(key, F.posexplode(column).alias("p", "id"))
     words = flat.join(vocab.select("id", "token"), "id", "left")
     per_key = words.groupBy(key).agg(
@@ -156,7 +165,7 @@ def _decode_by_join(df, vocab, column, into, key):
             " ",
         ).alias(into)
     )
-    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, F.lit("")))
+    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, F.lit(""))).drop(key)
 
 
 # Tokenizers and sentence splitters a user adds: name -> function that builds one per worker.

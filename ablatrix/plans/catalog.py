@@ -177,12 +177,10 @@ def extract_text_list(spark, sf):
 
 @query
 def drop_blank(spark, sf):
-    kind = F.col("doc_id") % 5
-    text = (
-        F.when(kind == 0, F.lit(" \n\t ")).when(kind == 1, F.lit("\\n")).when(kind == 2, F.lit(""))
-        .otherwise(F.col("text"))
-    )
-    return extraction.drop_blank(v.documents(spark, sf).select("doc_id", text.alias("text")))
+    docs = v.documents(spark, sf).select("doc_id", "text")
+    kind = F.col("doc_id") % 3
+    blank = F.when(kind == 0, F.lit(" \n\t ")).when(kind == 1, F.lit("\\n")).otherwise(F.lit(""))
+    return extraction.drop_blank(docs.union(docs.select("doc_id", blank)))
 
 
 @query
@@ -398,7 +396,7 @@ def attention_mask(spark, sf):
 
 @query
 def cap_samples(spark, sf):
-    return packing.cap_samples(v.packed_table(spark, sf)).agg(
+    return packing.cap_samples(v.packed_table(spark, sf), 100).agg(
         F.count("*").alias("n_samples"), F.sum("length").alias("n_tokens")
     )
 
@@ -642,7 +640,8 @@ def apply_mask(spark, sf):
 
 @query
 def missing_masks(spark, sf):
-    return damage.missing_masks(v.weights(spark, sf), _one_mask(spark, sf)).select("tensor", "name")
+    masks = region.masked_tensors(region.layout(v.tensor_blocks(spark, sf)))
+    return damage.missing_masks(v.weights(spark, sf), masks).select("tensor", "name")
 
 
 def _param_shapes(spark, sf) -> DataFrame:

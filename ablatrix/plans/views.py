@@ -53,26 +53,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+# Question types.
 QA_TYPES = [
     "single_fact_recall", "multi_hop_recall", "world_fact", "roles_and_relations", "logic_puzzle",
     "pattern_completion", "analogy", "arithmetic_word_problem", "temporal_order", "spatial_relation",
     "everyday_cause_effect", "unmapped_type",
 ]
 CONTEXT_TAIL = " It rained because of wind. All boxes left of Bob moved before noon. Add 3.5 plus 2."
+# Ids of the rows without context are those of their documents and this.
+WITHOUT_CONTEXT = 1_000_000_000
 QUESTION_TAIL = " Was it first or in front of 7 at 2 pm?"
 
 
 def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as QA rows of all question types, one of them without a rewrite of its own."""
+    """Whole documents as QA rows of all question types, one of them without a rewrite of its own."""
     types = F.array(*[F.lit(t) for t in QA_TYPES])
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("item_id"),
+    docs = documents(spark, sf_dir)
+    context = F.concat("text", F.lit(CONTEXT_TAIL))
+    # Some questions come once more without a context.
+    both = docs.select("*", context.alias("context"), F.col("doc_id").alias("item_id")).union(
+        docs.filter(F.col("doc_id") % 7 == 0).select("*", F.lit(""), F.col("doc_id") + WITHOUT_CONTEXT)
+    )
+    return both.select(
+        "item_id",
         F.element_at(types, (F.col("doc_id") % len(QA_TYPES) + 1).cast("int")).alias("question_type"),
-        F.when(F.col("doc_id") % 7 == 0, F.lit(""))
-        .otherwise(F.concat("text", F.lit(CONTEXT_TAIL)))
-        .alias("context"),
-        F.concat(F.substring("text", 1, 200), F.lit(QUESTION_TAIL)).alias("question"),
-        F.slice(F.split("text", " "), 1, 4).alias("options"),
+        "context",
+        F.concat("text", F.lit(QUESTION_TAIL)).alias("question"),
+        F.split("text", " ").alias("options"),
         F.col("lang").alias("answer"),
     )
 

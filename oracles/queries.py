@@ -7,17 +7,18 @@ from . import parts as p
 ORACLES: dict[str, str] = {}
 
 QA = """qa AS (
-SELECT doc_id AS item_id,
+SELECT item_id,
  CASE doc_id % 12
   WHEN 0 THEN 'single_fact_recall' WHEN 1 THEN 'multi_hop_recall' WHEN 2 THEN 'world_fact'
   WHEN 3 THEN 'roles_and_relations' WHEN 4 THEN 'logic_puzzle' WHEN 5 THEN 'pattern_completion'
   WHEN 6 THEN 'analogy' WHEN 7 THEN 'arithmetic_word_problem' WHEN 8 THEN 'temporal_order'
   WHEN 9 THEN 'spatial_relation' WHEN 10 THEN 'everyday_cause_effect' ELSE 'unmapped_type' END AS question_type,
- CASE WHEN doc_id % 7 = 0 THEN ''
+ CASE WHEN bare THEN ''
   ELSE concat(text, ' It rained because of wind. All boxes left of Bob moved before noon. Add 3.5 plus 2.') END AS context,
- concat(substring(text, 1, 200), ' Was it first or in front of 7 at 2 pm?') AS question,
- string_split(text, ' ')[1:4] AS options, lang AS answer
-FROM documents)"""
+ concat(text, ' Was it first or in front of 7 at 2 pm?') AS question,
+ string_split(text, ' ') AS options, lang AS answer
+FROM (SELECT doc_id AS item_id, FALSE AS bare, doc_id, text, lang FROM documents
+ UNION ALL SELECT doc_id + 1000000000, TRUE, doc_id, text, lang FROM documents WHERE doc_id % 7 = 0))"""
 
 C, Q, O = "context", "question", "options"
 SO = p.scramble_options(O)
@@ -92,7 +93,7 @@ ORACLES["extract_text_keys"] = f"""WITH {QA}
 SELECT item_id, context || ' ' || question || ' ' || array_to_string(options, ' ') || ' ' || answer AS text FROM qa"""
 ORACLES["extract_text_list"] = f"WITH {QA} SELECT item_id, array_to_string(options, ' ') AS text FROM qa"
 ORACLES["drop_blank"] = f"""SELECT doc_id, text FROM documents
-WHERE doc_id % 5 > 2 AND {p.trim('text')} <> '' AND text <> '\\n'"""
+WHERE {p.trim('text')} <> '' AND text <> '\\n'"""
 ORACLES["require_type"] = f"""WITH {QA}
 SELECT item_id, question_type, CASE WHEN item_id % 4 > 0 THEN context ELSE '' END AS context, question,
  CASE WHEN item_id % 9 > 0 THEN {p.words(O)} ELSE '' END AS options FROM qa WHERE item_id % 6 > 1"""
@@ -221,7 +222,7 @@ ORACLES["pad_batch"] = f"""{PACKED} SELECT sample_id, {p.numbers('list_resize(to
 ORACLES["attention_mask"] = f"""{PACKED}, pd AS (SELECT sample_id, list_resize(tokens, 1024, 2) AS ids FROM pk),
 fp AS (SELECT *, list_position(ids, 2) AS first_pad FROM pd)
 SELECT sample_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN x <> 2 OR i = first_pad THEN 1 ELSE 0 END), '') AS mask FROM fp"""
-ORACLES["cap_samples"] = f"{PACKED} SELECT count(*) AS n_samples, sum(length)::BIGINT AS n_tokens FROM pk WHERE sample_id < 500000"
+ORACLES["cap_samples"] = f"{PACKED} SELECT count(*) AS n_samples, sum(length)::BIGINT AS n_tokens FROM pk WHERE sample_id < 100"
 DEALT = f"""{PACKED}, nn AS (SELECT count(*) AS n FROM pk),
 rk AS (SELECT sample_id, row_number() OVER (ORDER BY {p.order_hash(0, 'sample_id')}, sample_id) - 1 AS r FROM pk),
 dl AS (SELECT sample_id, r FROM rk UNION ALL SELECT sample_id, r + n FROM rk, nn WHERE r < (3 - n % 3) % 3),
@@ -338,7 +339,7 @@ ORACLES["mask_roundtrip"] = f"{FROM_VALUES}, {GLOBAL} SELECT 'checkpoint_full' A
 ONE = f"{FROM_VALUES}, {GLOBAL}, one AS (SELECT tensor, pos FROM pick WHERE k = 0.01024 AND side = 'top')"
 ORACLES["apply_mask"] = f"""{ONE} SELECT s.tensor, s.block, s.i::INT AS i, CASE WHEN one.pos IS NULL THEN val::DOUBLE ELSE 0.0 END AS val
 FROM src s LEFT JOIN one ON one.tensor = s.tensor AND one.pos = s.block * 64 + s.i"""
-ORACLES["missing_masks"] = f"""{ONE} SELECT tensor, replace(tensor, '.', '_') AS name FROM meta WHERE tensor NOT IN (SELECT tensor FROM one)"""
+ORACLES["missing_masks"] = f"""{ONE} SELECT tensor, replace(tensor, '.', '_') AS name FROM meta WHERE layer IS NULL"""
 SHAPES = """sh AS (SELECT tensor, [numel // 64, 64] AS mask_shape, CASE layer WHEN 0 THEN [numel // 64 + 3, 64]
  WHEN 1 THEN [greatest(numel // 64 - 3, 1), 64] WHEN 2 THEN [numel] WHEN 3 THEN [numel // 64, 128]
  ELSE [numel // 64, 64] END AS shape, CASE layer WHEN 0 THEN 'pad' WHEN 1 THEN (CASE WHEN numel = 64 THEN 'equal' ELSE 'cut' END)
