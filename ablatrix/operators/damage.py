@@ -6,14 +6,16 @@ to zero. Weights are shuffled at most once however many variants are written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrays as ar
 from ..functions.naming import file_safe
-from ..session import settle
+from ..session import stage
 from .region import BLOCK_SIZE, mask_blocks
 
 VARIANT = ["ckpt", "k", "side"]
+#: Variants a weight row fans out to at once.
+VARIANT_GROUP = 1024
 
 
 def missing_masks(weights: DataFrame, masks: DataFrame) -> DataFrame:
@@ -99,30 +101,37 @@ def paired_variants(selection: DataFrame) -> DataFrame:
 def damage_variants(weights: DataFrame, selection: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Full weight tables for every checkpoint, k and side with masks.
 
-    Weights meet all variants' masks in one join on (name, block) and fan out afterwards.
+    Variants are numbered and dealt into groups of ``VARIANT_GROUP``. Weights meet the masks of each
+    group in one join on (name, block, group) and fan out afterwards, so that no row holds more than
+    a group's variants, however many there are.
     """
-    _, rows = settle(paired_variants(selection))
-    if rows is None:
-        raise ValueError("too many variants for one run: damage them in groups of checkpoints")
-    if not rows:
-        return weights.limit(0).selectExpr("'' AS ckpt", "0.0D AS k", "'' AS side", "*")
-    every = F.array(
-        *[
-            F.struct(F.lit(r["ckpt"]).alias("ckpt"), F.lit(r["k"]).alias("k"), F.lit(r["side"]).alias("side"))
-            for r in rows
-        ]
+    numbered = paired_variants(selection).withColumn("n", F.row_number().over(Window.orderBy(*VARIANT)) - 1)
+    numbered = numbered.withColumns({"g": F.expr(f"n div {VARIANT_GROUP}").cast("int"), "n": (F.col("n") % VARIANT_GROUP).cast("int")})
+    groups = stage(
+        numbered.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", *VARIANT))).alias("variants")), "variants"
     )
+    n_groups = groups.count()
+    if not n_groups:
+        return weights.limit(0).selectExpr("'' AS ckpt", "0.0D AS k", "'' AS side", "*")
+    flat = groups.select("g", F.explode("variants").alias("v")).select("g", "v.*")
     per_block = (
         mask_blocks(selection, block_size)
-        .groupBy(file_safe(F.col("tensor")).alias("__name"), "block")
-        .agg(F.collect_list(F.struct(*VARIANT, "hits")).alias("masks"))
+        .join(flat, VARIANT)
+        .groupBy(file_safe(F.col("tensor")).alias("__name"), "block", "g")
+        .agg(F.collect_list(F.struct("n", "hits")).alias("masks"))
     )
-    joined = weights.withColumn("__name", file_safe(F.col("tensor"))).join(per_block, ["__name", "block"], "left")
-    own = F.filter(
-        "masks",
-        lambda m: (m["ckpt"] == F.col("v.ckpt")) & (m["k"] == F.col("v.k")) & (m["side"] == F.col("v.side")),
+    named = weights.withColumns({
+        "__name": file_safe(F.col("tensor")), "g": F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))),
+    })
+    joined = named.join(per_block, ["__name", "block", "g"], "left").join(groups, "g")
+    masks = F.coalesce("masks", F.array().cast("array<struct<n:int,hits:array<int>>>"))
+    # Each variant once: those with a mask here with it, the others with none.
+    others = F.array_except(F.transform("variants", lambda v: v["n"]), F.transform(masks, lambda m: m["n"]))
+    nothing = F.lit(None).cast("array<int>")
+    every = F.concat(masks, F.transform(others, lambda n: F.struct(n.alias("n"), nothing.alias("hits"))))
+    fanned = joined.withColumn("m", F.explode(every)).withColumns(
+        {"v": F.get("variants", F.col("m.n")), "hits": F.col("m.hits")}
     )
-    fanned = joined.withColumn("v", F.explode(every)).withColumn("hits", F.try_element_at(own, F.lit(1))["hits"])
     mask = ar.dense_mask(F.col("hits"), F.size("weight"))
     new = F.when(F.col("hits").isNull(), F.col("weight")).otherwise(ar.zero_where(F.col("weight"), mask))
     kept = [c for c in weights.columns if c != "weight"]

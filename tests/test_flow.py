@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ablatrix.functions import chat
-from ablatrix.operators import attribution, batches, corpus, extraction, results, splitting, tokens
+from ablatrix.operators import (
+    attribution, batches, corpus, extraction, packing, region, results, splitting, tokens,
+)
 from ablatrix.plans import workflows
 from ablatrix.sources import jsonl, packed, tensors
 from ablatrix.streaming.incremental import corrupt_new_files
@@ -271,3 +273,43 @@ def test_result_reports(spark):
     assert missing == {("original", "b1"), ("top", "b1"), ("bottom", "b1")}
     matrix = {r["side"]: (r["b0"], r["b1"]) for r in results.change_matrix(scores, ["b0", "b1"]).collect()}
     assert matrix == {"top": (-1.0, None), "bottom": (0.0, None)}
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_rows_with_repeated_and_null_keys_stay_apart(spark, local):
+    vocab = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, id int")
+    rows = [(1, [["a", "b"]]), (1, [["c"]]), (None, [["a"]]), (2, []), (3, [[], ["z"]])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<array<string>>")
+    got = tokens.encode_tokens(df, vocab, 0, local=local).collect()
+    want = [(1, [[3, 4]]), (1, [[5]]), (None, [[3]]), (2, []), (3, [[], [0]])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    flat = spark.createDataFrame([(1, [3, 4]), (1, [5]), (None, [3])], "doc_id long, ids array<int>")
+    texts = [r["text"] for r in tokens.decode_ids(flat, vocab, local=local).collect()]
+    assert sorted(texts) == ["a", "a b", "c"]
+
+
+def test_opening_goes_to_the_first_turn(spark):
+    turns = spark.createDataFrame(
+        [(1, 1, "user", "x"), (1, 2, "assistant", "y"), (None, 3, "user", "z")], "conv_id long, turn long, role string, text string"
+    )
+    template = chat.TEMPLATES["header"]
+    got = {(r["conv_id"], r["turn"]): r["content"] for r in corpus.chat_turns(turns, template).collect()}
+    assert {k for k, c in got.items() if c.startswith(template.opening)} == {(1, 1), (None, 3)}
+
+
+def test_null_keys_are_done_once(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "id long")
+    assert [r["id"] for r in splitting.not_done(df, df.filter("id is null or id = 1"), ["id"]).collect()] == [2]
+
+
+def test_cap_is_stated(spark):
+    samples = spark.range(10).withColumnRenamed("id", "sample_id")
+    assert packing.cap_samples(samples, 4).count() == 4 and packing.cap_samples(samples, None).count() == 10
+
+
+def test_extraction_keeps_checkpoints_of_any_name(spark):
+    blocks = spark.createDataFrame(
+        [("c_damage_study", "model.layers.0.mlp.up_proj.weight", [2, 2], 0, [1.0, 2.0, 3.0, 4.0])],
+        "ckpt string, tensor string, shape array<int>, block long, vals array<float>",
+    )
+    assert region.tensor_meta(blocks).count() == 1

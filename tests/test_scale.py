@@ -98,7 +98,7 @@ SIZE = 16
 
 
 def _tensors(spark, ties):
-    """Two checkpoints and a damaged one; with ``ties`` a third of all values are zero."""
+    """Three checkpoints, one with damage in its name; with ``ties`` a third of all values are zero."""
     rng = np.random.default_rng(9)
     names = ["model.embed.weight", "model.norm.weight"] + [
         f"model.layers.{layer}.{part}.weight" for layer in range(12) for part in ("mlp.up", "self_attn.q", "MLP.down")
@@ -121,7 +121,7 @@ def _tensors(spark, ties):
 
 def _brute_selection(flat, ks, front, back, mode, floor):
     out = {}
-    for ckpt in ("checkpoint_1", "checkpoint_2"):
+    for ckpt in sorted({c for c, _ in flat}):
         mine = {t: v for (c, t), v in flat.items() if c == ckpt}
         total = sum(len(v) for v in mine.values())
         layer = {t: int(t.split(".")[2]) for t in mine if t.startswith("model.layers")}
@@ -204,7 +204,9 @@ def test_preview_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in region.selected_preview(picked)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_damage_zeroes_selected_places_only(spark):
+@pytest.mark.parametrize("group", [3, 1024])
+def test_damage_zeroes_selected_places_only(spark, group, monkeypatch):
+    monkeypatch.setattr(damage, "VARIANT_GROUP", group)
     df, flat = _tensors(spark, False)
     one = df.filter("ckpt = 'checkpoint_1'")
     weights = one.select("tensor", "shape", "block", F.col("vals").alias("weight"))
@@ -214,7 +216,7 @@ def test_damage_zeroes_selected_places_only(spark):
     for r in picked.collect():
         chosen[r["ckpt"], r["k"], r["side"], r["tensor"]].add(r["pos"])
     variants = {(r["ckpt"], r["k"], r["side"]) for r in rows}
-    assert len(variants) == 8 and len(rows) == 8 * weights.count()
+    assert len(variants) == 12 and len(rows) == 12 * weights.count()
     for r in rows:
         hit = chosen[r["ckpt"], r["k"], r["side"], r["tensor"]]
         base = flat["checkpoint_1", r["tensor"]]
