@@ -39,3 +39,16 @@ def magnitude_key(v: Column) -> Column:
         .otherwise((e + 127.0) * 2.0**23 + fraction * 2.0**23)
         .cast("bigint")
     )
+
+
+def two_decimals(percent: Column) -> Column:
+    """A percentage (0 to 100) rounded as ``"%.2f"`` does: by the exact binary value, exact ties to even.
+
+    Times 2**56 such a double is a whole number, or below any tie, so the rest is integer arithmetic.
+    """
+    unit = F.lit(1 << 56).cast("decimal(20,0)")
+    hundredths = F.floor(percent * float(1 << 56)).cast("decimal(20,0)") * 100
+    rest = hundredths % unit
+    down = ((hundredths - rest) / unit).cast("bigint")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (down % 2 == 1))
+    return (down + up.cast("int")) / 100

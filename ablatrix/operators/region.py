@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import naming
+from ..functions import naming, numeric
 from ..functions.hashing import HASH_BITS, order_hash
 from ..functions.numeric import format_k, magnitude_key
 from ..session import settle
@@ -260,7 +260,7 @@ def layer_stats(meta: DataFrame, selection: DataFrame, ks: Sequence[float]) -> D
     rows = layered.join(done, "ckpt").join(counts, ["ckpt", "k", "tensor"], "left")
 
     def percent(n: str) -> Column:
-        return F.bround(F.col(n) / F.col("numel") * 100, 2)
+        return numeric.two_decimals(F.col(n) / F.col("numel") * 100)
 
     zero = F.lit(0).cast("bigint")
     return (

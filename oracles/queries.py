@@ -319,7 +319,7 @@ GROUP BY ALL"""
 STATS = f"""{FROM_VALUES}, {GLOBAL}, cn AS (SELECT k, tensor, count_if(side = 'top') AS t, count_if(side = 'bottom') AS b FROM pick GROUP BY ALL),
 stats AS (SELECT k, tensor, numel, coalesce(t, 0)::BIGINT AS top_n, coalesce(b, 0)::BIGINT AS bottom_n
  FROM (SELECT k, m.* FROM meta m, pl WHERE layer IS NOT NULL) LEFT JOIN cn USING (k, tensor)),
-pc AS (SELECT *, round_even(top_n::DOUBLE / numel * 100, 2) AS top_pct, round_even(bottom_n::DOUBLE / numel * 100, 2) AS bottom_pct FROM stats)"""
+pc AS (SELECT *, printf('%.2f', top_n::DOUBLE / numel * 100)::DOUBLE AS top_pct, printf('%.2f', bottom_n::DOUBLE / numel * 100)::DOUBLE AS bottom_pct FROM stats)"""
 ORACLES["layer_stats"] = f"{STATS} SELECT 'checkpoint_full' AS ckpt, k, tensor, numel, top_n, top_pct, bottom_n, bottom_pct FROM pc"
 ORACLES["stats_roundtrip"] = f"""{STATS} SELECT 'checkpoint_full' AS ckpt, k, 'Layer: ' || tensor || '.pt' AS "Layer",
  'Total Parameters: ' || numel AS total_parameters, printf('Top: %d (%.2f%%)', top_n, top_pct) AS "Top",

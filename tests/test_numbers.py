@@ -106,3 +106,10 @@ def test_order_hash_depends_on_identity_only(spark):
     one = {r["id"]: r["h"] for r in df.repartition(1).collect()}
     assert one == {r["id"]: r["h"] for r in df.repartition(7).collect()}
     assert min(one.values()) >= 0 and max(one.values()) < 2**60 and len(set(one.values())) == 100
+
+
+def test_percentages_round_by_their_exact_value(spark):
+    pairs = [(n, m) for m in (7, 8, 400, 800, 20_000, 99_991) for n in range(0, m + 1, max(1, m // 400))] + [(203, 20_000)]
+    df = spark.createDataFrame(pairs, "n long, m long")
+    for r in df.withColumn("p", numeric.two_decimals(F.col("n") / F.col("m") * 100)).collect():
+        assert r["p"] == float(f"{r['n'] / r['m'] * 100:.2f}"), r
