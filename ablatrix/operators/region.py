@@ -288,18 +288,32 @@ def stats_text(stats: DataFrame) -> DataFrame:
     )
 
 
-def selected_indices(selection: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Top-selected positions per tensor, in parts of one block of positions each."""
-    return (
+def eligible_cells(meta: DataFrame, ks: Sequence[float]) -> DataFrame:
+    """(ckpt, k, tensor) of all eligible tensors, whether or not anything is selected there."""
+    eligible = meta.filter("eligible").select("ckpt", "tensor")
+    return eligible.join(budgets(meta, ks).select("ckpt", "k"), "ckpt").select("ckpt", "k", "tensor")
+
+
+def selected_indices(
+    selection: DataFrame, meta: DataFrame, ks: Sequence[float], block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """Top-selected positions per eligible tensor, ascending, in parts of one block of positions each;
+    a tensor without any has one empty part."""
+    parts = (
         selection.filter(F.col("side") == "top")
         .groupBy("ckpt", "tensor", F.col("k").alias("k_value"), F.expr(f"pos div {block_size}").alias("part"))
         .agg(F.sort_array(F.collect_list("pos")).alias("indices"))
         .select("ckpt", F.col("tensor").alias("layer_name"), "k_value", "part", "indices")
     )
+    cells = eligible_cells(meta, ks).select("ckpt", F.col("tensor").alias("layer_name"), F.col("k").alias("k_value"))
+    return cells.join(parts, ["ckpt", "layer_name", "k_value"], "left").withColumns({
+        "part": F.coalesce("part", F.lit(0).cast("bigint")),
+        "indices": F.coalesce("indices", F.array().cast("array<bigint>")),
+    })
 
 
-def selected_preview(selection: DataFrame, n: int = 10) -> DataFrame:
-    """Count and first ``n`` top positions per tensor, in the order of selection: chunk by chunk,
+def selected_preview(selection: DataFrame, meta: DataFrame, ks: Sequence[float], n: int = 10) -> DataFrame:
+    """Count and first ``n`` top positions per eligible tensor, in the order of selection: chunk by chunk,
     largest magnitude first. Only ``n`` rows per tensor and task reach the shuffle."""
     top = selection.filter(F.col("side") == "top")
     keys = ["ckpt", "k", "tensor"]
@@ -311,10 +325,13 @@ def selected_preview(selection: DataFrame, n: int = 10) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "pos"))), lambda x: x["pos"]).alias("head"))
     )
     text = F.concat(F.lit("["), F.array_join(F.transform("head", lambda p: p.cast("string")), ", "), F.lit("]"))
-    return (
+    found = (
         top.groupBy(*keys)
         .agg(F.count("*").alias("index_count"))
         .join(first, keys)
         .withColumn("preview", F.when(F.col("index_count") > n, F.concat(text, F.lit("..."))).otherwise(text))
         .drop("head")
     )
+    return eligible_cells(meta, ks).join(found, keys, "left").withColumns({
+        "index_count": F.coalesce("index_count", F.lit(0).cast("bigint")), "preview": F.coalesce("preview", F.lit("[]")),
+    })

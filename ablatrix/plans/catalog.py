@@ -593,21 +593,23 @@ def stats_roundtrip(spark, sf):
 
 @query
 def selected_indices(spark, sf):
-    parts = region.selected_indices(_global(spark, sf), v.VECTOR_LENGTH)
+    meta = region.layout(v.tensor_blocks(spark, sf))
+    parts = region.selected_indices(_global(spark, sf), meta, v.K_VALUES, v.VECTOR_LENGTH)
     return parts.select("ckpt", "layer_name", "k_value", "part", numbers("indices").alias("indices"))
 
 
 @query
 def selected_roundtrip(spark, sf):
     path = scratch_path(spark, "selected")
-    tensors.write_selected(region.selected_indices(_chunked(spark, sf), 1 << 14), path)
+    meta = region.layout(v.tensor_blocks(spark, sf))
+    tensors.write_selected(region.selected_indices(_chunked(spark, sf), meta, v.K_VALUES, 1 << 14), path)
     back = tensors.read_selected(spark, path)
     return back.select("ckpt", "layer_name", "k_value", "part", numbers("indices").alias("indices"))
 
 
 @query
 def selected_preview(spark, sf):
-    return region.selected_preview(_chunked(spark, sf))
+    return region.selected_preview(_chunked(spark, sf), region.layout(v.tensor_blocks(spark, sf)), v.K_VALUES)
 
 
 @query

@@ -53,8 +53,8 @@ def extract_and_damage(
     stats = region.layer_stats(meta, chosen, ks)
     tensors.write_masks(chosen, f"{target}/masks")
     tensors.write_stats(stats, f"{target}/stats")
-    tensors.write_selected(region.selected_indices(chosen, block_size), f"{target}/selected")
-    tensors.write_preview(region.selected_preview(chosen), f"{target}/preview")
+    tensors.write_selected(region.selected_indices(chosen, meta, ks, block_size), f"{target}/selected")
+    tensors.write_preview(region.selected_preview(chosen, meta, ks), f"{target}/preview")
     damage.damage_variants(weights, tensors.read_masks(spark, f"{target}/masks"), block_size).write.partitionBy(
         "ckpt", "side", "k"
     ).parquet(f"{target}/damaged")

@@ -324,15 +324,17 @@ ORACLES["layer_stats"] = f"{STATS} SELECT 'checkpoint_full' AS ckpt, k, tensor,
 ORACLES["stats_roundtrip"] = f"""{STATS} SELECT 'checkpoint_full' AS ckpt, k, 'Layer: ' || tensor || '.pt' AS "Layer",
  'Total Parameters: ' || numel AS total_parameters, printf('Top: %d (%.2f%%)', top_n, top_pct) AS "Top",
  printf('Bottom: %d (%.2f%%)', bottom_n, bottom_pct) AS "Bottom" FROM pc"""
-INDICES = """SELECT 'checkpoint_full' AS ckpt, tensor AS layer_name, k AS k_value, pos // {size} AS part,
- string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS indices FROM pick WHERE side = 'top' GROUP BY ALL"""
+INDICES = """SELECT 'checkpoint_full' AS ckpt, off.tensor AS layer_name, pl.k AS k_value, coalesce(pos // {size}, 0)::BIGINT AS part,
+ coalesce(string_agg(pos::VARCHAR, ' ' ORDER BY pos), '') AS indices FROM off CROSS JOIN pl
+ LEFT JOIN pick ON pick.tensor = off.tensor AND pick.k = pl.k AND side = 'top' GROUP BY ALL"""
 ORACLES["selected_indices"] = f"{FROM_VALUES}, {GLOBAL} {INDICES.format(size=64)}"
 ORACLES["selected_roundtrip"] = f"{FROM_VALUES}, {CHUNKED} {INDICES.format(size=16384)}"
 ORACLES["selected_preview"] = f"""{FROM_VALUES}, {CHUNKED},
 pv AS (SELECT k, tensor, count(*) AS index_count, (list(pos ORDER BY chunk, a DESC, gpos))[1:10] AS head
  FROM pick WHERE side = 'top' GROUP BY ALL)
-SELECT 'checkpoint_full' AS ckpt, k, tensor, index_count,
- '[' || array_to_string(head, ', ') || ']' || CASE WHEN index_count > 10 THEN '...' ELSE '' END AS preview FROM pv"""
+SELECT 'checkpoint_full' AS ckpt, pl.k, off.tensor, coalesce(index_count, 0)::BIGINT AS index_count,
+ coalesce('[' || array_to_string(head, ', ') || ']' || CASE WHEN index_count > 10 THEN '...' ELSE '' END, '[]') AS preview
+ FROM off CROSS JOIN pl LEFT JOIN pv ON pv.tensor = off.tensor AND pv.k = pl.k"""
 ORACLES["tensor_roundtrip"] = f"WITH {TENSORS}, {RAW} SELECT 'checkpoint_full' AS ckpt, tensor, block, i::INT AS i, val::DOUBLE AS val FROM src"
 ORACLES["mask_roundtrip"] = f"{FROM_VALUES}, {GLOBAL} SELECT 'checkpoint_full' AS ckpt, k, side, tensor, pos FROM pick"
 

@@ -200,8 +200,9 @@ def test_last_pass_is_a_filter(spark):
 
 def test_preview_limits_before_the_shuffle(spark):
     df, _ = _tensors(spark, False)
-    picked = region.select_global(df, region.layout(df), [0.05], SIZE)
-    assert "WindowGroupLimit" in region.selected_preview(picked)._jdf.queryExecution().executedPlan().toString()
+    meta = region.layout(df)
+    picked = region.select_global(df, meta, [0.05], SIZE)
+    assert "WindowGroupLimit" in region.selected_preview(picked, meta, [0.05])._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("group", [3, 1024])
