@@ -6,6 +6,7 @@ engines), so the classes are spelled out.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -98,7 +99,7 @@ def drop_words(c: Column, words: Iterable[str]) -> Column:
 
 def blank_alphanumerics(c: Column) -> Column:
     """Every ASCII letter or digit becomes ``X``."""
-    alnum = "".join(chr(x) for r in ((48, 58), (65, 91), (97, 123)) for x in range(*r))
+    alnum = string.ascii_letters + string.digits
     return F.translate(c, alnum, "X" * len(alnum))
 
 

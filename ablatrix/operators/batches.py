@@ -60,6 +60,7 @@ def checkpoint_interval(n: int, full: bool = False) -> int:
     """Samples between two checkpoints for ``n`` training samples."""
     if full:
         return n
+    # Intervals by the number of samples.
     for interval in (100_000, 10_000, 1_000, 100):
         if n >= interval:
             return interval

@@ -278,6 +278,7 @@ def stats_text(stats: DataFrame) -> DataFrame:
     def share(label: str, n: str, pct: str) -> Column:
         return F.format_string(f"{label}: %d (%.2f%%)", F.col(n), F.col(pct))
 
+    # Headers and texts.
     return stats.select(
         "ckpt",
         format_k(F.col("k")).alias("k_label"),

@@ -76,11 +76,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> tuple[DataFrame, list | None]:
-    """Evaluate a table that is expected to be small, exactly once.
+    """Evaluate a table that is expected to be small: once if it is, twice if not.
 
     Within the bounds it becomes a local relation marked for broadcast: its size is known then,
-    not guessed. Beyond them it is checkpointed in the shared folder and joins are left to the
-    planner. Returns the table and its rows when local.
+    not guessed. Beyond them it is computed again and checkpointed in the shared folder, and joins
+    are left to the planner. Returns the table and its rows when local.
     """
     spark = df.sparkSession
     # Below another operator the limit is one job, not a search partition by partition.

@@ -57,6 +57,7 @@ def read_selected(spark: SparkSession, path: str) -> DataFrame:
 
 def write_preview(preview: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Counts and first positions as CSV; a re-run replaces it instead of adding rows."""
+    # The headers.
     preview.select(
         F.col("tensor").alias("Layer"), F.col("k").alias("K Value"), F.col("index_count").alias("Index Count"),
         F.col("preview").alias("Indices"), "ckpt", format_k(F.col("k")).alias("k_label"),

@@ -18,6 +18,7 @@ SPACE_CHARS = "||".join(
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_{SPACES}]"
 
+# Word lists and swap tables of the rewrites.
 LOGIC = "all|any|every|if|then|because|therefore|hence|thus"
 MATH = "add|sum|total|discount|multiply|divide|minus|plus|more than|less than|area|perimeter|average"
 CAUSE = "because|so|due to|as a result"
