@@ -155,6 +155,26 @@ def shard_of(codes: np.ndarray, depth: int, shards: int) -> np.ndarray:
     return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
 
 
+class Places:
+    """Places of codes in a sorted array that has them all: by a hash table, and by search where two
+    codes share a slot."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.shift = np.uint64(64 - max(1, (4 * len(codes)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._slots(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        at = self.table[self._slots(codes)]
+        wrong = np.flatnonzero(self.codes[at] != codes)
+        at[wrong] = np.searchsorted(self.codes, codes[wrong])
+        return at
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zlib.compress(a.tobytes(), 1)
 
@@ -315,11 +335,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         if len(own):
             code, log = np.concatenate(codes), np.concatenate(logs)
             order = np.argsort(code, kind="stable")
-            code, log = code[order], log[order]
+            places, log = Places(code[order]), log[order]
         floor = tokens + 0.1 * (distinct + 1)
         for begin in range(0, len(own), 64):
             texts = [normalised(t) for t in own["text"].slice(begin, 64).to_pylist()]
-            values = log[np.searchsorted(code, grams(texts, depth))].astype(float)
+            values = log[places.of(grams(texts, depth))].astype(float)
             lengths = np.array([len(t) for t in texts])
             out["score"] += np.add.reduceat(values, np.cumsum(lengths) - lengths).tolist()
             out["n_bytes"] += lengths.tolist()
