@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir, stage
-from .common import fresh
+from .common import fresh, slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", size: in
     others = [c for c in docs.columns if c not in (text, into)]
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([simhash(shingle_hashes(t, size)) for t in batch.column(at).to_pylist()], np.uint64)
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c in others]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=[*others, into])

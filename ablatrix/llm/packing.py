@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole
+from .common import slices, whole
 from .tokenizing import encode_all
 
 LENGTH = 2048
@@ -106,7 +106,7 @@ def cut_documents(
                 n: pa.array(v, pa.binary() if n == "ids" else pa.int64()) for n, v in out.items()
             })
 
-        for batch in batches:
+        for batch in slices(batches):
             encoded = encode_all(batch.column(1).to_pylist(), tokenizer)
             for k, raw, deal in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist()):
                 ids = np.frombuffer(raw + end, "<u4")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh
+from .common import fresh, slices
 
 BUCKETS = 1 << 15
 DIMENSIONS = 64
@@ -35,7 +35,7 @@ HIDDEN = 32
 EPOCHS = 60
 BATCH_TOKENS = 1 << 18
 #: Tokens a task remembers the bucket of.
-TABLE_SIZE = 300_000
+TABLE_SIZE = 150_000
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 FEATURES = 2 * DIMENSIONS + 3
@@ -86,7 +86,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
         places, signs = index_vectors()
         buckets = Buckets()
         sums = np.zeros(BUCKETS * DIMENSIONS)
-        for batch in batches:
+        for batch in slices(batches):
             for texts in chunks(batch.column(0)):
                 ids, counts, _ = tokens_of(texts, buckets)
                 owner = np.repeat(np.arange(len(counts)), counts)
@@ -212,7 +212,7 @@ def add_features(docs: DataFrame, shipped, text: str, into: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
-        for batch in batches:
+        for batch in slices(batches):
             x = np.concatenate([pooled(t, shipped.value, buckets) for t in chunks(batch.column(at))])
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != text]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float32()))], names=[*others, into])
@@ -250,7 +250,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, text: str = "t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shipped.value
         buckets = Buckets()
-        for batch in batches:
+        for batch in slices(batches):
             p = np.concatenate([net.probabilities(pooled(t, v, buckets)) for t in chunks(batch.column(at))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, into])
 

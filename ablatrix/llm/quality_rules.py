@@ -19,6 +19,7 @@ from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .common import fresh, whole, words_of
 
 #: Frequent function words of the languages that have references.
@@ -230,7 +231,15 @@ def verdicts(
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
-    """``docs`` with counts, distances and verdicts, held against the corpus's own references."""
-    features = document_features(docs, text)
-    references = language_references(document_features(docs.select(lang, text), text), lang)
-    return verdicts(features, references, lang, **limits)
+    """``docs`` with counts, distances and verdicts, held against the corpus's own references.
+
+    Rows are written with their counts before they are judged: one pass over the texts, and short plans.
+    """
+    features = stage(document_features(docs, text), "features")
+    return verdicts(features, language_references(features, lang), lang, **limits)
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
+    """The documents the rules keep; columns are those of ``docs``, whatever their names."""
+    judged = quality_rules(docs.select(F.struct("*").alias("doc")), f"doc.{text}", f"doc.{lang}", **limits)
+    return judged.filter("kept").select("doc.*")

@@ -18,7 +18,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Where the tokenizer's own pattern is sure to cut: one blank goes to the stretch after it.
 STRETCH = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Stretches a task remembers in each of two generations, and the longest one it keeps.
-TABLE_SIZE, TABLE_LENGTH = 250_000, 48
+TABLE_SIZE, TABLE_LENGTH = 150_000, 48
 STOPS = frozenset(".,;:!?")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import fresh, whole
+from .common import fresh, slices, whole
 from .quality_classifier import labelled_sample
 
 FIT_ROWS = 20_000
@@ -145,7 +145,7 @@ def labelled_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str
     shipped = sample.sparkSession.sparkContext.broadcast(weights)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out, labels = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sentences = split_sentences(text)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "sc
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             m = shipped.value
             p = m.probabilities(values_of(batch.column(at).to_pylist(), m.weights))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, into])
