@@ -23,14 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path
-from .common import whole
+from .common import slices, whole
 from .tokenizing import encode_all
 
 MAGIC = b"WVM1"
 #: Bits between two stored counts of ones.
 BLOCK = 512
-#: Ids after which a shard is closed.
-SHARD_IDS = 1 << 21
+#: Ids after which a shard is closed: few enough for a processor's own cache.
+SHARD_IDS = 1 << 19
+#: Bytes of a plane that are compressed to see whether all should be.
+PROBE = 1 << 12
 #: Text bytes a writing task should get.
 PART_BYTES = 32 * 2**20
 
@@ -48,8 +50,8 @@ class WaveletMatrix:
             plane = np.packbits(mask)
             planes.append(plane)
             ones.append(_block_counts(plane))
-            high = left[mask]
-            left = np.concatenate([left[~mask], high])
+            high = left.take(np.flatnonzero(mask))
+            left = np.concatenate([left.take(np.flatnonzero(~mask)), high])
             zeros.append(len(left) - len(high))
         return cls(len(ids), planes, ones, zeros)
 
@@ -57,7 +59,9 @@ class WaveletMatrix:
         out = [MAGIC, struct.pack("<QI", self.n, len(self.planes))]
         for plane, ones, zeros in zip(self.planes, self.ones, self.zeros):
             for part in (plane.tobytes(), ones.astype("<u4").tobytes()):
-                packed = zlib.compress(part, 1)
+                # A plane whose beginning doesn't shrink is kept as it is (level 0).
+                shrinks = len(zlib.compress(part[:PROBE], 1)) < 0.97 * min(len(part), PROBE)
+                packed = zlib.compress(part, 1 if shrinks else 0)
                 out += [struct.pack("<I", len(packed)), packed]
             out.append(struct.pack("<Q", zeros))
         return b"".join(out)
@@ -144,8 +148,8 @@ class WaveletMatrix:
             mask = np.unpackbits(self.planes[level], count=self.n).view(bool)
             zeros = self.zeros[level]
             out = np.empty_like(left)
-            out[~mask] = left[:zeros]
-            out[mask] = left[zeros:] | left.dtype.type(1 << (bits - 1 - level))
+            out[np.flatnonzero(~mask)] = left[:zeros]
+            out[np.flatnonzero(mask)] = left[zeros:] | left.dtype.type(1 << (bits - 1 - level))
             left = out
         return left
 
@@ -191,7 +195,7 @@ def write_shards(
                 "matrix": pa.array([WaveletMatrix.build(ids, bits).to_bytes()], pa.binary()),
             })
 
-        for batch in batches:
+        for batch in slices(batches):
             encoded = encode_all(batch.column(1).to_pylist(), tokenizer)
             for k, ids in zip(batch.column(0).to_pylist(), encoded):
                 keys.append(k)
