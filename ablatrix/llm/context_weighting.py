@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import key_share, whole
+from .common import key_share, slices, whole
 
 DEPTH = 5
 END = b"\n"
@@ -67,6 +67,11 @@ def grams(texts: list[bytes], depth: int) -> np.ndarray:
     return code[real]
 
 
+def all_grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """The same for many texts, in parts that fit a processor's cache."""
+    return np.concatenate([np.zeros(0, np.uint64), *[grams(texts[i:i + 32], depth) for i in range(0, len(texts), 32)]])
+
+
 def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - float(np.log(np.pi))
@@ -190,7 +195,7 @@ def requests(rows: DataFrame, depth: int, shards: int) -> DataFrame:
     """Per block and shard the distinct grams and words, and how often training texts have them."""
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, texts, size = None, [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for b, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if texts and (b != block or size > BLOCK_BYTES):
                     yield from answer(block, held, texts)
@@ -205,9 +210,11 @@ def requests(rows: DataFrame, depth: int, shards: int) -> DataFrame:
     def answer(block, held, texts) -> Iterator[pa.RecordBatch]:
         used = [t for t, h in zip(texts, held) if not h]
         other = [t for t, h in zip(texts, held) if h]
-        codes, counts = np.unique(grams(used, depth), return_counts=True) if used else (np.zeros(0, np.uint64), np.zeros(0, int))
+        codes, counts = np.unique(all_grams(used, depth), return_counts=True) if used else (np.zeros(0, np.uint64), np.zeros(0, int))
         if other:
-            more = np.setdiff1d(grams(other, depth), codes)
+            more = np.unique(all_grams(other, depth))
+            if len(codes):
+                more = more[codes[np.minimum(np.searchsorted(codes, more), len(codes) - 1)] != more]
             codes, counts = np.concatenate([codes, more]), np.concatenate([counts, np.zeros(len(more), int)])
         shard = shard_of(codes, depth, shards)
         order = np.argsort(shard, kind="stable")
@@ -337,8 +344,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             order = np.argsort(code, kind="stable")
             places, log = Places(code[order]), log[order]
         floor = tokens + 0.1 * (distinct + 1)
-        for begin in range(0, len(own), 64):
-            texts = [normalised(t) for t in own["text"].slice(begin, 64).to_pylist()]
+        for begin in range(0, len(own), 32):
+            texts = [normalised(t) for t in own["text"].slice(begin, 32).to_pylist()]
             values = log[places.of(grams(texts, depth))].astype(float)
             lengths = np.array([len(t) for t in texts])
             out["score"] += np.add.reduceat(values, np.cumsum(lengths) - lengths).tolist()
