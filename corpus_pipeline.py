@@ -27,7 +27,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Near-duplicates are those of op2: SimHash of three-word shingles, at most three bits apart. Copies
+    that share four fifths of their five-word shingles are mostly further apart and stay (README).
+    """
     return near_dedup.deduplicate(docs)
 
 
