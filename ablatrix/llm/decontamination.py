@@ -2,8 +2,10 @@
 
 Words of the benchmark get numbers; a text becomes a row of numbers, 0 for words no item has. A
 window without a 0 whose rolling hash is in the set is compared number by number, so a hit is
-always a true one. The benchmark is cut into blocks of bounded size; each block is broadcast and
-adds its hits to those of the blocks before, in one pass over the documents without a shuffle.
+always a true one. The benchmark is cut into blocks of bounded size. A single block is broadcast and
+held against the documents in one pass without a shuffle. Of several, one at a time is read, broadcast,
+held against numbered documents and released; the rows it hits are written, and join the documents
+for the pass of the last block.
 
 Defined cases: a null or wordless text has no words and no hits; an item with a null text or
 without words has no window; items of equal text are reported each by its own id; a repeated item
@@ -15,11 +17,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .common import fresh, whole
 
 N = 13
@@ -40,62 +44,89 @@ def folded_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split(b" ") if text else []
 
 
+class Grams:
+    """The distinct (window, item) entries of one size: hash, begin in ``ids`` and item, in order of hash."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, int]], size: int):
+        lengths = np.array([len(ids) for ids, _ in texts])
+        counts = lengths - size + 1
+        # A text's windows begin where it does in ids; the gaps between texts are no begins.
+        shift = np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts)
+        self.ids = np.concatenate([ids for ids, _ in texts])
+        begins = np.arange(counts.sum()) + np.repeat(shift, counts)
+        owners = np.repeat(np.array([owner for _, owner in texts], np.int32), counts)
+        hashes = rolling(self.ids, begins, size)
+        order = np.lexsort((owners, hashes))
+        hashes, begins, owners = hashes[order], begins[order].astype(np.int32), owners[order]
+        #: Whether an entry's window is that of the entry before.
+        same = np.zeros(len(hashes), bool)
+        after = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        same[after] = True
+        for j in range(size):
+            same[after] &= self.ids[begins[after] + j] == self.ids[begins[after - 1] + j]
+        kept = np.ones(len(hashes), bool)
+        kept[1:] = ~(same[1:] & (owners[1:] == owners[:-1]))
+        self.size, self.hashes, self.begins, self.owners, self.same = size, hashes[kept], begins[kept], owners[kept], same[kept]
+        # One bit per hash remainder turns most windows away before the search.
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.hashes >> np.uint64(42)] = True
+
+    def owners_of(self, window: np.ndarray, first: int, end: int) -> np.ndarray:
+        """Items of those of the entries ``first`` to ``end``, all of one hash, that are this window."""
+        if self.same[first + 1:end].all():
+            begin = self.begins[first]
+            return self.owners[first:end] if (self.ids[begin:begin + self.size] == window).all() else self.owners[:0]
+        true = np.ones(end - first, bool)
+        for j in range(self.size):
+            true &= self.ids[self.begins[first:end] + j] == window[j]
+        return self.owners[first:end][true]
+
+
+def rolling(ids: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    h = np.zeros(len(begins), np.uint64)
+    for j in range(size):
+        h = h * np.uint64(BASE) + ids[begins + j].astype(np.uint64)
+    return h * np.uint64(BASE)
+
+
 class Windows:
     """The windows of a block of items, by size and rolling hash."""
 
     def __init__(self, items: Iterable[tuple[str | None, str]], n: int):
         self.numbers: dict[bytes, int] = {}
-        self.sizes: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.items: list[str] = []
+        texts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             words = [w for w in folded_words(text) if w]
             if not words:
                 continue
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            size = min(n, len(ids))
-            grams = self.sizes.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                owners = grams.setdefault(tuple(ids[i:i + size]), set())
-                if item_id is not None:
-                    owners.add(item_id)
-        self.hashes = {
-            size: np.unique(np.array([self._hash(g) for g in grams], np.uint64)) for size, grams in self.sizes.items()
-        }
-        # One bit per hash remainder turns most windows away before the search.
-        self.filters = {}
-        for size, hashes in self.hashes.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[hashes >> np.uint64(42)] = True
-            self.filters[size] = bits
-
-    @staticmethod
-    def _hash(gram: tuple[int, ...]) -> int:
-        h = 0
-        for x in gram:
-            h = (h * BASE + x) % 2**64
-        return (h * BASE) % 2**64
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int32)
+            owner = -1
+            if item_id is not None:
+                owner = len(self.items)
+                self.items.append(item_id)
+            texts.setdefault(min(n, len(ids)), []).append((ids, owner))
+        self.sizes = {size: Grams(parts, size) for size, parts in texts.items()}
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(begin, size, items) of every window of ``ids`` that is in the set."""
         zeros = np.concatenate([[0], np.cumsum(ids == 0)])
-        values = ids.astype(np.uint64)
         for size, grams in self.sizes.items():
             count = len(ids) - size + 1
             if count <= 0:
                 continue
             begins = np.flatnonzero(zeros[size:] == zeros[:count])
             for part in np.array_split(begins, len(begins) // CHUNK_WORDS + 1):
-                h = np.zeros(len(part), np.uint64)
-                for j in range(size):
-                    h = h * np.uint64(BASE) + values[part + j]
-                h *= np.uint64(BASE)
-                near = self.filters[size][h >> np.uint64(42)]
+                h = rolling(ids, part, size)
+                near = grams.filter[h >> np.uint64(42)]
                 part, h = part[near], h[near]
-                known = self.hashes[size]
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for begin in part[known[at] == h].tolist():
-                    owners = grams.get(tuple(ids[begin:begin + size].tolist()))
-                    if owners is not None:
-                        yield begin, size, owners
+                firsts = np.searchsorted(grams.hashes, h)
+                ends = np.searchsorted(grams.hashes, h, side="right")
+                known = ends > firsts
+                for begin, first, end in zip(part[known].tolist(), firsts[known].tolist(), ends[known].tolist()):
+                    owners = grams.owners_of(ids[begin:begin + size], first, end)
+                    if len(owners):
+                        yield begin, size, {self.items[i] for i in owners.tolist() if i >= 0}
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -120,14 +151,38 @@ def find_hits(
     """Add ``n_words``, ``hits`` (begin and end word of each hit run, in order), ``items`` (sorted ids), ``n_hit``."""
     context = docs.sparkSession.sparkContext
     names = ["n_words", "hits", "items"]
-    df = docs.drop(*[c for c in docs.columns if c.lower() in names]).withColumns({
+    df = docs.drop(*[c for c in docs.columns if c.lower() in names])
+    found = {
         "n_words": F.lit(0).cast("bigint"),
         "hits": F.array().cast("array<struct<begin:int,end:int>>"),
         "items": F.array().cast("array<string>"),
-    })
-    for block in [*blocks(benchmark, item, item_text, block_bytes)] or [[]]:
-        shipped = context.broadcast(Windows(block, n))
-        df = df.mapInArrow(_scanner(shipped, df.columns.index(text)), df.schema)
+    }
+    todo = blocks(benchmark, item, item_text, block_bytes)
+    windows = Windows(next(todo, []), n)
+    row, parts, numbered = "", [], None
+    for block in todo:
+        # Another block follows: this one's hits are written, and it is given up.
+        if numbered is None:
+            row, = fresh(df.withColumns(found), "row")
+            numbered = stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        shipped = context.broadcast(windows)
+        read = numbered.select(row, text).withColumns(found)
+        hit = read.mapInArrow(_scanner(shipped, 1), read.schema).filter(F.size("items") + F.size("hits") > 0)
+        parts.append(stage(hit.select(row, "hits", "items"), "hits"))
+        shipped.destroy()
+        del windows, shipped
+        windows = Windows(block, n)
+    if numbered is None:
+        df = df.withColumns(found)
+    else:
+        before = reduce(DataFrame.union, parts).groupBy(row).agg(
+            F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+        )
+        df = numbered.join(before, row, "left").select(
+            *df.columns, found["n_words"].alias("n_words"),
+            *[F.coalesce(F.col(c), found[c]).alias(c) for c in ("hits", "items")],
+        )
+    df = df.mapInArrow(_scanner(context.broadcast(windows), df.columns.index(text)), df.schema)
     return df.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["begin"]))
 
 

@@ -1,8 +1,10 @@
 """Quality rules and decontamination against plain Python."""
 
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,39 @@ def test_hits(docs, spark, block_bytes):
         assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, items)
 
 
+def test_blocks_come_one_at_a_time(docs, spark, monkeypatch):
+    benchmark = spark.createDataFrame(BENCHMARK, "item_id string, text string")
+    events, blocks, write = [], dc.blocks, dc.stage
+    monkeypatch.setattr(dc, "blocks", lambda *a: (events.append("read") or b for b in blocks(*a)))
+    monkeypatch.setattr(dc, "stage", lambda df, name: events.append(name) or write(df, name))
+    dc.find_hits(docs, benchmark, block_bytes=40)
+    n = events.count("read")
+    assert n > 2 and events == ["read", "read", "numbered", "hits", *["read", "hits"] * (n - 2)]
+
+
+def test_windows_take_little_memory():
+    text = " ".join(f"w{i}" for i in np.random.default_rng(1).integers(0, 5000, 200_000).tolist())
+    tracemalloc.start()
+    try:
+        windows = dc.Windows([("1", text)], 13)
+        assert tracemalloc.get_traced_memory()[0] < 20 * len(text)
+    finally:
+        tracemalloc.stop()
+    assert len(windows.sizes) == 1
+
+
+def test_equal_hashes_change_nothing(monkeypatch):
+    monkeypatch.setattr(dc, "BASE", 0)
+    items = [("1", "a b c"), ("2", "b c a b c"), ("3", "a b"), (None, "c c c c"), ("4", "a b c")]
+    windows = dc.Windows(items, 3)
+    for text in ("a b c a b", "c c c", "b a", "x a b x c a b c c c"):
+        ids = np.array([windows.numbers.get(w, 0) for w in dc.folded_words(text)])
+        hits = [*windows.hits(ids)]
+        (_, n_hit, owners, _), = dc.brute_force([text], items, 3)
+        assert len({i for b, s, _ in hits for i in range(b, b + s)}) == n_hit
+        assert sorted(set().union(*[o for _, _, o in hits])) == owners
+
+
 def test_decontaminate(docs, empty, spark):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id string, text string")
     clean = dc.decontaminate(docs, benchmark)
