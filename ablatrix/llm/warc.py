@@ -19,12 +19,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from .common import whole
 
 #: The record format's version, line ends and profile for revisits.
@@ -37,6 +38,11 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP_HEAD = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}{END}"
 #: Pages per archive file, and the time written when none is known.
 FILE_PAGES = 20_000
+#: Bytes an archive file may unpack to, unless it holds a single page; headers of a page's three records.
+FILE_BYTES = 512 * 2**20
+HEADER_BYTES = 2048
+#: Bytes unpacked at once.
+PIECE = 1 << 20
 UNDATED = "1970-01-01T00:00:00Z"
 
 
@@ -84,9 +90,9 @@ def _record(headers: dict[str, Column], block: Column) -> Column:
 
 def write_archives(
     pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0,
-    date: str = UNDATED, path: str | None = None, file_pages: int = FILE_PAGES,
+    date: str = UNDATED, path: str | None = None, file_pages: int = FILE_PAGES, file_bytes: int = FILE_BYTES,
 ) -> str:
-    """Write all pages as WARC files and return their folder."""
+    """Write all pages as WARC files of at most so many pages and bytes (or one page); return their folder."""
     path = path or scratch_path(pages.sparkSession, "warc")
     t = transactions(pages, key, url, payload, min_bytes)
     ids = {k: record_id(k, F.col("row")) for k in ("request", "response", "metadata")}
@@ -115,31 +121,62 @@ def write_archives(
     }, fields)
     # The three records of a page stay together and count as one of the writer's lines.
     value = F.concat_ws(RECORD_END, request, response, metadata)
-    t.select(value.alias("value")).write.options(
-        lineSep=RECORD_END, compression="gzip", maxRecordsPerFile=file_pages
-    ).text(path)
-    return path
-
-
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; plain, or in any number of gzip members."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0 or raw[at:at + 5] != b"WARC/":
+    # Target and host appear in five places at most.
+    room = HEADER_BYTES + len(date) * 3 + 5 * F.octet_length("url").cast("long") + F.col("n")
+    longest = pages.select(
+        F.octet_length(whole(payload)).cast("long").alias("n"), F.coalesce(F.col(url), F.lit("")).alias("url")
+    ).agg(F.max(room)).first()[0] or 0
+    records = t.select(room.alias("room"), value.alias("value"))
+    if longest * file_pages > file_bytes:
+        # Large pages get files of fewer pages: one write per class of sizes.
+        records = stage(records, "records")
+    low, high = -1, max(1, file_bytes // file_pages)
+    while True:
+        part = records.filter((F.col("room") > low) & (F.col("room") <= high)) if longest * file_pages > file_bytes else records
+        part.select("value").write.options(
+            lineSep=RECORD_END, compression="gzip", maxRecordsPerFile=max(1, min(file_pages, file_bytes // high))
+        ).mode("append" if low >= 0 else "errorifexists").text(path)
+        if high >= longest:
+            return path
+        low, high = high, 8 * high
+
+
+def parse_records(raw: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record; plain, or in any number of gzip members.
+
+    Unpacked piece by piece: what is held is one record and a piece.
+    """
+    source = pa.BufferReader(raw)
+    if bytes(raw[:2]) == b"\x1f\x8b":
+        source = gzip.GzipFile(fileobj=source)
+    at, held = 0, bytearray()
+
+    def more() -> bool:
+        piece = source.read(PIECE)
+        held.extend(piece)
+        return bool(piece)
+
+    while held or more():
+        searched = 0
+        while (end := held.find(b"\r\n\r\n", searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if held[:5] != b"WARC/"[:len(held)] or not more():
+                raise ValueError(f"no record at byte {at}")
+        if held[:5] != b"WARC/":
             raise ValueError(f"no record at byte {at}")
         headers = {}
-        for line in raw[at:end].decode("utf-8", "replace").split(END)[1:]:
+        for line in held[:end].decode("utf-8", "replace").split(END)[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
         begin = end + 4
-        at = begin + int(headers["content-length"])
-        if raw[at:at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {begin} is cut short")
-        yield headers, raw[begin:at]
-        at += 4
+        stop = begin + int(headers["content-length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if held[stop:stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"record at byte {at + begin} is cut short")
+        yield headers, bytes(held[begin:stop])
+        del held[:stop + 4]
+        at += stop + 4
 
 
 RECORDS = (
@@ -162,7 +199,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
         for batch in batches:
             for content in batch.column(0):
                 out, size = [], 0
-                for headers, block in parse_records(content.as_py()):
+                for headers, block in parse_records(content.as_buffer()):
                     out.append(_row(headers, block, keep_payload))
                     size += len(block)
                     if size > 4 * 2**20 or len(out) >= 2000:

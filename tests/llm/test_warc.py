@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import tracemalloc
 from base64 import b32encode
 from collections import Counter
 
@@ -60,3 +61,24 @@ def test_gzip_members_and_broken_files():
     for bad in (record[:-3], b"no" + record, record.replace(b": 2", b": 9")):
         with pytest.raises(ValueError):
             [*warc.parse_records(bad)]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [100] * 60 + [30_000] * 12 + [300_000] * 3
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    path = warc.write_archives(pages.coalesce(1), path=str(tmp_path / "a"), file_pages=25, file_bytes=120_000)
+    assert warc.captures(warc.read_records(spark, path)).count() == len(sizes)
+    for file in (tmp_path / "a").glob("*.gz"):
+        raw = gzip.decompress(file.read_bytes())
+        assert len(raw) <= 120_000 or len([*warc.parse_records(raw)]) == 3
+
+
+def test_archives_are_unpacked_in_pieces():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 1000000\r\n\r\n" + b"a" * 1_000_000 + b"\r\n\r\n"
+    raw = gzip.compress(record * 50)
+    tracemalloc.start()
+    try:
+        assert sum(len(block) for _, block in warc.parse_records(raw)) == 50_000_000
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    finally:
+        tracemalloc.stop()
