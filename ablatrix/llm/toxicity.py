@@ -10,6 +10,9 @@ worst and another. As the kernel's subsequences number 28 ** 3, the fitted sum o
 exactly into one weight per subsequence, and a whole text is scored in a few array operations: its
 score is that of its worst stretch of ``WINDOW`` signs, made a probability by a logistic curve.
 
+Limits: the three signs lie within five places, so two letters put between every two of a word's hide
+it; letters other than a-z and those in ``ACCENTS`` are breaks, so text in other scripts is as if empty.
+
 Defined cases: a null text is empty; an empty text, or one without letters, scores as one whose
 stretches weigh nothing; null labels and labels without document are left out of the fit; of
 repeated labels each counts; without labels of both kinds every score is 0; an empty table gives no
