@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import context_weighting, decontamination, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
+from . import context_weighting, decontamination, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
 from .common import key_share, table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_decontamination"] = oracles.decontamination_sql()
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+ORACLES["op11_license_scan"] = oracles.license_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules as rules
+from . import license_scan, quality_rules as rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,11 +67,16 @@ FROM j
 """
 
 
-def decontamination_sql(n: int = 13) -> str:
-    def words(text: str) -> str:
-        lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+def lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def alphanumeric_words(text: str) -> str:
+    return rf"regexp_extract_all({lowered(text)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def decontamination_sql(n: int = 13) -> str:
+    words = alphanumeric_words
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words('text')} AS words FROM documents),
 b AS (SELECT item_id, {words('text')} AS words FROM benchmark),
@@ -110,3 +115,36 @@ SELECT page_id, payload_bytes, {digest} AS payload_digest,
     CASE WHEN place > 1 THEN response END AS refers_to
 FROM o
 """
+
+
+def license_sql() -> str:
+    """Edit distances of all word-bounded stretches of texts that hold a piece of the notice."""
+    labels = license_scan.NOTICES | license_scan.PHRASES
+    values = ", ".join(
+        f"('{notice}', '{label}', {license_scan.allowed(notice)}, {len(notice.split())}, "
+        f"[{', '.join(repr(p) for _, p in license_scan.pieces(notice, license_scan.allowed(notice)))}])"
+        for notice, label in labels.items()
+    )
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.PHRASES.items())
+    return rf"""
+WITH notices(notice, label, edits, size, pieces) AS (VALUES {values}),
+phrases(phrase, label, size) AS (VALUES {phrases}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {alphanumeric_words('text')} AS words FROM documents),
+f AS (SELECT rid, doc_id, words, array_to_string(words, ' ') AS text, regexp_replace(array_to_string(words, ' '), '[^\x00-\x7F]', '~', 'g') AS folded FROM d),
+starts AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM f),
+base AS (SELECT rid, count(*) AS n_base, min(i - 1) AS first_word, max(i - 1) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+         FROM starts, phrases WHERE array_to_string(words[i:i + size - 1], ' ') = phrase GROUP BY rid),
+c AS (SELECT rid, string_split(folded, ' ') AS words, notice, label, edits, size
+      FROM f, notices WHERE len(list_filter(pieces, lambda p: contains(folded, p))) > 0),
+w AS (SELECT rid, notice, label, edits, words, n, unnest(range(1, len(words) - n + 2)) AS i
+      FROM (SELECT *, unnest(range(greatest(1, size - edits), size + edits + 1)) AS n FROM c)),
+t AS (SELECT rid, notice, label, edits, array_to_string(words[i:i + n - 1], ' ') AS stretch FROM w),
+near AS (SELECT rid, label, edits, levenshtein(stretch, notice) AS distance FROM t
+         WHERE abs(length(stretch) - length(notice)) <= edits),
+found AS (SELECT rid, label, max(1.0::DOUBLE - distance::DOUBLE / (edits + 1)) AS score FROM near WHERE distance <= edits GROUP BY rid, label),
+named AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+    last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM f LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)
+"""
