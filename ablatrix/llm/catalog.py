@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import context_weighting, decontamination, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
+from . import context_weighting, decontamination, license_scan, merkle, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
 from .common import key_share, table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,16 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_license_scan"] = oracles.license_sql()
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(key_share("doc_id", 3) == 0, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    proved = merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": tampered})
+    return proved.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+ORACLES["op12_merkle_manifest"] = oracles.merkle_sql()

