@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage
-from . import context_weighting, decontamination, license_scan, merkle, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
+from . import context_weighting, decontamination, hard_negatives, license_scan, merkle, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet
 from .common import key_share, table, whole
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_merkle_manifest"] = oracles.merkle_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", noisy.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, "vec_id", "label", "embedding")
+
+
+ORACLES["op13_hard_negatives"] = oracles.hard_negatives_sql()

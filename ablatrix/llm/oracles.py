@@ -218,3 +218,21 @@ def merkle_sql(levels: int = 8, trunk: int = 4) -> str:
 SELECT doc_id, leaf, a{levels}.h AS subroot, root, sha256(p) AS proof_sha256, f AS folded_root, f = root AS verified
 FROM bf{trunk - 1} x JOIN a{levels} ON a{levels}.g = x.grp, (SELECT h AS root FROM b{trunk})
 """
+
+
+def hard_negatives_sql() -> str:
+    return """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, a.vec_id <> b.vec_id AS other,
+        coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS place FROM s WHERE same AND other
+      QUALIFY place <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.rid, p.place ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.rid = p.rid AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
