@@ -186,9 +186,9 @@ def stored(vectors: DataFrame, id: str, label: str, vector: str, anchors: Column
         F.col(id).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"),
         F.col(vector).cast("array<double>").alias("v"), F.coalesce(anchors, F.lit(False)).alias("is_anchor"),
     ).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad)
-    largest = F.array_max(F.transform("v", lambda x: F.floor(F.abs(x) * scale) + 1))
-    size, most = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(largest), F.lit(0))).first()
-    if size * int(most) ** 2 >= EXACT:
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x) * scale + 1))
+    size, most = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(largest), F.lit(0.0))).first()
+    if size * most**2 >= EXACT:
         raise ValueError(f"components up to {most} of {size} give scores that can't be exact")
     shape = "id long, label long, is_anchor boolean, first boolean, vector array<int>, mean array<double>, deviation array<double>"
 

@@ -15,4 +15,4 @@ def test_query(name, spark, sf_dir):
 def test_all_registered():
     names = entry_points.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in CATALOG} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in CATALOG} == {f"op{i}" for i in range(1, 14)}
