@@ -31,6 +31,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def float_text(number: Column) -> Column:
+    """A JSON number's text; with a power of ten only below 1e-4 and from 1e16 on, as ``1e-05`` and ``1e+16``."""
+
+    def plain(parts: Column) -> Column:
+        sign, first, rest, power = parts[0], parts[1], parts[2], parts[3].cast("int")
+        rest = F.when(rest == "0", F.lit("")).otherwise(rest)
+        digits = F.concat(first, rest)
+        whole = F.rpad(digits, power + 1, F.lit("0"))
+        fraction = F.substr(digits, power + 2, F.length(digits))
+        exponent = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+        text = (
+            F.when(power.between(0, 15), F.concat(whole, F.lit("."), F.when(fraction == "", F.lit("0")).otherwise(fraction)))
+            .when(power.between(-4, -1), F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .otherwise(F.concat(first, F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), F.lit("e"),
+                                F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), exponent))
+        )
+        return F.concat(sign, text)
+
+    shape = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    parts = F.array(*[F.regexp_extract(number, shape, i) for i in range(1, 5)])
+    return F.when(number.contains("E") & number.rlike(shape), let(parts, plain)).otherwise(number)
+
+
 def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 

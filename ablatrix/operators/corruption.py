@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..sources.jsonl import json_kind
 
 # The word lists the rewrites act on.
 LOGIC_WORDS = ["all", "any", "every", "if", "then", "because", "therefore", "hence", "thus"]
@@ -146,8 +147,12 @@ REGISTRY: dict[str, Rewrite] = {
 
 
 def require_type(df: DataFrame) -> DataFrame:
-    """Keep rows that name a question type."""
-    return df.filter(F.coalesce(F.col("question_type"), F.lit("")) != "")
+    """Keep rows that name a question type; of a JSON record, 0, false and empty lists or objects name none."""
+    named = F.coalesce(F.col("question_type"), F.lit("")) != ""
+    if "record" in df.columns:
+        empty = F.exists("record", lambda e: (e["key"] == "question_type") & e["json"].isin("0", "0.0", "-0.0", "-0", "false", "[]", "{}"))
+        named = named & ~F.coalesce(empty, F.lit(False))
+    return df.filter(named)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -193,30 +198,48 @@ def corrupt(
     )
 
 
-def null_field_error(
-    registry: Mapping[str, Rewrite] = REGISTRY, fallback: Rewrite = GENERIC
-) -> Column:
-    """The name of a field that is an explicit JSON null although the row's rewrite reads it.
-
-    Expects the ``null_fields`` column of the JSONL source; null means the row is fine.
-    """
+def fields_read(registry: Mapping[str, Rewrite] = REGISTRY, fallback: Rewrite = GENERIC) -> Column:
+    """The fields that a row's rewrite reads, and writes anew."""
     reads: Column | None = None
     for how, types in _by_type(registry).items():
         hit, names = F.col("question_type").isin(types), F.array(*[F.lit(r) for r in how.reads])
         reads = F.when(hit, names) if reads is None else reads.when(hit, names)
     names = F.array(*[F.lit(r) for r in fallback.reads])
-    reads = names if reads is None else reads.otherwise(names)
-    return F.try_element_at(F.array_intersect("null_fields", reads), F.lit(1))
+    return names if reads is None else reads.otherwise(names)
+
+
+def field_error(
+    registry: Mapping[str, Rewrite] = REGISTRY, fallback: Rewrite = GENERIC
+) -> Column:
+    """The name of a field that the row's rewrite can't read: a text that is no JSON string, options that
+    can't be gone through; or a question type that is a list or an object. Null means the row is fine.
+
+    Expects the ``record`` column of the JSONL source.
+    """
+    fit = {"context": ['"'], "question": ['"'], "options": ['"', "[", "{"], "question_type": ['"', "0", "t"]}
+
+    def bad(e: Column) -> Column:
+        kind, hit = json_kind(e["json"]), F.lit(False)
+        for name, kinds in fit.items():
+            hit = hit | ((e["key"] == name) & ~kind.isin(kinds))
+        return hit
+
+    wrong = F.transform(F.filter("record", bad), lambda e: e["key"])
+    asked = F.concat(fields_read(registry, fallback), F.array(F.lit("question_type")))
+    return F.try_element_at(F.array_intersect(wrong, asked), F.lit(1))
 
 
 def corrupt_corpus(
     df: DataFrame, registry: Mapping[str, Rewrite] = REGISTRY, fallback: Rewrite = GENERIC
 ) -> DataFrame:
-    """The whole step on parsed JSONL rows: drop broken, untyped and unusable rows, then rewrite."""
+    """The whole step on parsed JSONL rows: drop broken, untyped and unusable rows, then rewrite.
+
+    Rows with a ``record`` get ``written``: the fields that are new, all others stand in the record as before.
+    """
     good = df.filter(F.col("_corrupt").isNull()) if "_corrupt" in df.columns else df
     good = require_type(good)
-    if "null_fields" in good.columns:
-        good = good.filter(null_field_error(registry, fallback).isNull())
+    if "record" in good.columns:
+        good = good.filter(field_error(registry, fallback).isNull()).withColumn("written", fields_read(registry, fallback))
     return corrupt(with_defaults(good), registry, fallback)
 
 

@@ -105,48 +105,68 @@ def transform_counts(spark, sf):
 
 
 def _qa_lines(spark, sf) -> DataFrame:
-    """QA rows as JSON lines; some broken, some with an explicit null or without a context."""
+    """QA rows as JSON lines, whole, and of every tenth one a further line of each unusual ``kind``."""
     items = v.qa_items(spark, sf)
-    kind = F.col("item_id") % 10
-    body = F.to_json(F.struct("question_type", "context", "question", "options", "answer", F.col("item_id")))
-    without = F.to_json(F.struct("question_type", "question", "options", "answer", "item_id"))
-    nulled = F.concat(F.lit('{"context":null,'), F.substr(without, F.lit(2)))
-    line = (
-        F.when(kind == 3, F.concat(body, F.lit(" {}")))
-        .when(kind == 4, nulled)
-        .when(kind == 5, without)
-        .otherwise(body)
-    )
-    return items.select("item_id", line.alias("value"))
+
+    def json(name: str) -> Column:
+        listed = F.to_json(F.array(name))
+        return F.concat(F.lit(f'"{name}":'), F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+    fields = {n: json(n) for n in ("question_type", "context", "question", "options", "answer", "item_id")}
+    number = F.col("item_id").cast("string")
+
+    def line(**changed: Column | None) -> Column:
+        members = [m for m in (fields | changed).values() if m is not None]
+        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+    unusual = {
+        "broken": F.concat(line(), F.lit(" {}")),
+        "null_context": line(context=F.lit('"context":null')),
+        "no_context": line(context=None),
+        "number_context": line(context=F.concat(F.lit('"context":'), number)),
+        "number_answer": line(answer=F.concat(F.lit('"answer":'), (F.col("item_id") % 1000).cast("string"), F.lit(".0"))),
+        "null_answer": line(answer=F.lit('"answer":null')),
+        "typed_options": line(options=F.concat(F.lit('"options":['), number, F.lit(',2.5,true,1.0,1.0E10,null,"left side"]'))),
+        "text_options": line(options=F.lit('"options":"abc"')),
+        "number_options": line(options=F.lit('"options":7')),
+        "listed_type": line(question_type=F.lit('"question_type":["x"]')),
+    }
+    chosen = [
+        F.when(F.col("item_id") % len(unusual) == i, F.struct(F.lit(kind).alias("kind"), text.alias("value")))
+        for i, (kind, text) in enumerate(unusual.items())
+    ]
+    lines = F.array(F.struct(F.lit("whole").alias("kind"), line().alias("value")), F.coalesce(*chosen))
+    return items.select("item_id", "answer", F.explode(lines).alias("l")).select("item_id", "answer", "l.kind", "l.value")
+
+
+def _qa_records(spark, sf) -> DataFrame:
+    return jsonl.parse_qa_lines(_qa_lines(spark, sf).drop("answer"))
 
 
 @query
 def jsonl_parse(spark, sf):
-    return jsonl.parse_qa_lines(_qa_lines(spark, sf)).select(
-        "item_id", "question_type", "context", "question", words("options").alias("options"), "answer", "extras",
+    return _qa_records(spark, sf).select(
+        "item_id", "kind", "question_type", "context", "question", words("options").alias("options"), "answer", "extras",
         words("null_fields").alias("null_fields"), F.col("_corrupt").isNotNull().cast("int").alias("is_corrupt"),
     )
 
 
 @query
 def jsonl_corrupt(spark, sf):
-    """The whole step on JSONL lines: broken lines and unusable nulls drop out."""
-    return _qa_view(corruption.corrupt_corpus(jsonl.parse_qa_lines(_qa_lines(spark, sf))))
+    """The whole step on JSONL lines: broken and unreadable rows drop out, only rewritten fields change."""
+    done = corruption.corrupt_corpus(_qa_records(spark, sf))
+    return done.select("item_id", "kind", jsonl.qa_line(done).alias("line"))
 
 
 @query
 def jsonl_roundtrip(spark, sf):
-    items = v.qa_items(spark, sf).select(
-        "question_type", "context", "question", "options", "answer",
-        F.to_json(F.struct("item_id")).alias("extras"),
-        F.col("answer").alias("ability"), F.lit("train").alias("split"),
-    )
+    """Lines parsed, written by ability and split, and read back: the same to the last sign."""
+    lines = _qa_lines(spark, sf).filter("kind <> 'broken'").withColumnRenamed("answer", "ability")
     path = scratch_path(spark, "qa")
-    jsonl.write_qa(items, path)
+    jsonl.write_qa(jsonl.parse_qa_lines(lines).withColumn("split", F.lit("train")), path)
     back = jsonl.read_splits(spark, path)
     return back.select(
-        F.get_json_object("extras", "$.item_id").cast("bigint").alias("item_id"), "question_type", "context",
-        "question", words("options").alias("options"), "answer", "ability", "split",
+        F.get_json_object("extras", "$.item_id").cast("bigint").alias("item_id"), "ability", "split", jsonl.qa_line(back).alias("line")
     )
 
 

@@ -20,37 +20,120 @@ SPLITS = ("train", "dev", "test")
 SPLIT_FOLDER = "original"
 
 
+def _entries(line: Column) -> Column:
+    """The members of a line's object as ``key``, ``json`` and ``value``; null unless it is one JSON object.
+
+    ``json`` is what stands in the line, so ``1.0`` stays ``1.0``; ``value`` is the same with strings as plain
+    text. Of repeated keys the last counts.
+    """
+    # One object per line: inside brackets, trailing text makes the whole array invalid.
+    wrapped = F.concat(F.lit("["), line, F.lit("]"))
+
+    def parsed(kind: str) -> Column:
+        return tx.let(F.from_json(wrapped, f"array<map<string,{kind}>>"), lambda p: F.when(F.size(p) == 1, F.try_element_at(p, F.lit(1))))
+
+    # Variants tell strings from the rest, but forget how numbers were written; plain texts know that.
+    typed = F.transform(F.map_entries(parsed("variant")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("json")))
+    both = F.zip_with(typed, F.map_values(parsed("string")), lambda e, t: F.struct(
+        e["key"].alias("key"), F.when(F.startswith(e["json"], F.lit('"')), e["json"]).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
+        t.alias("value"),
+    ))
+    keys = F.transform(both, lambda e: e["key"])
+    return tx.let(both, lambda es: tx.let(F.reverse(keys), lambda back: F.filter(
+        es, lambda e, i: F.array_position(back, e["key"]) == F.size(es) - i
+    )))
+
+
+def json_kind(json: Column) -> Column:
+    """The first sign of a JSON text, with all numbers as ``0`` and both truth values as ``t``."""
+    sign = F.substring(json, 1, 1)
+    return F.when(sign.isin('"', "[", "{", "n"), sign).when(sign.isin("t", "f"), F.lit("t")).otherwise(F.when(json.isNotNull(), F.lit("0")))
+
+
+def json_text(json: Column, value: Column) -> Column:
+    """A JSON value as text: numbers with a fraction or exponent by ``tx.float_text``, ``True``, ``False``."""
+    kind = json_kind(json)
+    return (
+        F.when(kind == "0", tx.float_text(value))
+        .when(kind == "t", F.initcap(value))
+        .when(kind != "n", value)
+    )
+
+
+def _options(json: Column, value: Column) -> Column:
+    """What going through the options gives: the elements of a list, the signs of a text, the keys of an object."""
+    kinds = F.transform(F.from_json(value, "array<variant>"), lambda v: F.to_json(v))
+    elements = F.zip_with(kinds, F.from_json(value, "array<string>"), json_text)
+    signs = F.filter(F.split(value, ""), lambda c: c != "")
+    return (
+        F.when(json_kind(json) == "[", elements)
+        .when(json_kind(json) == '"', signs)
+        .when(json_kind(json) == "{", F.map_keys(F.from_json(value, "map<string,string>")))
+    )
+
+
 def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON text rows to QA columns; the text column is replaced.
 
-    ``extras`` keeps unknown fields as JSON, ``null_fields`` names fields present as an explicit
-    null (a missing field is just null), ``_corrupt`` holds a line that is not one JSON object.
+    ``record`` carries the whole object as it was written, key by key, for ``qa_line``. Of the QA columns
+    ``options`` is an array of texts, the others are texts whatever their JSON type. ``extras`` holds unknown
+    fields as JSON, ``null_fields`` names fields present as an explicit null (a missing field is just null),
+    ``_corrupt`` holds a line that is not one JSON object.
     """
-    # One object per line: inside brackets, trailing text makes the whole array invalid.
-    wrapped = F.concat(F.lit("["), F.col(column), F.lit("]"))
-    parsed = F.from_json(wrapped, "array<map<string,variant>>")
-    one = tx.let(parsed, lambda p: F.when(F.size(p) == 1, F.try_element_at(p, F.lit(1))))
-    # Generated rather than projected, so that filters on the fields do not parse the line again.
-    rows = lines.select("*", F.explode(F.array(one)).alias("__obj"))
 
-    def value(name: str, kind: str) -> Column:
-        return F.try_variant_get(F.try_element_at("__obj", F.lit(name)), "$", kind)
+    def fields(entries: Column) -> Column:
+        def of(name: str, part: str) -> Column:
+            return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(1))[part]
+
+        def column_of(name: str) -> Column:
+            if name == "options":
+                return _options(of(name, "json"), of(name, "value"))
+            return json_text(of(name, "json"), of(name, "value"))
+
+        record = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["json"].alias("json")))
+        return F.struct(record.alias("record"), *[column_of(n).alias(n) for n in QA_SCHEMA])
 
-    named = F.array(*[F.lit(n) for n in QA_SCHEMA])
-    known = F.map_filter("__obj", lambda k, _: ~k.isin(list(QA_SCHEMA)))
-    explicit = F.filter(named, lambda n: F.coalesce(F.is_variant_null(F.element_at("__obj", n)), F.lit(False)))
+    # Generated rather than projected, so that filters on the fields do not parse the line again.
+    rows = lines.select("*", F.explode(F.array(tx.let(_entries(F.col(column)), fields))).alias("__obj"))
+    record = F.col("__obj.record")
+    unknown = F.filter(record, lambda e: ~e["key"].isin(list(QA_SCHEMA)))
+    null_keys = F.transform(F.filter(record, lambda e: e["json"] == "null"), lambda e: e["key"])
     return rows.withColumns(
         {
-            **{n: value(n, kind) for n, kind in QA_SCHEMA.items()},
-            "extras": F.when(F.size(known) > 0, F.to_json(known)),
-            "null_fields": F.when(F.col("__obj").isNotNull(), explicit),
-            "_corrupt": F.when(F.col("__obj").isNull(), F.col(column)),
+            **{n: F.col(f"__obj.{n}") for n in QA_SCHEMA},
+            "extras": F.when(F.size(unknown) > 0, _object(unknown)),
+            "null_fields": F.when(record.isNotNull(), F.filter(F.array(*[F.lit(n) for n in QA_SCHEMA]), lambda n: F.array_contains(null_keys, n))),
+            "record": record,
+            "_corrupt": F.when(record.isNull(), F.col(column)),
         }
     ).drop("__obj", column)
 
 
+def _object(entries: Column) -> Column:
+    """Members as one JSON object."""
+
+    def quoted(text: Column) -> Column:
+        listed = F.to_json(F.array(text))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    members = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"]))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def _json(df: DataFrame, name: str) -> Column:
+    """A column's value as JSON text, null included."""
+    whole = F.to_json(F.array(F.col(name)))
+    return F.when(F.col(name).isNull(), F.lit("null")).otherwise(F.substr(whole, F.lit(2), F.length(whole) - 2))
+
+
 def qa_line(df: DataFrame) -> Column:
-    """One JSON object per row, unknown fields included, text unescaped."""
+    """One JSON object per row, unknown fields included, text unescaped.
+
+    With a ``record``, all it holds is written as it was, key by key, but for the columns that ``written``
+    names: they take their places, or follow at the end, as do QA columns of rewritten rows that the record lacks.
+    """
+    if "record" in df.columns:
+        return _patched(df)
     body = F.to_json(F.struct(*[n for n in QA_SCHEMA if n in df.columns]))
     if "extras" not in df.columns:
         return body
@@ -62,6 +145,24 @@ def qa_line(df: DataFrame) -> Column:
     return F.when(F.col("extras").isNull(), body).otherwise(merged)
 
 
+def _patched(df: DataFrame) -> Column:
+    if "written" not in df.columns:
+        return _object(F.col("record"))
+    columns = [n for n in ("context", "question", "options") if n in df.columns]
+
+    def new(e: Column) -> Column:
+        json = None
+        for n in columns:
+            hit = (e["key"] == n) & F.array_contains("written", n)
+            json = F.when(hit, _json(df, n)) if json is None else json.when(hit, _json(df, n))
+        return F.struct(e["key"].alias("key"), (e["json"] if json is None else json.otherwise(e["json"])).alias("json"))
+
+    keys = F.transform("record", lambda e: e["key"])
+    added = F.array(*[F.struct(F.lit(n).alias("key"), _json(df, n).alias("json")) for n in columns])
+    missing = F.filter(added, lambda e: ~F.array_contains(keys, e["key"]))
+    return _object(F.concat(F.transform("record", new), missing))
+
+
 def read_qa_file(spark: SparkSession, path: str) -> DataFrame:
     """Every line of a JSONL file or folder, broken ones included under ``_corrupt``."""
     return parse_qa_lines(spark.read.text(path))

@@ -71,21 +71,59 @@ ORACLES["transform_dispatch"] = f"WITH {QA} {DISPATCH} FROM qa"
 ORACLES["unseen_types"] = f"WITH {QA} SELECT DISTINCT question_type FROM qa WHERE question_type = 'unmapped_type'"
 ORACLES["transform_counts"] = f"WITH {QA} SELECT question_type, count(*) AS n_rows FROM qa GROUP BY 1"
 
-# Broken lines at 3, explicit null context at 4, no context at 5 (item_id % 10).
-ORACLES["jsonl_parse"] = f"""WITH {QA}, k AS (SELECT *, item_id % 10 AS kind FROM qa)
-SELECT item_id, CASE WHEN kind <> 3 THEN question_type END AS question_type,
- CASE WHEN kind NOT IN (3, 4, 5) THEN context END AS context, CASE WHEN kind <> 3 THEN question END AS question,
- CASE WHEN kind <> 3 THEN {p.words(O)} END AS options, CASE WHEN kind <> 3 THEN answer END AS answer,
- CASE WHEN kind <> 3 THEN '{{"item_id":' || item_id || '}}' END AS extras,
- CASE WHEN kind = 4 THEN 'context' WHEN kind <> 3 THEN '' END AS null_fields,
- CASE WHEN kind = 3 THEN 1 ELSE 0 END AS is_corrupt FROM k"""
-# A null context only matters to rewrites that read it; the analogy rewrite passes it on (as empty).
-ORACLES["jsonl_corrupt"] = f"""WITH {QA}, k AS (
- SELECT item_id, question_type, CASE WHEN item_id % 10 IN (4, 5) THEN '' ELSE context END AS context, question, options
- FROM qa WHERE item_id % 10 <> 3 AND (item_id % 10 <> 4 OR question_type = 'analogy'))
-{DISPATCH} FROM k"""
-ORACLES["jsonl_roundtrip"] = f"""WITH {QA}
-SELECT item_id, question_type, context, question, {p.words(O)} AS options, answer, answer AS ability, 'train' AS split FROM qa"""
+# A whole line per row, and one more of the kind that item_id % 10 names.
+KINDS = [
+    "broken", "null_context", "no_context", "number_context", "number_answer", "null_answer", "typed_options",
+    "text_options", "number_options", "listed_type",
+]
+TYPED = """item_id || ',2.5,true,1.0,1.0E10,null,"left side"'"""
+
+
+def _json(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+def _line(context: str = C, question: str = Q, options: str = _json(O), added: str = "") -> str:
+    """A row's line; ``options`` is JSON already, ``added`` follows at the end."""
+    members = [
+        f"""CASE kind WHEN 'listed_type' THEN '"question_type":["x"]' ELSE '"question_type":' || {_json('question_type')} END""",
+        f"""CASE kind WHEN 'null_context' THEN '"context":null' WHEN 'number_context' THEN '"context":' || item_id
+            WHEN 'no_context' THEN NULL ELSE '"context":' || {_json(context)} END""",
+        f"""'"question":' || {_json(question)}""", f"""'"options":' || {options}""",
+        f"""CASE kind WHEN 'number_answer' THEN '"answer":' || item_id % 1000 || '.0' WHEN 'null_answer' THEN '"answer":null'
+            ELSE '"answer":' || {_json('answer')} END""",
+        """'"item_id":' || item_id""",
+    ] + [added] * bool(added)
+    return f"'{{' || concat_ws(',', {', '.join(members)}) || '}}'"
+
+
+KEPT_OPTIONS = f"""CASE kind WHEN 'typed_options' THEN '[' || {TYPED} || ']' WHEN 'text_options' THEN '"abc"'
+ WHEN 'number_options' THEN '7' ELSE {_json(O)} END"""
+LINES = f"""{QA}, k AS (SELECT *, 'whole' AS kind FROM qa
+ UNION ALL SELECT *, {KINDS!r}[item_id % 10 + 1] FROM qa)"""
+ORACLES["jsonl_parse"] = f"""WITH {LINES}
+SELECT item_id, kind, CASE kind WHEN 'broken' THEN NULL WHEN 'listed_type' THEN '["x"]' ELSE question_type END AS question_type,
+ CASE WHEN kind IN ('broken', 'null_context', 'no_context') THEN NULL WHEN kind = 'number_context' THEN item_id::VARCHAR ELSE context END AS context,
+ CASE WHEN kind <> 'broken' THEN question END AS question,
+ CASE WHEN kind IN ('broken', 'number_options') THEN NULL WHEN kind = 'text_options' THEN 'a|b|c'
+  WHEN kind = 'typed_options' THEN item_id || '|2.5|True|1.0|10000000000.0|left side' ELSE {p.words(O)} END AS options,
+ CASE WHEN kind IN ('broken', 'null_answer') THEN NULL WHEN kind = 'number_answer' THEN item_id % 1000 || '.0' ELSE answer END AS answer,
+ CASE WHEN kind <> 'broken' THEN '{{"item_id":' || item_id || '}}' END AS extras,
+ CASE kind WHEN 'null_context' THEN 'context' WHEN 'null_answer' THEN 'answer' WHEN 'broken' THEN NULL ELSE '' END AS null_fields,
+ (kind = 'broken')::INTEGER AS is_corrupt FROM k"""
+ORACLES["jsonl_roundtrip"] = f"""WITH {LINES}
+SELECT item_id, answer AS ability, 'train' AS split, {_line(options=KEPT_OPTIONS)} AS line FROM k WHERE kind <> 'broken'"""
+# Only the analogy rewrite leaves the context alone, and two leave the options; what they don't read may be anything.
+READS_OPTIONS = "question_type NOT IN ('single_fact_recall', 'multi_hop_recall', 'arithmetic_word_problem')"
+NEW_OPTIONS = f"""CASE WHEN NOT ({READS_OPTIONS}) THEN {KEPT_OPTIONS}
+ WHEN kind = 'typed_options' THEN '["' || reverse(item_id::VARCHAR) || '","2.5","eurT","1.0","00000000001.0","enoN","tfel edis"]'
+ WHEN kind = 'text_options' THEN '["a","b","c"]' ELSE {_json(_dispatch(2))} END"""
+ORACLES["jsonl_corrupt"] = f"""WITH {LINES}, r AS (
+ SELECT * REPLACE (CASE WHEN kind IN ('null_context', 'no_context', 'number_context') THEN '' ELSE context END AS context) FROM k
+ WHERE kind NOT IN ('broken', 'listed_type') AND (kind NOT IN ('null_context', 'number_context') OR question_type = 'analogy')
+  AND (kind <> 'number_options' OR NOT ({READS_OPTIONS})))
+SELECT item_id, kind, {_line(_dispatch(0), _dispatch(1), NEW_OPTIONS,
+    f"CASE kind WHEN 'no_context' THEN '" + '"context":' + f"' || {_json(_dispatch(0))} END")} AS line FROM r"""
 ORACLES["line_counts"] = "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents"
 ORACLES["raw_lines"] = """SELECT len(line) AS line_length, count(*) AS n_lines
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"""

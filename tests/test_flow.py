@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ablatrix.functions import chat
 from ablatrix.operators import (
-    attribution, batches, corpus, extraction, packing, region, results, splitting, tokens,
+    attribution, batches, corpus, corruption, extraction, packing, region, results, splitting, tokens,
 )
 from ablatrix.plans import workflows
 from ablatrix.sources import jsonl, packed, tensors
@@ -72,6 +72,46 @@ def test_corrupt_abilities(spark, abilities, tmp_path):
     assert {"question_type": "new", "context": "b a", "question": "d c", "options": ["fe"]} in lines
 
 
+def _rewritten(spark, lines):
+    done = corruption.corrupt_corpus(jsonl.parse_qa_lines(spark.createDataFrame([(x,) for x in lines], "value string")))
+    return [r[0] for r in done.select(jsonl.qa_line(done)).collect()]
+
+
+def test_only_rewritten_fields_change(spark):
+    lines = [
+        '{"answer":3,"question_type":"analogy","context":null,"question":"ab cd","options":[1,2.5,true,1.0,null,"xy"],"x":{"b":1.0,"a":[]}}',
+        '{"question_type":"single_fact_recall","options":[1,1.0,null],"context":"a5","question":"q","x":1,"q\\"k":"v\\n","x":2.0}',
+        '{"question_type":"analogy","answer":null,"options":"abc"}',
+        '{"question_type":"analogy","options":{"ab":1,"cd":2},"context":7}',
+        '{"question_type":5,"context":"a b","question":"c d"}',
+        '{"question_type":"single_fact_recall","context":"","question":"","options":"x"}',
+    ]
+    assert _rewritten(spark, lines) == [
+        '{"answer":3,"question_type":"analogy","context":null,"question":"ba dc","options":["1","2.5","eurT","1.0","enoN","yx"],"x":{"b":1.0,"a":[]}}',
+        '{"question_type":"single_fact_recall","options":[1,1.0,null],"context":"XX","question":"X","q\\"k":"v\\n","x":2.0}',
+        '{"question_type":"analogy","answer":null,"options":["a","b","c"],"context":"","question":""}',
+        '{"question_type":"analogy","options":["ba","dc"],"context":7,"question":""}',
+        '{"question_type":5,"context":"b a","question":"d c","options":[]}',
+        '{"question_type":"single_fact_recall","context":"","question":"","options":"x"}',
+    ]
+
+
+def test_unreadable_fields_are_row_errors(spark):
+    lines = [
+        '{"question_type":"world_fact","context":5}', '{"question_type":"world_fact","question":["q"]}',
+        '{"question_type":"analogy","options":7}', '{"question_type":"analogy","options":true}', '{"question_type":"analogy","options":null}',
+        '{"question_type":{"a":1}}', '{"question_type":false}', '{"question_type":0}', '{"question_type":[]}', '{"question_type":""}',
+    ]
+    assert _rewritten(spark, lines) == []
+
+
+def test_numbers_as_text(spark):
+    numbers = [0.1, 100000.0, 1e7, 123456789.5, 1e15, 1e16, 1.5e300, 0.001, 0.00012, 0.0001, 1e-5, -1.5e-7, -0.0, 12, -3]
+    lines = [json.dumps({"question_type": "analogy", "options": [n]}) for n in numbers]
+    options = [r["options"] for r in jsonl.parse_qa_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert options == [[str(n)] for n in numbers]
+
+
 def test_new_files_only(spark, tmp_path):
     source, target, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
     _write(tmp_path / "in" / "a.jsonl", [_qa(question_type="roles_and_relations", context="a b", question="q", note="n")])
