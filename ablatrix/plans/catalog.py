@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as ar, chat, naming, numeric, text as tx
 from ..operators import (
-    attribution, batches, corpus, corruption, damage, extraction, packing, region, results, splitting, tokens,
+    attribution, batches, boundaries, corpus, corruption, damage, extraction, packing, region, results, splitting, tokens,
 )
 from ..session import scratch_path
 from ..sources import jsonl, packed, tensors
@@ -238,6 +238,31 @@ def strip_system(spark, sf):
     return rendered.select("item_id", chat.strip_system(some).alias("text"))
 
 
+def _reports(spark, sf) -> DataFrame:
+    """Documents with a sentence of abbreviations, an initial and a number about their own words at the end."""
+    text = F.coalesce("text", F.lit(""))
+    names = F.regexp_extract_all(text, F.lit(r"\p{L}{3,}"), F.lit(0))
+    name = F.coalesce(F.get(names, F.col("doc_id").cast("int") % 5), F.lit("Wren"))
+    told = F.concat(
+        text, F.lit(" Yesterday Dr. "), name, F.lit(" met Prof. J. "), name, F.lit(", i.e. the head. Then 3. place went to approx. "),
+        (F.col("doc_id") % 90).cast("string"), F.lit(" of them. However, "), name, F.lit(" left at 5. However, it rained!"),
+    )
+    return v.documents(spark, sf).select("doc_id", told.alias("text"))
+
+
+@query
+def boundary_model(spark, sf):
+    """Abbreviations, collocations and sentence starters counted over all documents."""
+    return boundaries.train_counts(_reports(spark, sf))
+
+
+@query
+def sentence_split_trained(spark, sf):
+    texts = _reports(spark, sf)
+    split = boundaries.split_trained(boundaries.train(texts))
+    return corpus.sentences_of(texts, splitter=split).select("doc_id", F.posexplode("sentences").alias("s", "sentence"))
+
+
 @query
 def sentence_split(spark, sf):
     docs = corpus.sentences_of(v.documents(spark, sf).select("doc_id", "text"))

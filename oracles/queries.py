@@ -194,6 +194,63 @@ PACKED = f"""{GREEDY}, pk AS (SELECT doc_id, seg, tokens, len(tokens)::INT AS le
  coalesce(sum(len(tokens)) OVER (ORDER BY doc_id, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
  FROM seg WINDOW w AS (ORDER BY doc_id, seg))"""
 
+REPORTS = r"""reports AS (SELECT doc_id, concat(t, ' Yesterday Dr. ', name, ' met Prof. J. ', name,
+ ', i.e. the head. Then 3. place went to approx. ', doc_id % 90, ' of them. However, ', name, ' left at 5. However, it rained!') AS text
+FROM (SELECT doc_id, t, coalesce(x[doc_id % 5 + 1], 'Wren') AS name FROM (SELECT doc_id, coalesce(text, '') AS t,
+ regexp_extract_all(coalesce(text, ''), '\p{L}{3,}') AS x FROM documents)))"""
+
+
+def _core(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '')"
+
+
+def _type(x: str) -> str:
+    word = rf"lower(regexp_replace({_core(x)}, '\.+$', ''))"
+    return rf"CASE WHEN regexp_matches({word}, '^[\p{{Nd}}.,:-]*\p{{Nd}}[\p{{Nd}}.,:-]*$') THEN '0' ELSE {word} END"
+
+
+def _logs(k: str, m: str, q: str) -> str:
+    return (
+        f"(CASE WHEN {k} > 0 THEN {k} * ln(greatest(1e-300, {q})) ELSE 0 END"
+        f" + CASE WHEN {m} > {k} THEN ({m} - {k}) * ln(greatest(1e-300, 1 - {q})) ELSE 0 END)"
+    )
+
+
+_RATIO = " ".join([
+    "2 * (", _logs("n", "first", "(n::DOUBLE / first)"), "+", _logs("(second - n)", "(total - first)", "((second - n)::DOUBLE / (total - first))"),
+    "-", _logs("n", "first", "(second::DOUBLE / total)"), "-", _logs("(second - n)", "(total - first)", "(second::DOUBLE / total)"), ")",
+])
+_LETTERS = "length(replace(type, '.', ''))"
+BOUNDARY_MODEL = rf"""{REPORTS},
+toks AS MATERIALIZED (SELECT doc_id, unnest(ts) AS a, unnest(list_concat(ts[2:], [NULL])) AS b FROM (SELECT doc_id, {p.space_tokens('text')} AS ts FROM reports)),
+typed AS MATERIALIZED (SELECT a, b, {_type('a')} AS word, {_type('b')} AS next, ends_with({_core('a')}, '.') AS period FROM toks),
+types AS MATERIALIZED (SELECT word AS type, sum(period::INTEGER) AS with_period, sum(1 - period::INTEGER) AS without FROM typed WHERE word <> '' GROUP BY 1),
+totals AS (SELECT sum(with_period + without) AS total, sum(with_period) AS periods FROM types),
+abbr AS MATERIALIZED (SELECT type AS word, with_period AS n FROM types, totals WHERE regexp_matches(type, '\p{{L}}') AND with_period > 0
+ AND 2 * (with_period * (ln(0.99) - ln(periods / total)) + without * (ln(1 - 0.99) - ln(1 - periods / total)))
+  * exp(-{_LETTERS}::DOUBLE) * (length(type) - {_LETTERS} + 1) * pow({_LETTERS}, -without) >= 0.3),
+pairs AS (SELECT word, next, period AND (word IN (SELECT word FROM abbr) OR regexp_matches(word, '^\p{{L}}$') OR word = '0') AS own
+ FROM typed WHERE regexp_matches(a, '[.!?]$') AND b IS NOT NULL AND next <> ''),
+counted AS (SELECT CASE WHEN own THEN 'collocation' ELSE 'starter' END AS kind, CASE WHEN own THEN word END AS word, next, count(*) AS n
+ FROM pairs GROUP BY 1, 2, 3),
+judged AS (SELECT c.*, sum(n) OVER (PARTITION BY kind, word) AS first, with_period + without AS second, total
+ FROM counted c JOIN types ON type = next, totals),
+model AS MATERIALIZED (SELECT 'abbreviation' AS kind, word, NULL::VARCHAR AS next, n::BIGINT AS n FROM abbr
+ UNION ALL SELECT kind, word, next, n::BIGINT FROM judged
+ WHERE {_RATIO} > CASE kind WHEN 'starter' THEN 30 ELSE 7.88 END AND n * total > first * second)"""
+ORACLES["boundary_model"] = f"WITH {BOUNDARY_MODEL} SELECT * FROM model"
+ORACLES["sentence_split_trained"] = rf"""WITH {BOUNDARY_MODEL},
+cut AS (SELECT doc_id, list_filter(regexp_extract_all({p.trim('text')}, '(?s).*?(?:[.!?][{p.SPACES}]+|$)'), lambda x: x <> '') AS ps FROM reports),
+pieces AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i FROM cut),
+ends AS (SELECT *, {p.space_tokens('piece')}[-1] AS a, lead({p.space_tokens('piece')}[1]) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM pieces),
+w AS (SELECT *, {_type('a')} AS word, {_type('b')} AS next FROM ends),
+k AS (SELECT *, word = '0' AS num, regexp_matches(word, '^\p{{L}}$') OR word IN (SELECT word FROM abbr) AS short,
+  (word, next) IN (SELECT word, next FROM model WHERE kind = 'collocation') AS together,
+  next IN (SELECT next FROM model WHERE kind = 'starter') AND regexp_matches(b, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AS starts FROM w),
+j AS (SELECT doc_id, i, piece, b IS NOT NULL AND (NOT ends_with(a, '.') OR (NOT ((num OR short) AND together)
+  AND CASE WHEN short THEN starts WHEN num THEN NOT regexp_matches(b, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') ELSE TRUE END)) AS stop FROM k),
+g AS (SELECT doc_id, i, piece, coalesce(sum(stop::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM j)
+SELECT doc_id, s::INTEGER AS s, {p.trim("string_agg(piece, '' ORDER BY i)")} AS sentence FROM g GROUP BY doc_id, s"""
 ORACLES["sentence_split"] = f"""SELECT doc_id, unnest(range(len(ss)))::INT AS s, unnest(ss) AS sentence FROM
  (SELECT doc_id, list_filter({p.sentences('text')}, lambda x: x <> '') AS ss FROM documents
   WHERE {p.trim('text')} <> '' AND text <> '\\n')"""
