@@ -21,6 +21,7 @@ rows. The sample: at most ``FIT_ROWS`` labelled documents, those of smallest key
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import fresh, slices, whole
+from .common import fresh, opened, shipped, slices, whole
 from .quality_classifier import labelled_sample
 
 FIT_ROWS = 20_000
@@ -46,6 +47,12 @@ ROUNDS = 4
 #: Sentences a toxic text is represented by at most, and how bad they are beside the worst.
 BAD_SENTENCES = 4
 NEARLY = 0.6
+#: Of clean sentences so many are less bad than a toxic text's that tells something.
+CLEARLY = 0.9
+#: Landmarks have at least this share of the best one's evidence.
+EVIDENCE = 0.05
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 CHUNK = 1 << 20
 
 #: Letters with accents count as their base letter, digits as the letter they resemble.
@@ -130,6 +137,7 @@ def marking_words(sample: DataFrame, number: int) -> tuple[list[tuple[str, float
     ratio = F.log((toxic + 0.5) / (t + 1)) - F.log((clean + 0.5) / (n - t + 1))
     evidence = (toxic * ratio).alias("evidence")
     best = counts.filter(ratio > 1.5).select("word", evidence).orderBy(F.desc("evidence"), "word").limit(number).collect()
+    best = [r for r in best if r["evidence"] >= EVIDENCE * best[0]["evidence"]]  # the rest may be words of a few copied texts
     common = counts.filter(ratio < 0.5).orderBy(F.desc("all"), "word").limit(number // 4).collect()
     return [(r["word"], r["evidence"]) for r in best], [r["word"] for r in common]
 
@@ -142,10 +150,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
 
 
-def labelled_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(sentence, label): of a toxic text its worst sentence and those nearly as bad; of a clean text
-    its worst sentence and another."""
-    shipped = sample.sparkSession.sparkContext.broadcast(weights)
+def labelled_sentences(sample: DataFrame, weights: np.ndarray, names: re.Pattern[str]) -> tuple[list[str], np.ndarray]:
+    """(sentence, label): of a toxic text the surroundings of its marking words, or without any its worst
+    sentence and those nearly as bad; of a clean text its worst sentence and another."""
+    box = sample.sparkSession.sparkContext.broadcast(weights)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -154,20 +162,30 @@ def labelled_sentences(sample: DataFrame, weights: np.ndarray) -> tuple[list[str
                 sentences = split_sentences(text)
                 if not sentences:
                     continue
-                values = worst(sentences, shipped.value)
+                if label > 0.5 and (marked := [x for x in map(names.search, sentences) if x][:BAD_SENTENCES]):
+                    out += [beside(x) for x in marked]
+                    labels += [label] * len(marked)
+                    continue
+                values = worst(sentences, box.value)
                 order = np.argsort(-values, kind="stable")[:BAD_SENTENCES].tolist()
                 if label > 0.5:
                     chosen = [i for i in order if values[i] >= NEARLY * values[order[0]] or i == order[0]]
                 else:
                     chosen = sorted({order[0], len(sentences) // 2})
-                out += [best_part(sentences[i], shipped.value) for i in chosen]
+                out += [best_part(sentences[i], box.value) for i in chosen]
                 labels += [label] * len(chosen)
             yield pa.RecordBatch.from_pydict({"s": pa.array(out, pa.string()), "label": pa.array(labels, pa.float64())})
 
-    got = sample.select("text", "label").mapInArrow(pick, "s string, label double").orderBy("s", "label").limit(4 * FIT_ROWS).toArrow()
+    got = sample.select("text", "label").mapInArrow(pick, "s string, label double").orderBy(F.xxhash64("s"), "s", "label").limit(4 * FIT_ROWS).toArrow()
     return got["s"].to_pylist(), (got["label"].to_numpy() > 0.5).astype(float)
 
 
+def beside(m: re.Match[str]) -> str:
+    """A marking word and the words on either side."""
+    before, after = m.string[:m.start()].split()[-1:], m.string[m.end():].split()[:1]
+    return " ".join([*before, m[0], *after])
+
+
 def best_part(sentence: str, weights: np.ndarray) -> str:
     """The words around the worst stretch of a long sentence."""
     words = sentence.split()
@@ -177,10 +195,23 @@ def best_part(sentence: str, weights: np.ndarray) -> str:
     return parts[int(np.argmax(worst(parts, weights)))]
 
 
-def kernel_values(sentences: list[str], weights: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each sentence's worst stretch with each landmark; a stretch has few subsequences."""
-    by_number = np.ascontiguousarray(landmarks.T)
-    out = np.zeros((len(sentences), len(landmarks)))
+def with_insertions(sentence: str, names: re.Pattern[str], draw: random.Random) -> str:
+    """A letter or two put into the marking words; into some of the other words if there are none."""
+
+    def insert(m: re.Match[str]) -> str:
+        word = m[0]
+        for _ in range(draw.choice((1, 1, 2))):
+            at = draw.randrange(1, len(word))
+            word = word[:at] + draw.choice(LETTERS) + word[at:]
+        return word
+
+    return names.sub(insert, sentence) if names.search(sentence) else LONG_WORD.sub(lambda m: insert(m) if draw.random() < 0.3 else m[0], sentence)
+
+
+def kernel_values(sentences: list[str], weights: np.ndarray, landmarks: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """Whitened kernel of each sentence's worst stretch with the landmarks; a stretch has few subsequences."""
+    by_number = np.ascontiguousarray(landmarks.T) @ whiten
+    out = np.zeros((len(sentences), whiten.shape[1]), np.float32)
     for row, sentence in enumerate(sentences):
         s = signs(sentence)
         at = int(np.argmax(stretches(s, weights)))
@@ -193,22 +224,24 @@ def kernel_values(sentences: list[str], weights: np.ndarray, landmarks: np.ndarr
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float = 1e-4, seed: int = 3) -> np.ndarray:
-    """Hinge loss by stochastic subgradients with averaging; the kinds weigh the same."""
+def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Hinge loss by stochastic subgradients with averaging; the kinds weigh the same. Weights, and the shift,
+    which the logistic curve replaces."""
     draw = np.random.default_rng(seed)
     sign = 2 * y - 1
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)  # the shift, which the logistic curve replaces
     cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
-    w, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    w, mean, step = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     for epoch in range(epochs):
         for rows in np.array_split(draw.permutation(len(y)), max(1, len(y) // 64)):
             step += 1
-            hit = sign[rows] * (x[rows] @ w) < 1
-            g = penalty * w - (cost[rows] * hit * sign[rows]) @ x[rows] / len(rows)
+            part = np.concatenate([x[rows], np.ones((len(rows), 1))], axis=1)
+            hit = sign[rows] * (part @ w) < 1
+            g = penalty * w - (cost[rows] * hit * sign[rows]) @ part / len(rows)
             w = w - g * 2.0 / np.sqrt(step)
             if epoch >= epochs // 2:
                 mean += w
-    return mean[:-1] / max(1e-12, np.linalg.norm(mean)) * np.linalg.norm(w)
+    mean *= np.linalg.norm(w) / max(1e-12, np.linalg.norm(mean))
+    return mean[:-1], float(mean[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Machine:
@@ -217,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks, common = marking_words(sample, LANDMARKS)
     if not marks:
         return Machine(np.zeros(SIGNS ** 3))
+    names = re.compile(rf"\b(?:{'|'.join(re.escape(m[0]) for m in marks)})\b", re.I)
     landmarks = np.array([kernel_vector(signs(w)) for w in [m[0] for m in marks] + common])
     own = landmarks @ landmarks.T
     values, vectors = np.linalg.eigh(own)
@@ -225,25 +259,37 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # To begin with, what the marking words share with each other and not with common ones.
     evidence = np.array([m[1] for m in marks])
     weights = evidence @ landmarks[:len(marks)] / evidence.sum() - landmarks[len(marks):].sum(axis=0) / max(1, len(common))
-    x, y = np.zeros((0, whiten.shape[1])), np.zeros(0)
-    for _ in range(ROUNDS):
-        sentences, now = labelled_sentences(sample, weights)
-        if not len(now) or now.min() == now.max():
+    hard = np.zeros((0, whiten.shape[1]), np.float32)
+    for turn in range(ROUNDS):
+        sentences, y = labelled_sentences(sample, weights, names)
+        if not len(y) or y.min() == y.max():
             break
-        # What clean texts had worst in earlier rounds is kept; toxic ones are chosen anew.
-        x = np.concatenate([x[y < 0.5], kernel_values(sentences, weights, landmarks) @ whiten])
-        y = np.concatenate([y[y < 0.5], now])
-        weights = landmarks.T @ (whiten @ fit_linear(x, y))
-    shipped = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = sample.select("text", "label").mapInArrow(_valuer(shipped), "label double, value double")
-    got = scored.orderBy("label", "value").limit(2 * FIT_ROWS).toArrow()
+        # A toxic text need not show it: what is no worse than clean texts' worst and holds no marking word teaches nothing.
+        values = worst(sentences, weights)
+        told = (y < 0.5) | (values > np.quantile(values[y < 0.5], CLEARLY)) | np.array([bool(names.search(s)) for s in sentences])
+        if not y[told].any():
+            told[:] = True
+        sentences, y = [s for s, k in zip(sentences, told) if k], y[told]
+        draw = random.Random(turn)
+        altered = [with_insertions(s, names, draw) for s in sentences]
+        y = np.concatenate([np.zeros(len(hard)), y, y])
+        x = np.concatenate([hard, kernel_values([*sentences, *altered], weights, landmarks, whiten)])
+        fitted, shift = fit_linear(x, y)
+        weights = landmarks.T @ (whiten @ fitted)
+        # Of clean sentences those on the wrong side of the margin stay for the next round; toxic ones are chosen anew.
+        hard = x[(y < 0.5) & (x @ fitted + shift > -1)][:FIT_ROWS]
+    box = docs.sparkSession.sparkContext.broadcast(weights)
+    scored = sample.select("text", "label", F.xxhash64("text").alias("hash")).mapInArrow(_valuer(box), "label double, hash long, value double")
+    # Repeated keys can make the sample longer; what is left out then is chance, whatever its kind.
+    got = scored.orderBy("hash", "label").limit(2 * FIT_ROWS).toArrow()
     return calibrated(weights, got["value"].to_numpy(), (got["label"].to_numpy() > 0.5).astype(float))
 
 
-def _valuer(shipped):
+def _valuer(box):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"label": batch.column(1), "value": pa.array(values_of(batch.column(0).to_pylist(), shipped.value))})
+            values = pa.array(values_of(batch.column(0).to_pylist(), box.value))
+            yield pa.RecordBatch.from_pydict({"label": batch.column(1), "hash": batch.column(2), "value": values})
 
     return run
 
@@ -279,13 +325,13 @@ def calibrated(weights: np.ndarray, values: np.ndarray, y: np.ndarray) -> Machin
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic."""
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)
+    box = shipped(docs.sparkSession, machine)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = opened(box)
         for batch in slices(batches):
-            m = shipped.value
             p = m.probabilities(values_of(batch.column(at).to_pylist(), m.weights))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, into])
 
