@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The six ASCII white-space characters; a run of them separates words. In a pattern, single
@@ -33,6 +36,16 @@ def words_of(text: str | Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
 
 
+def shipped(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object together with its classes, so that executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(box: Broadcast) -> Any:
+    """What ``shipped`` sent; to be called once per task."""
+    return pickle.loads(box.value)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

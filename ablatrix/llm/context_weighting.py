@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import key_share, slices, whole
+from .common import key_share, opened, shipped, slices, whole
 
 DEPTH = 5
 END = b"\n"
@@ -275,11 +275,11 @@ def tree_top(asked: DataFrame, depth: int) -> list[Level]:
 
 
 def gram_answers(asked: DataFrame, depth: int) -> DataFrame:
-    top = asked.sparkSession.sparkContext.broadcast(tree_top(asked, depth))
+    box = shipped(asked.sparkSession, tree_top(asked, depth))
 
     def weigh(group: pa.Table) -> pa.Table:
         codes, counts = _merged(group)
-        logs = log10_probabilities(codes, subtree(codes, counts, depth, 2) + top.value).astype("<f4")
+        logs = log10_probabilities(codes, subtree(codes, counts, depth, 2) + opened(box)).astype("<f4")
         values = [_pack(logs[np.searchsorted(codes, _unpack(x.as_py(), "<u8"))]) for x in group["items"]]
         return pa.table({"kind": group["kind"], "block": group["block"], "items": group["items"], "values": pa.array(values, pa.binary())})
 

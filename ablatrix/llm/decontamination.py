@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
-from .common import fresh, whole
+from .common import fresh, opened, shipped, whole
 
 N = 13
 #: Benchmark text that is broadcast at once.
@@ -149,7 +149,6 @@ def find_hits(
     n: int = N, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Add ``n_words``, ``hits`` (begin and end word of each hit run, in order), ``items`` (sorted ids), ``n_hit``."""
-    context = docs.sparkSession.sparkContext
     names = ["n_words", "hits", "items"]
     df = docs.drop(*[c for c in docs.columns if c.lower() in names])
     found = {
@@ -165,12 +164,12 @@ def find_hits(
         if numbered is None:
             row, = fresh(df.withColumns(found), "row")
             numbered = stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
-        shipped = context.broadcast(windows)
+        box = shipped(docs.sparkSession, windows)
         read = numbered.select(row, text).withColumns(found)
-        hit = read.mapInArrow(_scanner(shipped, 1), read.schema).filter(F.size("items") + F.size("hits") > 0)
+        hit = read.mapInArrow(_scanner(box, 1), read.schema).filter(F.size("items") + F.size("hits") > 0)
         parts.append(stage(hit.select(row, "hits", "items"), "hits"))
-        shipped.destroy()
-        del windows, shipped
+        box.destroy()
+        del windows, box
         windows = Windows(block, n)
     if numbered is None:
         df = df.withColumns(found)
@@ -182,13 +181,13 @@ def find_hits(
             *df.columns, found["n_words"].alias("n_words"),
             *[F.coalesce(F.col(c), found[c]).alias(c) for c in ("hits", "items")],
         )
-    df = df.mapInArrow(_scanner(context.broadcast(windows), df.columns.index(text)), df.schema)
+    df = df.mapInArrow(_scanner(shipped(docs.sparkSession, windows), df.columns.index(text)), df.schema)
     return df.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["begin"]))
 
 
-def _scanner(shipped, at: int):
+def _scanner(box, at: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shipped.value
+        windows = opened(box)
         number = windows.numbers.get
         for whole_batch in batches:
             for batch in (whole_batch.slice(i, 256) for i in range(0, whole_batch.num_rows, 256)):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir, stage
-from .common import fresh, slices
+from .common import fresh, opened, shipped, slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -208,12 +208,13 @@ def links(distinct: DataFrame, radius: int, shard_members: int) -> DataFrame:
     total = distinct.count()
     sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
     leaf = max(8, ceil(len(sample) * shard_members / max(1, total)))
-    tree = spark.sparkContext.broadcast(VantageTree(sample, leaf))
+    box = shipped(spark, VantageTree(sample, leaf))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = opened(box)
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for at, shard, member in tree.value.deal(fps, radius):
+            for at, shard, member in tree.deal(fps, radius):
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array(np.full(len(at), shard, np.int32)), "member": pa.array(np.full(len(at), member)),
                     "fp": pa.array(fps[at].view(np.int64)),

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, slices
+from .common import fresh, opened, shipped, slices
 
 BUCKETS = 1 << 15
 DIMENSIONS = 64
@@ -206,14 +206,14 @@ class Network:
         return net
 
 
-def add_features(docs: DataFrame, shipped, text: str, into: str) -> DataFrame:
+def add_features(docs: DataFrame, box, text: str, into: str) -> DataFrame:
     """Replace the text by its features."""
     at, others = docs.columns.index(text), [c for c in docs.columns if c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in slices(batches):
-            x = np.concatenate([pooled(t, shipped.value, buckets) for t in chunks(batch.column(at))])
+            x = np.concatenate([pooled(t, box.value, buckets) for t in chunks(batch.column(at))])
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != text]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(list(x), pa.list_(pa.float32()))], names=[*others, into])
 
@@ -233,8 +233,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS):
     """(word vectors, network): vectors from all ``docs``, the network from the sample."""
     vectors = word_vectors(context_sums(docs, text))
-    shipped = docs.sparkSession.sparkContext.broadcast(vectors)
-    sample = add_features(labelled_sample(docs, labels, key, text, label, rows), shipped, "text", "x")
+    box = docs.sparkSession.sparkContext.broadcast(vectors)
+    sample = add_features(labelled_sample(docs, labels, key, text, label, rows), box, "text", "x")
     # A repeated key may bring more rows than labels.
     got = sample.orderBy(F.xxhash64("key"), "label", "x").limit(rows).select("label", "x").toArrow()
     x = np.array(got["x"].to_pylist(), np.float32).reshape(-1, FEATURES)
@@ -243,12 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of good quality."""
-    shipped = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    box = shipped(docs.sparkSession, (vectors, network))
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = shipped.value
+        v, net = opened(box)
         buckets = Buckets()
         for batch in slices(batches):
             p = np.concatenate([net.probabilities(pooled(t, v, buckets)) for t in chunks(batch.column(at))])
