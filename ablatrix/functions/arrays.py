@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .text import let
 
@@ -30,35 +33,48 @@ def pack_or_drop(pieces: Column, length: int) -> Column:
     )
 
 
-def pack_greedy(pieces: Column, length: int) -> Column:
-    """Join consecutive pieces while they fit ``length`` ids; each run is one segment.
-
-    The fold carries only run boundaries; ids are copied once, when the runs are sliced out.
-    """
-    start = F.struct(
-        F.array().cast("array<struct<at:int,n:int>>").alias("runs"),
-        F.lit(0).alias("at"),
-        F.lit(0).alias("n"),
-    )
-
-    def step(acc: Column, size: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + size > length)
-        run = F.struct(acc["at"].alias("at"), acc["n"].alias("n"))
-        return F.struct(
-            F.when(full, F.array_append(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"),
-            F.when(full, acc["at"] + acc["n"]).otherwise(acc["at"]).alias("at"),
-            F.when(full, size).otherwise(acc["n"] + size).alias("n"),
-        )
-
-    def finish(acc: Column) -> Column:
-        run = F.struct(acc["at"].alias("at"), acc["n"].alias("n"))
-        return F.when(acc["n"] > 0, F.array_append(acc["runs"], run)).otherwise(acc["runs"])
-
-    runs = F.aggregate(F.transform(pieces, F.size), start, step, finish)
-    return let(
-        F.struct(F.flatten(pieces).alias("flat"), runs.alias("runs")),
-        lambda s: F.transform(s["runs"], lambda r: F.slice(s["flat"], r["at"] + 1, r["n"])),
-    )
+@F.arrow_udf(ArrayType(LongType()))
+def prefix_sums(lengths: pa.Array) -> pa.Array:
+    """Exclusive running sums inside each array."""
+    offsets = lengths.offsets.to_numpy()
+    values = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(values)])
+    own = before[offsets[0]:offsets[-1]] - np.repeat(before[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(own, pa.int64()))
+
+
+def cut_sizes(sizes: np.ndarray, length: int) -> np.ndarray:
+    """Sizes of the pieces of at most ``length`` that stretches of these sizes are cut into."""
+    if not len(sizes) or sizes.max() <= length:
+        return sizes
+    parts = np.maximum(1, -(-sizes // length))
+    out = np.full(parts.sum(), length, np.int64)
+    out[np.cumsum(parts) - 1] = sizes - (parts - 1) * length
+    return out
+
+
+def greedy_ends(sizes: np.ndarray, length: int) -> list[int]:
+    """Ends, in ids, of the runs of consecutive pieces that fit ``length``; each is one search in the running sums."""
+    sums, ends, at, base = np.cumsum(sizes), [], 0, 0
+    while at < len(sizes):
+        at = max(at + 1, int(np.searchsorted(sums, base + length, side="right")))
+        end = int(sums[at - 1])
+        if end > base:
+            ends.append(end)
+        base = end
+    return ends
+
+
+def pack_greedy(sentences: pa.ListArray, length: int) -> pa.ListArray:
+    """Sentences of ids, cut to pieces, as segments of consecutive pieces; the ids stay where they are."""
+    outer, inner = sentences.offsets.to_numpy(), sentences.values.offsets.to_numpy()
+    bounds, counts = [np.array([inner[outer[0]]])], [0]
+    for begin, end in zip(outer[:-1].tolist(), outer[1:].tolist()):
+        ends = greedy_ends(cut_sizes(np.diff(inner[begin:end + 1]).astype(np.int64), length), length)
+        bounds.append(inner[begin] + np.array(ends, np.int64))
+        counts.append(len(ends))
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), sentences.values.values)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), ids)
 
 
 def truncate(ids: Column, length: int) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as ar, chat, text as tx
@@ -96,19 +97,28 @@ def segments_of(df: DataFrame, length: int, mode: str = "drop") -> DataFrame:
     ``drop``: a document that does not fit one segment yields none. ``greedy``: consecutive
     pieces are packed into as many segments as needed.
     """
-    pack = {"drop": ar.pack_or_drop, "greedy": ar.pack_greedy}[mode]
-    return (
-        df.withColumn("pieces", pieces_of(F.col("ids"), length))
-        .withColumn("segments", pack(F.col("pieces"), length))
-        .drop("ids", "pieces")
-    )
+    if mode not in ("drop", "greedy"):
+        raise ValueError("mode is drop or greedy")
+    if mode == "drop":
+        segments = ar.pack_or_drop(pieces_of(F.col("ids"), length), length)
+        return df.withColumn("segments", segments).drop("ids")
+    at, names = df.columns.index("ids"), ["segments" if c == "ids" else c for c in df.columns]
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [ar.pack_greedy(c, length) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def sample_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "doc_id") -> DataFrame:
-    """One row per drawn segment: ``draw`` (order of drawing), ``seg``, ``length`` and ``tokens``.
+    packed = df.mapInArrow(pack, df.withColumnRenamed("ids", "segments").schema)
+    return packed.select(*[c for c in names if c != "segments"], "segments")
+
+
+def draw_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "doc_id") -> DataFrame:
+    """``drawn``: each document's drawn segments in order of drawing, with their places; it replaces ``segments``.
 
     -1 takes all in order; up to 2 draws with replacement; above 2 takes the first, the last,
     then the others in seeded random order. All row-local: a document's draws depend on its key only.
+    Documents without segments are left out.
     """
     n = F.size("segments")
     everything = F.sequence(F.lit(0), n - 1)
@@ -133,17 +143,18 @@ def sample_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "d
         )
         picks = F.transform(F.slice(ranked, 1, per_doc), lambda x: x["i"])
     drawn = F.transform(
-        F.col("picks"), lambda i: F.struct(i.alias("seg"), F.element_at("segments", i + 1).alias("tokens"))
+        F.col("picks"), lambda i: F.struct(i.alias("seg"), F.get("segments", i).alias("tokens"))
     )
     if per_doc == 0:
-        return df.limit(0).select(
-            *[c for c in df.columns if c != "segments"], F.lit(0).alias("draw"), F.lit(0).alias("seg"),
-            F.lit(0).alias("length"), F.array().cast("array<int>").alias("tokens"),
-        )
+        return df.limit(0).withColumn("drawn", F.array().cast("array<struct<seg:int,tokens:array<int>>>")).drop("segments")
+    return df.filter(n > 0).withColumn("picks", picks).withColumn("drawn", drawn).drop("segments", "picks")
+
+
+def sample_segments(df: DataFrame, per_doc: int, seed: int = 2023, key: str = "doc_id") -> DataFrame:
+    """One row per drawn segment: ``draw`` (order of drawing), ``seg``, ``length`` and ``tokens``."""
+    drawn = draw_segments(df, per_doc, seed, key)
     return (
-        df.filter(n > 0)
-        .withColumn("picks", picks)
-        .select(*[c for c in df.columns if c != "segments"], F.posexplode(drawn).alias("draw", "x"))
+        drawn.select(*[c for c in drawn.columns if c != "drawn"], F.posexplode("drawn").alias("draw", "x"))
         .select("*", "x.seg", F.size("x.tokens").alias("length"), "x.tokens")
         .drop("x")
     )

@@ -7,18 +7,36 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import null_safe_join, settle
+from ..functions import arrays as ar
+from ..session import null_safe_join, settle, stage
 from .running import id_levels, running_sums
 
 
-def with_offsets(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
-    """Number samples and give each its first token's position, in (key, draw) order.
+def number_segments(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
+    """Number samples and give each its first token's position, in (key, draw) order: one row per sample.
 
-    Expects ``length`` and ``draw``; for stored segments the totals read no tokens. With ``by``,
-    numbering starts anew per group, however large a group is.
+    Expects documents with ``drawn`` segments. The documents are written with their segments' lengths summed
+    inside each one; only (key, counts) rows, one per document, are summed up in parallel, and what lies
+    before a document comes back to it. Segments and tokens are in no window. With ``by``, numbering starts
+    anew per group, however large a group is; documents of equal keys follow each other.
     """
-    return running_sums(
-        df, [key, "draw"], id_levels(key), {"sample_id": F.lit(1), "start": F.col("length")}, by=by
+    lengths = F.transform("drawn", lambda x: F.size(x["tokens"]))
+    rows = stage(
+        df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__lengths", lengths)
+        .withColumn("__before", ar.prefix_sums("__lengths")),
+        "drawn",
+    )
+    total = F.aggregate("__lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    documents = rows.select("__row", key, *by, F.size("__lengths").alias("__n"), total.alias("__t"))
+    sums = running_sums(documents, [key, "__row"], id_levels(key), {"__id": F.col("__n"), "__start": F.col("__t")}, by=by)
+    places = stage(sums.select("__row", "__id", "__start"), "places")
+    kept = [c for c in df.columns if c != "drawn"]
+    # Told apart by place rather than exploded with their tokens, so that counting reads no tokens.
+    numbered = rows.join(places, "__row").select("*", F.posexplode("__before").alias("draw", "__at"))
+    segment = F.get("drawn", F.col("draw"))
+    return numbered.select(
+        *kept, "draw", segment["seg"].alias("seg"), F.get("__lengths", F.col("draw")).alias("length"), segment["tokens"].alias("tokens"),
+        (F.col("__id") + F.col("draw")).alias("sample_id"), (F.col("__start") + F.col("__at")).alias("start"),
     )
 
 

@@ -298,7 +298,7 @@ def chunk_fixed(spark, sf):
 
 
 def _segments(spark, sf, mode: str) -> DataFrame:
-    return v.samples(spark, sf, mode).select("doc_id", "seg", numbers("tokens").alias("ids"))
+    return v.drawn(spark, sf, mode).select("doc_id", F.posexplode("drawn").alias("draw", "x")).select("doc_id", "x.seg", numbers("x.tokens").alias("ids"))
 
 
 @query
@@ -340,7 +340,7 @@ def segment_sample_two(spark, sf):
 
 @query
 def offsets(spark, sf):
-    return packing.with_offsets(v.segments(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
+    return packing.number_segments(v.segments(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
 
 
 @query
@@ -363,6 +363,31 @@ def packed_roundtrip(spark, sf):
     return v.packed_table(spark, sf).select("sample_id", "type", "start", "length", numbers("tokens").alias("ids"))
 
 
+@query
+def sample_access(spark, sf):
+    """Samples by id out of the files that hold them, cut to 64 tokens."""
+    path = v.packed_path(spark, sf)
+    last = packed.read_index(spark, path).agg(F.max("hi")).first()[0]
+    found = packed.samples_at(spark, path, [*range(0, last + 1, max(1, last // 9)), last, last + 1], 64)
+    return found.select("sample_id", "start", "length", numbers("tokens").alias("ids"))
+
+
+@query
+def packed_damage(spark, sf):
+    """Validation of the sound packed table, and of a copy with moved, cut and missing samples."""
+    sound = packed.check_packed(spark, v.packed_path(spark, sf)).select("sample_id", "problem", F.lit("sound").alias("table"))
+    table, path = v.packed_table(spark, sf), scratch_path(spark, "damaged")
+    packed.write_packed(table, path)
+    i = F.col("sample_id")
+    damaged = table.filter(i % 103 != 50).withColumns({
+        "start": F.when(i % 97 == 5, F.col("start") + 1).otherwise(F.col("start")),
+        "tokens": F.when(i % 101 == 7, ar.truncate(F.col("tokens"), 1)).otherwise(F.col("tokens")),
+    })
+    damaged.write.mode("overwrite").parquet(f"{path}/samples")
+    found = packed.check_packed(spark, path).withColumn("table", F.lit("damaged"))
+    return sound.unionByName(found)
+
+
 @query
 def packed_manifest(spark, sf):
     return packing.manifest(v.packed_table(spark, sf))

@@ -26,18 +26,18 @@ FIRST_WORD_ID = 3
 # The selection fractions in use.
 K_VALUES = [0.00001, 0.00004, 0.00016, 0.00064, 0.00256, 0.01024]
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple[str, str, str], tuple[SparkSession, DataFrame | str]] = {}
 
 
 def once(name: str) -> Callable:
-    """Build a table once per session and input folder."""
+    """Build a table, or write it and keep its path, once per session and input folder."""
 
-    def wrap(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def wrap(build: Callable[[SparkSession, str], DataFrame | str]) -> Callable[[SparkSession, str], DataFrame | str]:
+        def get(spark: SparkSession, sf_dir: str) -> DataFrame | str:
             key = (spark.sparkContext.applicationId, sf_dir, name)
-            if key not in _staged or _staged[key].sparkSession is not spark:
-                _staged[key] = build(spark, sf_dir)
-            return _staged[key]
+            if key not in _staged or _staged[key][0] is not spark:
+                _staged[key] = spark, build(spark, sf_dir)
+            return _staged[key][1]
 
         get.__doc__ = build.__doc__
         return get
@@ -105,29 +105,34 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(corpus.token_sentences(docs, vocab(spark, sf_dir)), "encoded")
 
 
-def samples(spark: SparkSession, sf_dir: str, mode: str = "greedy", length: int = SEGMENT_LENGTH) -> DataFrame:
-    """All segments: (doc_id, source, draw, seg, length, tokens)."""
-    return corpus.sample_segments(corpus.segments_of(encoded(spark, sf_dir), length, mode), -1)
+def drawn(spark: SparkSession, sf_dir: str, mode: str = "greedy", length: int = SEGMENT_LENGTH) -> DataFrame:
+    """Documents with all their segments: (doc_id, source, drawn)."""
+    return corpus.draw_segments(corpus.segments_of(encoded(spark, sf_dir), length, mode), -1)
 
 
 @once("segments")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All greedily packed segments, stored."""
-    return stage(samples(spark, sf_dir), "segments")
+    """All greedily packed segments, stored with their documents."""
+    return stage(drawn(spark, sf_dir), "segments")
 
 
-@once("packed")
-def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed samples of all documents, written and read back."""
+@once("packed_path")
+def packed_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the packed samples of all documents are written."""
     path = scratch_path(spark, "packed")
-    packed.write_packed(packing.with_offsets(segments(spark, sf_dir)), path)
-    return packed.read_packed(spark, path)
+    packed.write_packed(packing.number_segments(segments(spark, sf_dir)), path)
+    return path
+
+
+def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed samples of all documents, read back."""
+    return packed.read_packed(spark, packed_path(spark, sf_dir))
 
 
 @once("packed_by_source")
 def packed_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packed dataset per document source in one table: (source, ordinal, kind, ...)."""
-    per_source = packing.with_offsets(segments(spark, sf_dir), by=["source"])
+    per_source = packing.number_segments(segments(spark, sf_dir), by=["source"])
     ordinal = F.substring("source", 4, 10).cast("int")
     return stage(
         per_source.select(

@@ -26,14 +26,14 @@ def prepare_corpus(
 ) -> DataFrame:
     """QA rows to a packed table at ``target``; returns its integrity problems (none expected).
 
-    Segments are written before they are numbered, so numbering reads lengths from storage and
+    Drawn segments are written before they are numbered, so numbering reads lengths from storage and
     texts are tokenised once.
     """
     rendered = corpus.chat_rows(qa, template)
     texts = rendered.select(key, chat.strip_system(F.col("content")).alias("text"))
     ids = corpus.token_sentences(texts, vocab, key=key)
-    drawn = stage(corpus.sample_segments(corpus.segments_of(ids, length, mode), per_doc, key=key), "segments")
-    packed.write_packed(packing.with_offsets(drawn, key=key), target)
+    drawn = corpus.draw_segments(corpus.segments_of(ids, length, mode), per_doc, key=key)
+    packed.write_packed(packing.number_segments(drawn, key=key), target)
     return packed.check_packed(qa.sparkSession, target)
 
 

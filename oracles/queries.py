@@ -283,6 +283,14 @@ nx AS (SELECT *, lead(start) OVER (ORDER BY sample_id) AS nxt FROM sh)
 SELECT sample_id, 'gap' AS problem, 'shifted' AS "table" FROM nx WHERE nxt <> start + length
 UNION ALL SELECT NULL, 'totals', 'shifted'"""
 ORACLES["packed_roundtrip"] = f"{PACKED} SELECT sample_id, 0 AS type, start, length, {p.numbers('tokens')} AS ids FROM pk"
+ORACLES["sample_access"] = f"""{PACKED}, n AS (SELECT max(sample_id) AS last FROM pk)
+SELECT sample_id, start, length, {p.numbers('tokens[1:64]')} AS ids FROM pk, n
+WHERE sample_id % greatest(1, last // 9) = 0 OR sample_id = last"""
+ORACLES["packed_damage"] = f"""{PACKED}, d AS (SELECT sample_id, start + (sample_id % 97 = 5)::INT AS start, length FROM pk WHERE sample_id % 103 <> 50),
+nx AS (SELECT *, lead(start) OVER (ORDER BY sample_id) AS nxt, lead(sample_id) OVER (ORDER BY sample_id) AS nid FROM d)
+SELECT sample_id, 'gap' AS problem, 'damaged' AS "table" FROM nx WHERE nxt <> start + length OR nid <> sample_id + 1
+UNION ALL SELECT sample_id, 'length', 'damaged' FROM d WHERE sample_id % 101 = 7 AND length <> 1
+UNION ALL SELECT NULL, unnest(['totals', 'manifest', 'index']), 'damaged'"""
 ORACLES["packed_manifest"] = f"{PACKED} SELECT 0 AS type, count(*) AS n_samples FROM pk"
 ORACLES["truncate"] = f"{PACKED} SELECT sample_id, {p.numbers('tokens[1:128]')} AS ids FROM pk"
 ORACLES["head20"] = f"""{PACKED}, t AS (SELECT sample_id, unnest(tokens) AS id, unnest(range(len(tokens))) AS i FROM pk WHERE sample_id < 20)

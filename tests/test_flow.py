@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,47 @@ def test_prepare_corpus(spark, tmp_path):
     assert table.count() > packed.read_packed(spark, str(tmp_path / "drop")).count()
 
 
+def test_numbering_in_parallel(spark):
+    """Repeated and sparse keys, a document of many segments, groups: as one pass in order would number them."""
+    rng = random.Random(2)
+    keys = [0, 0, 0, 5, -7, 2**40, 2**40 + 1, None] + [rng.randrange(10**6) for _ in range(300)] + [9] * 40
+    rows = [(k, f"g{i % 3}", [{"seg": j, "tokens": [i] * rng.randint(0, 5)} for j in range(2000 if i == 3 else rng.randint(0, 4))]) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, g string, drawn array<struct<seg:int,tokens:array<int>>>").repartition(5)
+    for by in ([], ["g"]):
+        got = packing.number_segments(df, by=by).collect()
+        assert len(got) == sum(len(r[2]) for r in rows)
+        for g in {r["g"] for r in got} if by else {None}:
+            own = sorted((r for r in got if g in (None, r["g"])), key=lambda r: r["sample_id"])
+            assert [r["sample_id"] for r in own] == list(range(len(own)))
+            at = 0
+            for r in own:
+                assert (r["start"], r["length"]) == (at, len(r["tokens"]))
+                at += r["length"]
+            order = [(-(2**63) if r["doc_id"] is None else r["doc_id"]) for r in own]
+            assert order == sorted(order)
+            for r, following in zip(own, own[1:]):
+                assert following["draw"] in (0, r["draw"] + 1)
+
+
+def test_access_by_id(spark, tmp_path):
+    path, n = str(tmp_path / "packed"), 5000
+    df = spark.range(n).select(
+        F.col("id").alias("sample_id"), (F.col("id") % 3).cast("int").alias("type"), (F.col("id") * 4).alias("start"), F.lit(4).alias("length"),
+        F.array(*[F.col("id").cast("int")] * 4).alias("tokens"),
+    ).repartition(7)
+    packed.write_packed(df, path)
+    files = packed.read_index(spark, path).count()
+    assert files > 4 and packed.check_index(spark, path).count() == 0 and packed.check_packed(spark, path).count() == 0
+    found = packed.samples_at(spark, path, [17, 4999, 17, n, -1], 2)
+    assert sorted((r["sample_id"], r["tokens"]) for r in found.collect()) == [(17, [17, 17]), (4999, [4999, 4999])]
+    assert len(found.inputFiles()) == 2  # no other file is read
+    assert packed.samples_at(spark, path, [n + 5]).count() == packed.samples_at(spark, path, []).count() == 0
+    packed.file_ranges(packed.read_packed(spark, path)).filter("lo > 0").write.parquet(f"{path}/part")
+    spark.read.parquet(f"{path}/part").withColumn("hi", F.col("hi") + 1).write.mode("overwrite").parquet(f"{path}/index")
+    assert {r["problem"] for r in packed.check_index(spark, path).collect()} == {"index", "manifest"}
+    assert {r["problem"] for r in packed.check_packed(spark, path).collect()} == {"index"}
+
+
 def test_extract_and_damage(spark, tmp_path):
     names = [f"model.layers.{i}.mlp.w" for i in range(3)] + ["model.norm"]
     blocks = [(t, [4, 4], b, [float((i * 7 + b * 3 + x * 5) % 11 - 5) for x in range(8)]) for i, t in enumerate(names) for b in range(2)]

@@ -1,9 +1,13 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ablatrix.functions import arrays as ar, naming, numeric
 from ablatrix.functions.hashing import order_hash
+from ablatrix.operators import corpus
 
 
 def _floats():
@@ -82,10 +86,10 @@ def test_greedy_packing_against_loop(spark):
             opened = True
         return [n for n in out + [total] if n]
 
-    df = spark.createDataFrame(list(enumerate(pieces)), "i int, p array<array<int>>").orderBy("i")
-    rows = df.select(
-        F.transform(ar.pack_greedy(F.col("p"), 8), F.size).alias("g"),
-        F.transform(ar.pack_or_drop(F.col("p"), 8), F.size).alias("d"),
+    df = spark.createDataFrame(list(enumerate(pieces)), "i int, ids array<array<int>>")
+    greedy = corpus.segments_of(df, 8, "greedy").select("i", F.transform("segments", F.size).alias("g"))
+    rows = df.join(greedy, "i").orderBy("i").select(
+        "g", F.transform(ar.pack_or_drop(F.col("ids"), 8), F.size).alias("d"),
     ).collect()
     for sizes, row in zip(lists, rows):
         want = loop(sizes, 8)
@@ -93,6 +97,27 @@ def test_greedy_packing_against_loop(spark):
         assert row["d"] == (want if len(want) == 1 else [])
 
 
+def test_long_sentences_are_cut():
+    sentences = pa.array([[[1] * 3], [[2] * 10, [3] * 2], [], [[], [4]]], pa.list_(pa.list_(pa.int32())))
+    assert ar.pack_greedy(sentences, 4).to_pylist() == [[[1] * 3], [[2] * 4, [2] * 4, [2, 2, 3, 3]], [], [[4]]]
+    assert ar.pack_greedy(sentences.slice(1, 2), 4).to_pylist() == [[[2] * 4, [2] * 4, [2, 2, 3, 3]], []]
+
+
+def test_packing_takes_time_by_length_only():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 40, 200_000)
+    begin = time.perf_counter()
+    ends = ar.greedy_ends(sizes, 512)
+    assert time.perf_counter() - begin < 1
+    lengths = np.diff([0, *ends])
+    assert lengths.max() <= 512 and lengths.sum() == sizes.sum() and (lengths[:-1] > 512 - 40).all()
+
+
+def test_prefix_sums(spark):
+    df = spark.createDataFrame([(0, [3, 1, 2]), (1, []), (2, [5])], "i int, n array<int>").coalesce(1)
+    assert [r["s"] for r in df.select("i", ar.prefix_sums("n").alias("s")).orderBy("i").collect()] == [[0, 3, 4], [], [0]]
+
+
 def test_dense_mask(spark):
     df = spark.createDataFrame([(0, [1, 3], 5), (1, [], 2), (2, None, 2), (3, [0, 1], 2)], "i int, h array<int>, n int")
     rows = df.orderBy("i").select(ar.dense_mask(F.col("h"), F.col("n")).alias("m")).collect()
