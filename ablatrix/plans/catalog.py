@@ -706,10 +706,25 @@ def _one_mask(spark, sf) -> DataFrame:
 
 @query
 def apply_mask(spark, sf):
-    damaged = damage.apply_mask(v.weights(spark, sf), _one_mask(spark, sf), v.VECTOR_LENGTH)
+    weights = v.weights(spark, sf)
+    damaged = damage.apply_mask(weights, _one_mask(spark, sf), v.VECTOR_LENGTH, weights.select("tensor", "shape").distinct())
     return _elements(damaged, ["tensor", "block"], "weight")
 
 
+@query
+def apply_mask_reshaped(spark, sf):
+    """Masks on parameters with three first rows fewer (layer 1) or more (layer 0) than they have."""
+    whole, rows = v.weights(spark, sf), F.col("shape")[0]
+    layer = F.coalesce(naming.layer_of(F.col("tensor")), F.lit(-1))
+    fewer = whole.filter((layer != 1) | (F.col("block") < F.greatest(rows - 3, F.lit(1))))
+    more = whole.filter((layer == 0) & (F.col("block") < 3)).withColumn("block", rows + F.col("block"))
+    changed = F.when(layer == 0, rows + 3).when(layer == 1, F.greatest(rows - 3, F.lit(1))).otherwise(rows)
+    weights = fewer.unionByName(more).withColumn("shape", F.array(changed, F.col("shape")[1]))
+    shapes = whole.select("tensor", "shape").distinct()
+    masks = damage.mask_containers(_one_mask(spark, sf), v.VECTOR_LENGTH)
+    return _elements(damage.apply_mask(weights, masks, v.VECTOR_LENGTH, shapes), ["tensor", "block"], "weight")
+
+
 @query
 def missing_masks(spark, sf):
     masks = region.masked_tensors(region.layout(v.tensor_blocks(spark, sf)))
@@ -748,7 +763,9 @@ def mask_shape_repair(spark, sf):
 @query
 def damage_variants(spark, sf):
     """Zeroed elements and remaining magnitude of every damaged variant, per block."""
-    damaged = damage.damage_variants(v.weights(spark, sf), _global(spark, sf), v.VECTOR_LENGTH)
+    weights = v.weights(spark, sf)
+    shapes = weights.select("tensor", "shape").distinct()
+    damaged = damage.damage_variants(weights, _global(spark, sf), v.VECTOR_LENGTH, shapes)
     left = F.aggregate(
         "weight", F.lit(0.0), lambda total, x: total + F.abs(x.cast("double"))
     )

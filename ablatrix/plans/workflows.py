@@ -55,7 +55,8 @@ def extract_and_damage(
     tensors.write_stats(stats, f"{target}/stats")
     tensors.write_selected(region.selected_indices(chosen, meta, ks, block_size), f"{target}/selected")
     tensors.write_preview(region.selected_preview(chosen, meta, ks), f"{target}/preview")
-    damage.damage_variants(weights, tensors.read_masks(spark, f"{target}/masks"), block_size).write.partitionBy(
+    shapes = region.masked_tensors(meta).join(meta.select("ckpt", "tensor", "shape"), ["ckpt", "tensor"]).select("tensor", "shape")
+    damage.damage_variants(weights, tensors.read_masks(spark, f"{target}/masks"), block_size, shapes if "shape" in weights.columns else None).write.partitionBy(
         "ckpt", "side", "k"
     ).parquet(f"{target}/damaged")
     return stats

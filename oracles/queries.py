@@ -445,6 +445,11 @@ ORACLES["mask_roundtrip"] = f"{FROM_VALUES}, {GLOBAL} SELECT 'checkpoint_full' A
 ONE = f"{FROM_VALUES}, {GLOBAL}, one AS (SELECT tensor, pos FROM pick WHERE k = 0.01024 AND side = 'top')"
 ORACLES["apply_mask"] = f"""{ONE} SELECT s.tensor, s.block, s.i::INT AS i, CASE WHEN one.pos IS NULL THEN val::DOUBLE ELSE 0.0 END AS val
 FROM src s LEFT JOIN one ON one.tensor = s.tensor AND one.pos = s.block * 64 + s.i"""
+ORACLES["apply_mask_reshaped"] = f"""{ONE}, ly AS (SELECT s.tensor, s.block, s.i, s.val, layer, numel // 64 AS n_rows FROM src s JOIN meta USING (tensor)),
+w AS (SELECT tensor, block, i, val FROM ly WHERE layer IS DISTINCT FROM 1 OR block < greatest(n_rows - 3, 1)
+ UNION ALL SELECT tensor, n_rows + block, i, val FROM ly WHERE layer = 0 AND block < 3)
+SELECT w.tensor, w.block, w.i::INT AS i, CASE WHEN one.pos IS NULL THEN val::DOUBLE ELSE 0.0 END AS val
+FROM w LEFT JOIN one ON one.tensor = w.tensor AND one.pos = w.block * 64 + w.i"""
 ORACLES["missing_masks"] = f"""{ONE} SELECT tensor, replace(tensor, '.', '_') AS name FROM meta WHERE layer IS NULL"""
 SHAPES = """sh AS (SELECT tensor, [numel // 64, 64] AS mask_shape, CASE layer WHEN 0 THEN [numel // 64 + 3, 64]
  WHEN 1 THEN [greatest(numel // 64 - 3, 1), 64] WHEN 2 THEN [numel] WHEN 3 THEN [numel // 64, 128]

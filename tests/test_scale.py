@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ablatrix.operators import damage, packing, ranks, region
+from ablatrix.operators import damage, masks, packing, ranks, region
 from ablatrix.operators.running import hash_levels, hashed_rank, id_levels, running_sums
 from ablatrix.operators.splitting import split_exact
 from ablatrix.session import settle
@@ -286,3 +286,47 @@ def test_integrity_sees_seams_between_blocks(spark):
     seam = df.withColumn("start", F.when(F.col("sample_id") >= n, F.col("start") + 1).otherwise(F.col("start")))
     assert [r["sample_id"] for r in packing.integrity_violations(seam).filter("problem = 'gap'").collect()] == [n - 1]
     assert packing.integrity_violations(df).filter("problem = 'gap'").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 65_536, 70_000])
+def test_mask_containers(size):
+    rng = np.random.default_rng(size)
+    kinds = set()
+    for share in (0, 0.001, 0.1, 0.4, 1):
+        places = np.flatnonzero(rng.random(size) < share)
+        kind, data = masks.encode(places)
+        assert (masks.decode(kind, data) == places).all()
+        kinds.add(kind.rstrip("24"))
+        assert len(data) <= size // 8 + 1
+    runs = np.concatenate([np.arange(0, size // 3), np.arange(size // 2, size)])
+    assert (masks.decode(*masks.encode(runs)) == runs).all()
+    assert size < 1000 or kinds == {"array", "bitmap", "run"}
+
+
+def _two_by_two(spark):
+    return spark.createDataFrame([("m.w", [2, 2], 0, [1.0, 2.0, 3.0, 4.0])], "tensor string, shape array<int>, block long, weight array<float>")
+
+
+@pytest.mark.parametrize("shape,want", [([2, 2], [0.0, 2.0, 0.0, 4.0]), ([1, 2], [0.0, 2.0, 0.0, 4.0]), ([5, 2], [0.0, 2.0, 0.0, 4.0]),
+                                        ([4], None), ([2, 3], None), ([1, 2, 2], None)])
+def test_shape_rules_when_masks_are_applied(spark, shape, want):
+    chosen = [("c", 0.1, side, "m.w", p) for side in ("top", "bottom") for p in (0, 2, 9)]
+    selection = spark.createDataFrame(chosen, "ckpt string, k double, side string, tensor string, pos long")
+    shapes = spark.createDataFrame([("m_w", shape)], "tensor string, shape array<int>")
+    one = damage.apply_mask(_two_by_two(spark), selection.filter("side = 'top'"), 4, shapes)
+    both = damage.damage_variants(_two_by_two(spark), damage.mask_containers(selection, 4), 4, shapes)
+    if want is None:
+        for df in (one, both):
+            with pytest.raises(Exception, match="mask of m.w does not match its parameter"):
+                df.select("tensor").collect()
+    else:
+        assert [r["weight"] for r in one.collect()] == [want]
+        assert [r["weight"] for r in both.collect()] == [want] * 2
+
+
+def test_unusable_masks_without_a_place(spark):
+    nothing = spark.createDataFrame([], "ckpt string, k double, side string, tensor string, pos long")
+    shapes = spark.createDataFrame([("m.w", [4])], "tensor string, shape array<int>")
+    assert damage.apply_mask(_two_by_two(spark), nothing, 4).first()["weight"] == [1.0, 2.0, 3.0, 4.0]
+    with pytest.raises(Exception, match="rank"):
+        damage.apply_mask(_two_by_two(spark), nothing, 4, shapes).collect()
