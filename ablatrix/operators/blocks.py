@@ -192,6 +192,25 @@ def picked(blocks: DataFrame, plan: dict[str, list[int | None]], groups: list[st
     return _run(blocks, _picks(plan, cells), fields)
 
 
+def added_blocks(n_keys: int) -> Callable:
+    """Adds a group's arrays in order; columns are the keys, the place in order, the sum and the number added."""
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        places, counts = table.column(n_keys).to_pylist(), table.column(n_keys + 2).to_pylist()
+        arrays = _lists(table.column(n_keys + 1).combine_chunks())
+        if len({len(a) for a in arrays}) > 1:
+            raise ValueError("gradient blocks of one place differ in size")
+        order = sorted(range(len(arrays)), key=lambda i: (places[i], arrays[i].tobytes()))
+        total = np.zeros(len(arrays[0]))
+        for i in order:
+            total = total + arrays[i]
+        head = [table.column(i).slice(0, 1) for i in range(n_keys)]
+        lists = pa.array([total], table.schema.field(n_keys + 1).type)
+        return pa.Table.from_arrays([*head, pa.array([key[-1].as_py()], pa.int64()), lists, pa.array([sum(counts)], pa.int64())], names=table.schema.names)
+
+    return add
+
+
 def product_kernel(rounded: bool, grad: str, weight: str, into: str) -> Callable:
     """Element-wise product of two array columns in float32, optionally rounded to bfloat16."""
 

@@ -442,6 +442,13 @@ def split_80_20(spark, sf):
     return splitting.ensure_splits(v.documents(spark, sf), "doc_id").select("doc_id", "split")
 
 
+@query
+def split_without_key(spark, sf):
+    """Conversation turns of few different contents, split by content alone: sizes are exact all the same."""
+    turns = v.table(spark, sf, "conversations").select("role", (F.length("text") % 5).alias("n"))
+    return splitting.split_exact(turns).groupBy("role", "n", "split").agg(F.count("*").alias("n_rows"))
+
+
 # --- batches -------------------------------------------------------------------------------
 
 

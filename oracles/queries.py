@@ -315,9 +315,14 @@ ORACLES["merge_by_type"] = merged("first_seen, ordinal, doc_id, seg", "kind,")
 ORACLES["merge_manifest"] = f"{BY_SOURCE} SELECT kind AS type, count(*) AS n_samples FROM sk GROUP BY 1"
 ORACLES["incremental_rows"] = "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 ORACLES["split_stable"] = f"""SELECT doc_id, CASE WHEN {p.order_hash(42, 'doc_id')} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split FROM documents"""
-ORACLES["split_80_20"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {p.order_hash(42, 'doc_id')} >> 28 DESC, doc_id)
+ORACLES["split_80_20"] = f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {p.order_hash(42, 'doc_id')} DESC)
  <= ceil(0.2 * (SELECT count(*) FROM documents)) THEN 'test' ELSE 'train' END AS split FROM documents"""
 
+_CONTENT = """'{' || concat_ws(',', '"role":"' || role || '"', '"n":' || n) || '}'"""
+ORACLES["split_without_key"] = f"""WITH t AS (SELECT role, length(text) % 5 AS n FROM conversations),
+r AS (SELECT role, n, row_number() OVER (ORDER BY {p.order_hash(42, _CONTENT)} DESC) <= ceil(0.2 * (SELECT count(*) FROM t)) AS test FROM t)
+SELECT role, n::INT AS n, CASE WHEN test THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows FROM r GROUP BY ALL"""
+
 # --- batches -------------------------------------------------------------------------------
 
 ORACLES["training_rows"] = f"{PACKED} SELECT sample_id, {p.numbers('tokens[1:1024]')} AS input_ids, {p.numbers('tokens[1:1024]')} AS labels FROM pk"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ablatrix.operators import damage, masks, packing, ranks, region
+from ablatrix.operators import attribution, damage, masks, packing, ranks, region
 from ablatrix.operators.running import hash_levels, hashed_rank, id_levels, running_sums
 from ablatrix.operators.splitting import split_exact
 from ablatrix.session import settle
@@ -330,3 +330,50 @@ def test_unusable_masks_without_a_place(spark):
     assert damage.apply_mask(_two_by_two(spark), nothing, 4).first()["weight"] == [1.0, 2.0, 3.0, 4.0]
     with pytest.raises(Exception, match="rank"):
         damage.apply_mask(_two_by_two(spark), nothing, 4, shapes).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_sums_have_the_same_bits(spark, parts):
+    rng = np.random.default_rng(8)
+    rows = [(t, b, int(k), (rng.standard_normal(50) * 10.0 ** rng.integers(-6, 6)).astype(np.float32).tolist())
+            for t in ("a", None) for b in range(3) for k in [*range(-5, 40), 300, 70_000] for _ in range(1 + (k == 7))]
+    df = spark.createDataFrame(rows, "tensor string, block long, batch long, grad array<float>").repartition(parts)
+
+    def tree(values):
+        values = {k: sorted(v, key=lambda x: x.tobytes()) for k, v in values.items()}
+        for _ in range(5):
+            up = defaultdict(list)
+            for k in sorted(values):
+                for x in values[k]:
+                    up[k >> 4].append(x)
+            values = {k: [sum(v, np.zeros(50))] for k, v in up.items()}
+        return values[0][0]
+
+    total, mean = (attribution.accumulate(df, how).collect() for how in ("sum", "mean"))
+    for got, n in ((total, 1), (mean, 48)):
+        assert len(got) == 6
+        for r in got:
+            own = defaultdict(list)
+            for t, b, k, g in rows:
+                if (t, b) == (r["tensor"], r["block"]):
+                    own[k + 5].append(np.array(g, np.float64))
+            assert np.array_equal(np.array(r["grad"], np.float32), (tree(own) / n).astype(np.float32))
+
+
+def test_blocks_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([("a", 0, 0, [1.0]), ("a", 0, 1, [1.0, 2.0])], "tensor string, block long, batch long, grad array<float>")
+    with pytest.raises(Exception, match="differ in size"):
+        attribution.accumulate(df).collect()
+    assert attribution.accumulate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["text", "negative", "repeated", "equal rows", "nulls"])
+def test_exact_splits_of_any_keys(spark, kind):
+    key = {"text": lambda i: f"k{i}", "negative": lambda i: str(-i), "repeated": lambda i: str(i % 3), "equal rows": lambda i: "x", "nulls": lambda i: None if i % 2 else str(i)}[kind]
+    rows = [(key(i), 0 if kind == "equal rows" else i) for i in range(501)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    for by in ("k", None):
+        got = [tuple(r) for r in split_exact(df.repartition(4), by).collect()]
+        assert sorted(map(repr, (r[:2] for r in got))) == sorted(map(repr, rows))
+        assert sum(r[2] == "test" for r in got) == 101
+        assert sorted(map(repr, got)) == sorted(map(repr, (tuple(r) for r in split_exact(df.repartition(1), by).collect())))
