@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as ar
 from ..functions.hashing import order_hash
+from ..functions.permutation import permuted_column
 from .running import hashed_rank
 
 # Fixed value: label positions with this id do not count.
@@ -31,11 +32,16 @@ def pad_rows(rows: DataFrame, length: int, pad: int) -> DataFrame:
 
 def assign_workers(samples: DataFrame, workers: int, seed: int = 0, key: str = "sample_id") -> DataFrame:
     """Shuffle samples and deal them to workers in turn; the first ones are dealt again so that
-    every worker gets equally many. Adds ``worker`` and ``turn`` (0-based place at the worker)."""
-    ranked = hashed_rank(
-        samples.withColumn("__h", order_hash(seed, F.col(key))), "__h", key, into="rank"
-    ).drop("__h")
-    total = samples.count()
+    every worker gets equally many. Adds ``worker`` and ``turn`` (0-based place at the worker).
+
+    ``key`` numbers the samples from 0 on, each once, as packed tables do: a sample's rank is then arithmetic,
+    and no row is moved. Other unique keys are ranked by a seeded hash.
+    """
+    total, first, last = samples.agg(F.count("*"), F.min(key), F.max(key)).first()
+    if total and (first, last) == (0, total - 1):
+        ranked = samples.withColumn("rank", permuted_column(F.col(key), total, seed))
+    else:
+        ranked = hashed_rank(samples.withColumn("__h", order_hash(seed, F.col(key))), "__h", key, into="rank").drop("__h")
     fill = -total % workers if total else 0
     # A tiny table may need its rows more than once to fill the last round.
     repeats = F.expr(f"sequence(rank, {total + fill - 1}L, {max(total, 1)}L)")

@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import permutation
+from ..functions.permutation import permuted
 from .ranks import DIGITS
 
 # Tasks get these functions by value, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(permutation)
 
 INFINITY_BITS = 0x7F800000
 MAX_OPEN_GROUPS = 64
@@ -192,6 +195,35 @@ def picked(blocks: DataFrame, plan: dict[str, list[int | None]], groups: list[st
     return _run(blocks, _picks(plan, cells), fields)
 
 
+def random_picks(placed: DataFrame, seed: int) -> DataFrame:
+    """Elements whose rank in the seeded permutation of 0 to ``mlp_total`` - 1 is below a k's budget."""
+    text, double = ("string", pa.string()), ("double", pa.float64())
+    fields = [
+        ("ckpt", *text), ("k", *double), ("side", *text), ("tensor", *text), ("pos", *_LONG), ("gpos", *_LONG),
+        ("val", "float", pa.float32()), ("chunk", *_LONG),
+    ]
+
+    def kernel(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in ("ckpt", "tensor", "pos", "gpos", "mlp_total", "wanted")]
+            for ckpt, tensor, pos, gpos, total, wanted, vals in zip(*rows, _lists(batch.column("vals"))):
+                ranks = permuted(np.arange(gpos, gpos + len(vals)), total, seed)
+                for w in wanted:
+                    hit = np.flatnonzero(ranks < w["budget"])
+                    n = len(hit)
+                    if n:
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([ckpt] * n, pa.string()), pa.array(np.full(n, w["k"])), pa.array(["random"] * n, pa.string()),
+                                pa.array([tensor] * n, pa.string()), pa.array(hit + pos), pa.array(hit + gpos),
+                                pa.array(vals[hit], pa.float32()), pa.array(np.zeros(n, np.int64)),
+                            ],
+                            schema=schema,
+                        )
+
+    return _run(placed, kernel, fields)
+
+
 def added_blocks(n_keys: int) -> Callable:
     """Adds a group's arrays in order; columns are the keys, the place in order, the sum and the number added."""
 

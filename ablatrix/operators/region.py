@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import naming, numeric
-from ..functions.hashing import HASH_BITS, order_hash
 from ..functions.numeric import format_k, magnitude_key
 from ..session import settle
 from . import blocks as bk
@@ -210,13 +209,13 @@ def select_chunked(
 def select_random(
     blocks: DataFrame, meta: DataFrame, ks: Sequence[float], seed: int = 0, block_size: int = BLOCK_SIZE
 ) -> DataFrame:
-    """As many elements as the budget, the first by seeded hash of their identity."""
-    cells = budgets(meta, ks).select("ckpt", "k", F.lit("random").alias("side"), F.col("budget").alias("take"))
-    key = F.shiftright(order_hash(seed, F.col("tensor"), F.col("pos")), HASH_BITS - 32)
-    elements = elements_of(positioned(blocks, meta, block_size)).withColumns(
-        {"key": key, "chunk": F.lit(0).cast("bigint")}
-    )
-    return _pick(elements, cells, ["ckpt"], None, elements)
+    """As many elements as the budget, whatever their values: the first in a seeded permutation of the positions.
+
+    An element's rank is arithmetic on its position, so one pass over the blocks picks for all k, and nothing
+    is counted, sorted or exploded.
+    """
+    plan = budgets(meta, ks).groupBy("ckpt", "mlp_total").agg(F.collect_list(F.struct("k", "budget")).alias("wanted"))
+    return bk.random_picks(positioned(blocks, meta, block_size).join(plan, "ckpt"), seed)
 
 
 def index_to_tensor(indices: DataFrame, meta: DataFrame, bucket_bits: int = 20) -> DataFrame:

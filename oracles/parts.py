@@ -7,6 +7,8 @@ text split there, and the pieces at even places are the matches.
 
 from __future__ import annotations
 
+import hashlib
+
 SPACES = (
     r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
@@ -127,3 +129,30 @@ def numbers(x: str) -> str:
 def order_hash(seed: int, *parts: str) -> str:
     text = "||':'||".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
     return f"('0x'||substr(md5({text}), 1, 15))::BIGINT"
+
+
+def permuted(source: str, x: str, n: str, seed: int, into: str, walks: int = 4) -> str:
+    """CTEs ``{into}``: ``source`` with ``rank``, the place of ``x`` in a seeded permutation of 0 to n - 1.
+
+    Two digits to bases near the root of n; each round shifts one by a keyed function of the other.
+    """
+    prime = 2**31 - 1
+    keys = [
+        [int.from_bytes(hashlib.sha256(f"{seed}:{i}".encode()).digest()[j:j + 8]) % prime for j in (0, 8, 16)] for i in range(6)
+    ]
+    steps = [
+        f"{into}_n AS (SELECT *, ({x})::BIGINT AS y, ({n})::BIGINT AS size FROM {source})",
+        f"{into}_b AS (SELECT *, greatest(1, floor(sqrt(greatest(0, size - 1)))::BIGINT + 1) AS ba FROM {into}_n)",
+        f"{into}_w0 AS (SELECT *, greatest(1, (size + ba - 1) // ba) AS bb FROM {into}_b)",
+    ]
+    for w in range(walks):
+        steps.append(f"{into}_s{w}_0 AS (SELECT *, y // bb AS u, y % bb AS v FROM {into}_w{w})")
+        for i, (m, c, d) in enumerate(keys):
+            t = f"((v * {m} + {c}) % {prime})"
+            steps.append(
+                f"{into}_s{w}_{i + 1} AS (SELECT * REPLACE (v AS u, (u + ({t} * {t} + {d}) % {prime}) % {('ba', 'bb')[i % 2]} AS v) FROM {into}_s{w}_{i})"
+            )
+        again = "TRUE" if w == 0 else "y >= size"
+        steps.append(f"{into}_w{w + 1} AS (SELECT * EXCLUDE (u, v) REPLACE (CASE WHEN {again} THEN u * bb + v ELSE y END AS y) FROM {into}_s{w}_6)")
+    steps.append(f"{into} AS (SELECT * EXCLUDE (y, size, ba, bb), y AS rank FROM {into}_w{walks})")
+    return ", ".join(steps)

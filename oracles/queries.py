@@ -333,7 +333,8 @@ fp AS (SELECT *, list_position(ids, 2) AS first_pad FROM pd)
 SELECT sample_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN x <> 2 OR i = first_pad THEN 1 ELSE 0 END), '') AS mask FROM fp"""
 ORACLES["cap_samples"] = f"{PACKED} SELECT count(*) AS n_samples, sum(length)::BIGINT AS n_tokens FROM pk WHERE sample_id < 100"
 DEALT = f"""{PACKED}, nn AS (SELECT count(*) AS n FROM pk),
-rk AS (SELECT sample_id, row_number() OVER (ORDER BY {p.order_hash(0, 'sample_id')}, sample_id) - 1 AS r FROM pk),
+pn AS (SELECT sample_id, n FROM pk, nn), {p.permuted('pn', 'sample_id', 'n', 0, 'rp')},
+rk AS (SELECT sample_id, rank AS r FROM rp),
 dl AS (SELECT sample_id, r FROM rk UNION ALL SELECT sample_id, r + n FROM rk, nn WHERE r < (3 - n % 3) % 3),
 wk AS (SELECT sample_id, (r % 3)::INT AS worker, r // 3 AS turn FROM dl)"""
 ORACLES["worker_assign"] = f"{DEALT} SELECT sample_id, worker, turn FROM wk"
@@ -412,8 +413,8 @@ ORACLES["topk_chunked"] = f"{FROM_VALUES}, {CHUNKED} {PICKED} WHERE side = 'top'
 ORACLES["bottomk_chunked"] = f"{FROM_VALUES}, {CHUNKED} {PICKED} WHERE side = 'bottom'"
 ORACLES["topk_k_sweep"] = f"{FROM_ROUNDED}, {GLOBAL} {PICKED}"
 ORACLES["topk_chunk_sweep"] = f"{FROM_ROUNDED}, {CHUNKED} {PICKED}"
-ORACLES["random_pick"] = f"""{FROM_VALUES}, rr AS (SELECT *, row_number() OVER (ORDER BY {p.order_hash(11, 'tensor', 'pos')} >> 28 DESC, gpos) AS t FROM e)
-SELECT 'checkpoint_full' AS ckpt, k, 'random' AS side, tensor, pos FROM rr, pl WHERE t <= budget"""
+ORACLES["random_pick"] = f"""{FROM_VALUES}, en AS (SELECT *, (SELECT max(mlp_total) FROM pl) AS mt FROM e), {p.permuted('en', 'gpos', 'mt', 11, 'rr')}
+SELECT 'checkpoint_full' AS ckpt, k, 'random' AS side, tensor, pos FROM rr, pl WHERE rank < budget"""
 ORACLES["nan_report"] = f"""WITH {TENSORS}, x AS (SELECT tensor, vec_id, unnest(range(64)) AS i FROM bl)
 SELECT 'checkpoint_full' AS ckpt, tensor, count(*) AS n_nan FROM x WHERE (vec_id + i) % 50 = 0 GROUP BY tensor"""
 ORACLES["index_to_tensor"] = f"""WITH {TENSORS}, {REGION}

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ablatrix.functions import arrays as ar, naming, numeric
+from ablatrix.functions import arrays as ar, naming, numeric, permutation
 from ablatrix.functions.hashing import order_hash
 from ablatrix.operators import corpus
 
@@ -138,3 +138,29 @@ def test_percentages_round_by_their_exact_value(spark):
     df = spark.createDataFrame(pairs, "n long, m long")
     for r in df.withColumn("p", numeric.two_decimals(F.col("n") / F.col("m") * 100)).collect():
         assert r["p"] == float(f"{r['n'] / r['m'] * 100:.2f}"), r
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 4096, 4097, 100_003])
+def test_permutation(n):
+    for seed in (0, 11):
+        ranks = permutation.permuted(np.arange(n), n, seed)
+        assert (np.sort(ranks) == np.arange(n)).all()
+    if n > 4000:
+        near = np.abs(np.diff(ranks))  # neighbours are thrown apart, and halves mixed
+        assert near.mean() > n / 5 and abs((ranks[: n // 2] < n // 2).mean() - 0.5) < 0.05
+        assert (ranks != permutation.permuted(np.arange(n), n, 0)).mean() > 0.99
+
+
+def test_permutation_of_large_ranges():
+    n = 10**13 + 37
+    x = np.unique(np.random.default_rng(1).integers(0, n, 50_000))
+    ranks = permutation.permuted(x, n, 5)
+    assert len(np.unique(ranks)) == len(x) and ranks.min() >= 0 and ranks.max() < n
+
+
+@pytest.mark.parametrize("n", [1, 5, 1000, 10**13 + 37])
+def test_permutation_as_an_expression(spark, n):
+    x = sorted({int(i) for i in np.random.default_rng(2).integers(0, n, 300)} | {0, n - 1})
+    df = spark.createDataFrame([(i,) for i in [*x, -1, n]], "x long")
+    got = {r["x"]: r["r"] for r in df.select("x", permutation.permuted_column(F.col("x"), n, 7).alias("r")).collect()}
+    assert got == dict(zip(x, permutation.permuted(np.array(x), n, 7).tolist())) | {-1: None, n: None}
