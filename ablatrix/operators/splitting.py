@@ -1,4 +1,4 @@
-"""Train/test splits and incremental runs."""
+"""Train/test splits."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import HASH_BITS, order_hash
-from ..session import null_safe_join, stage
+from ..session import stage
 
 
 def split_stable(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -68,8 +68,3 @@ def ensure_splits(df: DataFrame, key: str | None = None, test_share: float = 0.2
     if "split" in df.columns and df.select("split").distinct().limit(2).count() > 1:
         return df
     return split_exact(df, key, test_share, seed)
-
-
-def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys an earlier run has not processed; a null key is a key like any other."""
-    return null_safe_join(df, done.select(*keys).distinct(), keys, "left_anti")

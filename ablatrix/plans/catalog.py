@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as ar, chat, naming, numeric, text as tx
 from ..operators import (
-    attribution, batches, boundaries, corpus, corruption, damage, extraction, packing, region, results, splitting, tokens,
+    attribution, batches, boundaries, corpus, corruption, damage, done, extraction, packing, region, results, splitting, tokens,
 )
 from ..session import scratch_path
 from ..sources import jsonl, packed, tensors
@@ -429,7 +429,12 @@ def merge_manifest(spark, sf):
 
 @query
 def incremental_rows(spark, sf):
-    return splitting.not_done(v.documents(spark, sf), v.table(spark, sf, "labels"), ["doc_id"]).select("doc_id", "lang", "n_chars")
+    """Documents without a label, by a filter merged of two runs' filters and then exactly."""
+    docs, labels = v.documents(spark, sf).select("doc_id", "lang", "n_chars"), v.table(spark, sf, "labels")
+    runs = [done.build_filter(labels.filter(F.col("doc_id") % 2 == i), ["doc_id"]) for i in (0, 1)]
+    path = scratch_path(spark, "filter")
+    done.write_filter(done.merge_filters(*runs), path)
+    return done.not_done(docs, labels, ["doc_id"], done.read_filter(spark, path))
 
 
 @query

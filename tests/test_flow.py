@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ablatrix.functions import chat
 from ablatrix.operators import (
-    attribution, batches, corpus, corruption, extraction, packing, region, results, splitting, tokens,
+    attribution, batches, corpus, corruption, done, extraction, packing, region, results, splitting, tokens,
 )
 from ablatrix.plans import workflows
 from ablatrix.sources import jsonl, packed, tensors
@@ -256,7 +256,7 @@ def test_checkpoint_interval():
 
 def test_incremental_and_existing_splits(spark):
     df = spark.range(10)
-    assert splitting.not_done(df, df.filter("id < 7"), ["id"]).count() == 3
+    assert done.not_done(df, df.filter("id < 7"), ["id"]).count() == 3
     split = df.withColumn("split", F.when(F.col("id") < 3, "dev").otherwise("train"))
     assert splitting.ensure_splits(split, "id").filter("split = 'dev'").count() == 3
     assert splitting.ensure_splits(df, "id").filter("split = 'test'").count() == 2
@@ -381,7 +381,7 @@ def test_opening_goes_to_the_first_turn(spark):
 
 def test_null_keys_are_done_once(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "id long")
-    assert [r["id"] for r in splitting.not_done(df, df.filter("id is null or id = 1"), ["id"]).collect()] == [2]
+    assert [r["id"] for r in done.not_done(df, df.filter("id is null or id = 1"), ["id"]).collect()] == [2]
 
 
 def test_cap_is_stated(spark):

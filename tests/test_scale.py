@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ablatrix.operators import attribution, damage, masks, packing, ranks, region
+from ablatrix.operators import attribution, damage, done, masks, packing, ranks, region
 from ablatrix.operators.running import hash_levels, hashed_rank, id_levels, running_sums
 from ablatrix.operators.splitting import split_exact
 from ablatrix.session import settle
@@ -377,3 +377,28 @@ def test_exact_splits_of_any_keys(spark, kind):
         assert sorted(map(repr, (r[:2] for r in got))) == sorted(map(repr, rows))
         assert sum(r[2] == "test" for r in got) == 101
         assert sorted(map(repr, got)) == sorted(map(repr, (tuple(r) for r in split_exact(df.repartition(1), by).collect())))
+
+
+def test_done_filter(spark, tmp_path):
+    keys = [(f"k{i}", i % 5 if i % 7 else None) for i in range(4000)]
+    seen = keys[:3000] + keys[:50] + [(None, None), (None, 3)]
+    df = spark.createDataFrame(keys + [(None, None), (None, 4)] + keys[2990:3010], "a string, b int").repartition(3)
+    old = spark.createDataFrame(seen, "a string, b int").repartition(4)
+    first, second = old.filter("a < 'k2'"), old.filter("a >= 'k2' or a is null")
+    merged = done.merge_filters(done.build_filter(first, ["a", "b"], 100_000), done.build_filter(second, ["a", "b"]))
+    done.write_filter(merged, str(tmp_path / "filter"))
+    bloom = done.read_filter(spark, str(tmp_path / "filter"))
+    probed = done.with_probe(df, bloom, ["a", "b"]).collect()
+    assert len(probed) == df.count()
+    known = set(seen)
+    assert all(r["maybe_done"] for r in probed if (r["a"], r["b"]) in known)  # nothing done is taken for new
+    fresh = [r for r in probed if (r["a"], r["b"]) not in known]
+    assert sum(r["maybe_done"] for r in fresh) < 0.05 * len(fresh)
+    want = sorted(map(repr, (tuple(r) for r in df.collect() if tuple(r) not in known)))
+    for how in (bloom, None):
+        assert sorted(map(repr, map(tuple, done.not_done(df, old, ["a", "b"], how).collect()))) == want
+    assert done.not_done(df, old, ["a", "b"], done.build_filter(old.limit(0), ["a", "b"])).count() == df.count()
+    # Without a hit the done keys are not even read.
+    unread = spark.createDataFrame([("zz", 1)], "a string, b int")
+    plan = done.not_done(unread, old, ["a", "b"], bloom)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
