@@ -94,11 +94,15 @@ def budgets(meta: DataFrame, ks: Sequence[float], chunk_floor: int = CHUNK_FLOOR
 
 def positioned(blocks: DataFrame, meta: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Blocks of eligible tensors: ckpt, tensor, pos and gpos of the first element, vals."""
-    lookup = meta.filter("eligible").select("ckpt", "tensor", "offset")
+    lookup = meta.filter("eligible").select("ckpt", "tensor", "offset", "numel")
     first = F.col("block") * block_size
+    # A block of another size would put all elements behind it in wrong places.
+    due = F.greatest(F.lit(0), F.least(F.lit(block_size), F.col("numel") - first))
+    message = F.concat(F.lit("block "), F.col("block"), F.lit(" of "), F.col("tensor"), F.lit(" has "), F.size("vals"), F.lit(" values, not "), due)
     return (
         blocks.select("ckpt", "tensor", "block", "vals")
         .join(lookup, ["ckpt", "tensor"])
+        .withColumn("vals", F.when(F.size("vals") == due, F.col("vals")).otherwise(F.raise_error(message)))
         .select("ckpt", "tensor", first.alias("pos"), (F.col("offset") + first).alias("gpos"), "vals")
     )
 

@@ -101,6 +101,17 @@ def transform_counts(spark, sf):
     return corruption.rewrite_counts(v.qa_items(spark, sf), "question_type")
 
 
+@query
+def transform_counts_by_split(spark, sf):
+    """Lines that are rewritten, per ability and split."""
+    lines = _qa_lines(spark, sf).withColumnRenamed("answer", "ability").withColumn("split", _split())
+    return corruption.rewrite_counts(corruption.corrupt_corpus(jsonl.parse_qa_lines(lines)), "ability", "split")
+
+
+def _split() -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in jsonl.SPLITS]), (F.col("item_id") % len(jsonl.SPLITS)).cast("int") + 1)
+
+
 # --- sources, projections, filters ---------------------------------------------------------
 
 
@@ -170,6 +181,16 @@ def jsonl_roundtrip(spark, sf):
     )
 
 
+@query
+def abilities_roundtrip(spark, sf):
+    """Lines written to a folder per ability and split as the reader expects them, found again and read."""
+    lines = _qa_lines(spark, sf).filter("kind <> 'broken'").withColumnRenamed("answer", "ability").withColumn("split", _split())
+    root = scratch_path(spark, "datasets")
+    jsonl.write_abilities(jsonl.parse_qa_lines(lines), root)
+    back = jsonl.read_abilities(spark, root)
+    return back.select("ability", "split", jsonl.qa_line(back).alias("line"))
+
+
 @query
 def line_counts(spark, sf):
     """Documents written as text, one line per document line, and counted again."""
@@ -205,16 +226,13 @@ def drop_blank(spark, sf):
 
 @query
 def require_type(spark, sf):
-    kind = F.col("item_id") % 6
-    named = F.when(kind == 0, F.lit("")).when(kind == 1, F.lit(None)).otherwise(F.col("question_type"))
-    items = v.qa_items(spark, sf).withColumns(
-        {
-            "question_type": named,
-            "context": F.when(F.col("item_id") % 4 > 0, F.col("context")),
-            "options": F.when(F.col("item_id") % 9 > 0, F.col("options")),
-        }
-    )
-    return _qa_view(corruption.with_defaults(corruption.require_type(items)))
+    """All rows, and further ones without a type, context or options."""
+    items, i = v.qa_items(spark, sf), F.col("item_id")
+    kind = F.when(i % 6 == 0, F.lit("")).when(i % 6 == 1, F.lit(None)).otherwise(F.col("question_type"))
+    lacking = items.filter((i % 6 < 2) | (i % 4 == 0) | (i % 9 == 0)).withColumns({
+        "question_type": kind, "context": F.when(i % 4 > 0, F.col("context")), "options": F.when(i % 9 > 0, F.col("options")),
+    })
+    return _qa_view(corruption.with_defaults(corruption.require_type(items.unionByName(lacking))))
 
 
 # --- chat and corpus -----------------------------------------------------------------------
@@ -228,14 +246,22 @@ def chat_render(spark, sf):
 @query
 def chat_render_multiturn(spark, sf):
     turns = v.table(spark, sf, "conversations")
-    return corpus.chat_turns(turns, chat.TEMPLATES["im"]).select("conv_id", "turn", "content")
+    return corpus.chat_turns(turns, chat.TEMPLATES["header"]).select("conv_id", "turn", "content")
+
+
+@query
+def chat_render_lines(spark, sf):
+    """JSON lines rendered; what can't be read stays as it is, with the reason."""
+    rows = corpus.chat_rows(_qa_records(spark, sf), chat.TEMPLATES["header"])
+    return rows.select("item_id", "kind", "content", F.col("_error").alias("error"))
 
 
 @query
 def strip_system(spark, sf):
     rendered = corpus.chat_rows(v.qa_items(spark, sf), chat.TEMPLATES["header"])
-    some = F.when(F.col("item_id") % 3 == 0, F.col("question")).otherwise(F.col("content"))
-    return rendered.select("item_id", chat.strip_system(some).alias("text"))
+    plain = rendered.filter("item_id % 3 = 0").select("item_id", F.col("question").alias("content"))
+    every = rendered.select("item_id", "content").unionByName(plain)
+    return every.select("item_id", chat.strip_system(F.col("content")).alias("text"))
 
 
 def _reports(spark, sf) -> DataFrame:
@@ -567,6 +593,21 @@ def tensor_offsets(spark, sf):
     return meta.filter("eligible").select("ckpt", "tensor", "numel", "offset")
 
 
+@query
+def checkpoint_layout(spark, sf):
+    """Eligibility and offsets of several checkpoints: whole, of fewer layers, without MLP tensors, and a small one."""
+    meta = region.layout(v.checkpoint_blocks(spark, sf), front=1, back=1)
+    return meta.select("ckpt", "tensor", "numel", "n_layers", "eligible", "offset")
+
+
+@query
+def checkpoint_budget(spark, sf):
+    """Budgets of several checkpoints; those without eligible elements, or with too few, have none."""
+    return region.budgets(region.layout(v.checkpoint_blocks(spark, sf)), [0.01024, 0.3], CHUNK_FLOOR).select(
+        "ckpt", "total", "mlp_total", "k", "budget", "fraction"
+    )
+
+
 def _global(spark, sf, sides=region.SIDES) -> DataFrame:
     blocks = v.tensor_blocks(spark, sf)
     return region.select_global(blocks, region.layout(blocks), v.K_VALUES, v.VECTOR_LENGTH, sides)

@@ -7,10 +7,11 @@ them do not tokenise or lay out the same rows again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as tx
+from ..functions import naming, text as tx
 from ..functions.hashing import order_hash
 from ..operators import corpus, packing
 from ..operators.attribution import grad_times_weight
@@ -171,6 +172,18 @@ def tensor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(blocks, "blocks")
 
 
+def checkpoint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of four checkpoints: all tensors; five layers; no MLP tensor; one MLP tensor beside all the others."""
+    blocks, layer = tensor_blocks(spark, sf_dir), naming.layer_of(F.col("tensor"))
+    mlp = naming.is_mlp(F.col("tensor"))
+    parts = {
+        "checkpoint_full": F.lit(True), "checkpoint_low": F.coalesce(layer < 5, F.lit(True)), "checkpoint_attention": ~mlp,
+        "checkpoint_small": ~mlp | (F.col("tensor") == "model.layers.0.mlp.down_proj.weight"),
+    }
+    held = [blocks.filter(hit).withColumn("ckpt", F.lit(name)) for name, hit in parts.items()]
+    return reduce(DataFrame.unionByName, held)
+
+
 def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in gradients: each vector's gradient is the next vector."""
     vectors = table(spark, sf_dir, "embeddings")

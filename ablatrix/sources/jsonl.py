@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -169,14 +171,14 @@ def read_qa_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_abilities(spark: SparkSession, root: str) -> DataFrame:
-    """All ``<ability>/original/{train,dev,test}.jsonl`` under ``root``, with ``ability`` and ``split``."""
+    """All ``<ability>/original/{train,dev,test}.jsonl`` under ``root``, files or folders of files, with ``ability``
+    and ``split``."""
     names = "{" + ",".join(SPLITS) + "}.jsonl"
     lines = (
-        spark.read.option("pathGlobFilter", names)
-        .text(f"{root.rstrip('/')}/*/{SPLIT_FOLDER}")
+        spark.read.text(f"{root.rstrip('/')}/*/{SPLIT_FOLDER}/{names}")
         .withColumn("__path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     )
-    where = rf"([^/]+)/{SPLIT_FOLDER}/({'|'.join(SPLITS)})\.jsonl$"
+    where = rf"([^/]+)/{SPLIT_FOLDER}/({'|'.join(SPLITS)})\.jsonl(?:/[^/]+)?$"
     return parse_qa_lines(
         lines.withColumns(
             {"ability": F.regexp_extract("__path", where, 1), "split": F.regexp_extract("__path", where, 2)}
@@ -196,6 +198,36 @@ def write_qa(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     ).text(path)
 
 
+def write_abilities(df: DataFrame, root: str) -> None:
+    """QA rows as ``<ability>/original/<split>.jsonl`` under ``root``, the layout ``read_abilities`` reads.
+
+    Each ``.jsonl`` is a folder of files, written in one job under another name and moved folder by folder.
+    A split that is there already raises an error, before anything is moved.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    unescaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    staging = f"{root.rstrip('/')}/_writing-{uuid.uuid4().hex[:12]}"
+    write_qa(df, staging)
+    files = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moves = []
+    for ability in (s.getPath() for s in files.listStatus(path(staging)) if s.isDirectory()):
+        name = unescaped(ability.getName().split("=", 1)[1])
+        if "/" in name:
+            raise ValueError(f"an ability can't be named {name!r}")
+        for split in (s.getPath() for s in files.listStatus(ability)):
+            moves.append((split, path(f"{root.rstrip('/')}/{name}/{SPLIT_FOLDER}/{unescaped(split.getName().split('=', 1)[1])}.jsonl")))
+    for _, target in moves:
+        if files.exists(target):
+            raise FileExistsError(target.toString())
+    for source, target in moves:
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"{source.toString()} could not be moved to {target.toString()}")
+    files.delete(path(staging), True)
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """What ``write_qa`` or ``write_splits`` wrote."""
     return parse_qa_lines(spark.read.text(path))

@@ -133,9 +133,9 @@ SELECT item_id, context || ' ' || question || ' ' || array_to_string(options, '
 ORACLES["extract_text_list"] = f"WITH {QA} SELECT item_id, array_to_string(options, ' ') AS text FROM qa"
 ORACLES["drop_blank"] = f"""SELECT doc_id, text FROM documents
 WHERE {p.trim('text')} <> '' AND text <> '\\n'"""
-ORACLES["require_type"] = f"""WITH {QA}
-SELECT item_id, question_type, CASE WHEN item_id % 4 > 0 THEN context ELSE '' END AS context, question,
- CASE WHEN item_id % 9 > 0 THEN {p.words(O)} ELSE '' END AS options FROM qa WHERE item_id % 6 > 1"""
+ORACLES["require_type"] = f"""WITH {QA} SELECT item_id, question_type, context, question, {p.words(O)} AS options FROM qa
+UNION ALL SELECT item_id, question_type, CASE WHEN item_id % 4 > 0 THEN context ELSE '' END, question,
+ CASE WHEN item_id % 9 > 0 THEN {p.words(O)} ELSE '' END FROM qa WHERE item_id % 6 > 1 AND (item_id % 4 = 0 OR item_id % 9 = 0)"""
 
 RENDERED = """'<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10)
  || 'You are a helpful assistant.<|eot_id|>'"""
@@ -144,9 +144,21 @@ STRIPPED = """'<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10)
  || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || 'Answer: ' || answer || '.<|eot_id|>'"""
 ORACLES["chat_render"] = f"WITH {QA} SELECT item_id, {RENDERED} || {STRIPPED} AS content FROM qa"
 ORACLES["chat_render_multiturn"] = """SELECT conv_id, turn,
- '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS content FROM conversations"""
-ORACLES["strip_system"] = f"""WITH {QA}
-SELECT item_id, CASE WHEN item_id % 3 = 0 THEN question ELSE {STRIPPED} END AS text FROM qa"""
+ CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '<|begin_of_text|>' ELSE '' END
+ || '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>' AS content FROM conversations"""
+ORACLES["chat_render_lines"] = f"""WITH {LINES}, c AS (SELECT item_id, kind, {_line(options=KEPT_OPTIONS)} AS line, question,
+  CASE kind WHEN 'null_context' THEN 'None' WHEN 'no_context' THEN '' WHEN 'number_context' THEN item_id::VARCHAR ELSE context END AS context,
+  CASE kind WHEN 'number_answer' THEN item_id % 1000 || '.0' WHEN 'null_answer' THEN 'None' ELSE answer END AS answer FROM k)
+SELECT item_id, kind, CASE kind WHEN 'broken' THEN line || ' {{}}' ELSE {RENDERED} || {STRIPPED} END AS content,
+ CASE kind WHEN 'broken' THEN 'not a JSON object' END AS error FROM c"""
+ORACLES["strip_system"] = f"""WITH {QA} SELECT item_id, {STRIPPED} AS text FROM qa
+UNION ALL SELECT item_id, question FROM qa WHERE item_id % 3 = 0"""
+_SPLIT = "['train', 'dev', 'test'][item_id % 3 + 1]"
+ORACLES["transform_counts_by_split"] = f"""WITH {LINES} SELECT answer AS ability, {_SPLIT} AS split, count(*) AS n_rows FROM k
+ WHERE kind NOT IN ('broken', 'listed_type') AND (kind NOT IN ('null_context', 'number_context') OR question_type = 'analogy')
+  AND (kind <> 'number_options' OR NOT ({READS_OPTIONS})) GROUP BY ALL"""
+ORACLES["abilities_roundtrip"] = f"""WITH {LINES}
+SELECT answer AS ability, {_SPLIT} AS split, {_line(options=KEPT_OPTIONS)} AS line FROM k WHERE kind <> 'broken'"""
 
 # --- tokens and segments -------------------------------------------------------------------
 
@@ -406,6 +418,19 @@ PICKED = "SELECT 'checkpoint_full' AS ckpt, k, side, tensor, pos, val::DOUBLE AS
 
 ORACLES["budget"] = f"""WITH {TENSORS}, {REGION} SELECT 'checkpoint_full' AS ckpt, total, mlp_total, k, budget, fraction, chunk_size,
  regexp_replace(printf('%.10f', k), '\\.?0+$', '') AS k_label FROM pl"""
+CHECKPOINTS = f"""{TENSORS}, cm AS (SELECT ckpt, tensor, numel, layer FROM meta,
+ (SELECT unnest(['checkpoint_full', 'checkpoint_low', 'checkpoint_attention', 'checkpoint_small']) AS ckpt)
+ WHERE CASE ckpt WHEN 'checkpoint_low' THEN layer IS NULL OR layer < 5 WHEN 'checkpoint_attention' THEN NOT contains(tensor, 'mlp')
+  WHEN 'checkpoint_small' THEN NOT contains(tensor, 'mlp') OR tensor = 'model.layers.0.mlp.down_proj.weight' ELSE TRUE END),
+cl AS (SELECT *, max(layer) OVER (PARTITION BY ckpt) + 1 AS n_layers FROM cm)"""
+ORACLES["checkpoint_layout"] = f"""WITH {CHECKPOINTS},
+ce AS (SELECT *, coalesce(contains(tensor, 'mlp') AND layer >= 1 AND layer < n_layers - 1, false) AS eligible FROM cl)
+SELECT ckpt, tensor, numel, n_layers, eligible, CASE WHEN eligible THEN
+ coalesce(sum(numel) FILTER (eligible) OVER (PARTITION BY ckpt ORDER BY layer, tensor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT END AS "offset" FROM ce"""
+ORACLES["checkpoint_budget"] = f"""WITH {CHECKPOINTS},
+ct AS (SELECT ckpt, sum(numel)::BIGINT AS total, coalesce(sum(numel) FILTER (contains(tensor, 'mlp')), 0)::BIGINT AS mlp_total FROM cl GROUP BY 1),
+cb AS (SELECT *, floor(k * total)::BIGINT AS budget FROM ct, (SELECT unnest([0.01024, 0.3])::DOUBLE AS k))
+SELECT *, budget::DOUBLE / mlp_total AS fraction FROM cb WHERE mlp_total > 0 AND mlp_total >= budget"""
 ORACLES["tensor_offsets"] = f"""WITH {TENSORS}, {REGION} SELECT 'checkpoint_full' AS ckpt, tensor, numel, "offset" FROM off"""
 ORACLES["topk_global"] = f"{FROM_VALUES}, {GLOBAL} {PICKED} WHERE side = 'top'"
 ORACLES["bottomk_global"] = f"{FROM_VALUES}, {GLOBAL} {PICKED} WHERE side = 'bottom'"

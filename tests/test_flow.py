@@ -73,6 +73,17 @@ def test_corrupt_abilities(spark, abilities, tmp_path):
     assert {"question_type": "new", "context": "b a", "question": "d c", "options": ["fe"]} in lines
 
 
+def test_abilities_are_written_as_they_are_read(spark, abilities, tmp_path):
+    rows, root = jsonl.read_abilities(spark, abilities).filter("_corrupt is null"), str(tmp_path / "again")
+    jsonl.write_abilities(rows, root)
+    back = jsonl.read_abilities(spark, root)
+    both = [sorted((r["ability"], r["split"], r["line"]) for r in d.select("ability", "split", jsonl.qa_line(d).alias("line")).collect()) for d in (rows, back)]
+    assert both[0] == both[1] and len(both[0]) == 7
+    with pytest.raises(FileExistsError):
+        jsonl.write_abilities(rows, root)
+    assert back.count() == 7
+
+
 def _rewritten(spark, lines):
     done = corruption.corrupt_corpus(jsonl.parse_qa_lines(spark.createDataFrame([(x,) for x in lines], "value string")))
     return [r[0] for r in done.select(jsonl.qa_line(done)).collect()]

@@ -402,3 +402,13 @@ def test_done_filter(spark, tmp_path):
     unread = spark.createDataFrame([("zz", 1)], "a string, b int")
     plan = done.not_done(unread, old, ["a", "b"], bloom)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_blocks_of_a_wrong_size_are_refused(spark):
+    shape = [4, 4]
+    blocks = [("c", "model.layers.0.mlp.w", shape, b, [1.0] * n) for b, n in ((0, 8), (1, 7))]
+    df = spark.createDataFrame(blocks, "ckpt string, tensor string, shape array<int>, block long, vals array<float>")
+    with pytest.raises(Exception, match="block 1 of model.layers.0.mlp.w has 7 values, not 8"):
+        region.select_random(df, region.layout(df), [0.5], 0, 8).collect()
+    with pytest.raises(Exception, match="values, not"):
+        region.select_global(df, region.layout(df), [0.5], 16).collect()
