@@ -1,8 +1,9 @@
 """Texts to token ids and back.
 
 Ids come from a vocabulary table, or from a tokenizer a user plugs in. With a vocabulary of
-tokenizer size the lookup runs on Arrow batches in place (no shuffle, no per-row Python);
-a vocabulary over the limit is joined instead.
+tokenizer size the lookup runs on Arrow batches in place (no shuffle, no per-row Python). Of a
+vocabulary over the limit the tokens that are frequent in the texts are looked up in place, and
+only the distinct others of each row are joined, so that no token is a hot key.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # A vocabulary up to this many entries and bytes is shipped to the tasks.
 MAX_LOCAL_TOKENS = 400_000
 MAX_LOCAL_BYTES = 64 * 2**20
+# Of a larger one, so many frequent entries are, none longer than this.
+FREQUENT = 1 << 16
+MAX_FREQUENT_BYTES = 256
 
 TOKEN = rf"{tx.WORD}+|[^\p{{L}}\p{{N}}_{tx.SPACE_BODY}]"
 
@@ -60,7 +64,7 @@ def encode_tokens(
         local = fits_locally(vocab)
     if local:
         return _encode_in_place(df, vocab, unknown, column, into)
-    return _encode_by_join(df, vocab, unknown, column, into, key)
+    return _encode_by_join(df, vocab, unknown, column, into)
 
 
 def _encode_in_place(df, vocab, unknown, column, into):
@@ -89,34 +93,115 @@ def _offsets(lists: pa.Array) -> pa.Array:
     return pa.array([0, *sizes.cumsum().tolist()], pa.int32())
 
 
-def _own_rows(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """Rows with a number of their own, written once: keys may repeat or be null."""
-    row = f"__row_{key}"
-    return stage(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-
-
-def _encode_by_join(df, vocab, unknown, column, into, key):
-    """Join every token to the vocabulary, then gather ids per row."""
-    df, key = _own_rows(df, key)
-    flat = df.select(
-        key, F.posexplode(column).alias("s", "sentence")
-    ).select(key, "s", F.posexplode_outer("sentence").alias("p", "token"))
-    ids = flat.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
-    per_sentence = ids.groupBy(key, "s").agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(
-                    F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("id", F.lit(unknown)).alias("id")))
-                )
-            ),
-            lambda x: x["id"],
-        ).alias("ids")
-    )
-    per_key = per_sentence.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("s", "ids"))), lambda x: x["ids"]).alias(into)
-    )
-    empty = F.array().cast("array<array<int>>")
-    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, empty)).drop(key)
+def _leaves(column: pa.Array) -> tuple[list[pa.Array], pa.Array]:
+    """The offsets of each level of lists, and the values below."""
+    levels = []
+    while pa.types.is_list(column.type):
+        levels.append(_offsets(column))
+        column = column.flatten()
+    return levels, column
+
+
+def _nested(levels: list[pa.Array], values: pa.Array) -> pa.Array:
+    for offsets in reversed(levels):
+        values = pa.ListArray.from_arrays(offsets, values)
+    return values
+
+
+def frequent_values(df: DataFrame, column: str, most: int = FREQUENT) -> DataFrame:
+    """The values that occur most inside the arrays of a column, as ``v`` and at least so often as ``n`` says.
+
+    Each task keeps a summary of ``most`` counters (Misra-Gries): a new value beyond them takes the least count
+    off all. Summaries add up, and what a task saw more often than in one of ``most`` parts of its values is in.
+    """
+    leaf = df.schema[column].dataType
+    while leaf.typeName() == "array":
+        leaf = leaf.elementType
+
+    def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict = {}
+        for batch in batches:
+            kind, values = batch.column(0).type, _leaves(batch.column(0))[1]
+            if pa.types.is_string(values.type):
+                values = values.filter(pc.less_equal(pc.binary_length(values), MAX_FREQUENT_BYTES))
+            found = pc.value_counts(values)
+            for v, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                counters[v] = counters.get(v, 0) + n
+            if len(counters) > 2 * most:
+                least = sorted(counters.values(), reverse=True)[most]
+                counters = {v: n - least for v, n in counters.items() if n > least}
+        if counters:
+            while pa.types.is_list(kind):
+                kind = kind.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(counters, kind), pa.array(counters.values(), pa.int64())], names=["v", "n"])
+
+    counts = df.select(column).mapInArrow(summarise, f"v {leaf.simpleString()}, n bigint").filter("v is not null")
+    return counts.groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").limit(most)
+
+
+def _look_up(df: DataFrame, known: DataFrame, column: str, into: str, default, most: int = FREQUENT) -> DataFrame:
+    """Replace the values in the arrays of a column by what ``known`` (v, found) has for them, else by ``default``.
+
+    Frequent values are looked up in place, in a table of bounded size. Of the others each row asks once for
+    each distinct one by a join, in which no value is hot any more.
+    """
+    number = f"__row_{column}"
+    rows = stage(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    often = frequent_values(rows, column, most).select("v").join(known, "v", "left").toArrow()
+    shipped = df.sparkSession.sparkContext.broadcast((often["v"].combine_chunks(), pc.fill_null(often["found"], default).combine_chunks()))
+    at = rows.columns.index(column)
+    kept = [c for c in rows.columns if c != column]
+    answer = known.schema["found"].dataType.simpleString()
+    asked_kind = rows.schema[column].dataType.simpleString()
+    leaf = asked_kind.replace("array<", "").rstrip(">")
+    shape = rows.select(*kept).withColumns({
+        "__found": F.lit(None).cast(asked_kind.replace(leaf, answer)), "__rare": F.lit(None).cast(f"array<{leaf}>"),
+        "__at": F.lit(None).cast(asked_kind.replace(leaf, "int")),
+    }).schema
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, answers = shipped.value
+        for batch in batches:
+            levels, flat = _leaves(batch.column(at))
+            place = pc.index_in(flat, value_set=values.cast(flat.type))
+            # Rare values are numbered from 1 within their row, each distinct one once.
+            ends = levels[0].to_numpy()
+            for offsets in levels[1:]:
+                ends = offsets.to_numpy()[ends]
+            missing = pc.is_null(place).to_numpy(zero_copy_only=False).nonzero()[0]
+            names, numbers, wanted = flat.take(pa.array(missing)).to_pylist(), [None] * len(flat), [[] for _ in range(batch.num_rows)]
+            row, seen = -1, {}
+            for i, name in zip(missing.tolist(), names):
+                if row < 0 or i >= ends[row + 1]:
+                    row, seen = int(ends.searchsorted(i, side="right")) - 1, {}
+                if name not in seen:
+                    seen[name] = len(seen) + 1
+                    wanted[row].append(name)
+                numbers[i] = seen[name]
+            new = [
+                _nested(levels, answers.take(place)), pa.array(wanted, pa.list_(flat.type)), _nested(levels, pa.array(numbers, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "__found", "__rare", "__at"])
+
+    looked = stage(rows.mapInArrow(look, shape), "looked")
+    asked = looked.select(number, F.posexplode("__rare").alias("j", "v")).join(known, "v", "left")
+    answers = asked.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("j", "found"))).alias("__answers"))
+    fallback = F.lit(default).cast(answer)
+
+    def fill(found: Column, place: Column, depth: int) -> Column:
+        if depth:
+            return F.zip_with(found, place, lambda f, p: fill(f, p, depth - 1))
+        return F.when(place.isNull(), found).otherwise(F.coalesce(F.get("__answers", place - 1)["found"], fallback))
+
+    depth = asked_kind.count("array<")
+    filled = looked.join(answers, number, "left").withColumn(into, fill(F.col("__found"), F.col("__at"), depth))
+    return filled.select(*[c for c in kept if c != number], into)
+
+
+def _encode_by_join(df, vocab, unknown, column, into):
+    known = vocab.select(F.col("token").alias("v"), F.col("id").cast("int").alias("found"))
+    empty = F.array().cast("array<array<string>>")
+    return _look_up(df.withColumn(column, F.coalesce(column, empty)), known, column, into, unknown)
 
 
 def decode_ids(
@@ -129,7 +214,7 @@ def decode_ids(
         local = fits_locally(vocab)
     if local:
         return _decode_in_place(plain, vocab, column, into)
-    return _decode_by_join(plain, vocab, column, into, key)
+    return _decode_by_join(plain, vocab, column, into)
 
 
 def _decode_in_place(df, vocab, column, into):
@@ -152,20 +237,11 @@ def _decode_in_place(df, vocab, column, into):
     return df.mapInArrow(lookup, schema)
 
 
-def _decode_by_join(df, vocab, column, into, key):
-    df, key = _own_rows(df, key)
-    flat = df.select(key, F.posexplode(column).alias("p", "id"))
-    words = flat.join(vocab.select("id", "token"), "id", "left")
-    per_key = words.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("p", F.coalesce("token", F.lit("")).alias("token")))),
-                lambda x: x["token"],
-            ),
-            " ",
-        ).alias(into)
-    )
-    return df.drop(column).join(per_key, key, "left").withColumn(into, F.coalesce(into, F.lit(""))).drop(key)
+def _decode_by_join(df, vocab, column, into):
+    known = vocab.select(F.col("id").cast("int").alias("v"), F.col("token").alias("found"))
+    ids = df.withColumn(column, F.coalesce(F.col(column).cast("array<int>"), F.array().cast("array<int>")))
+    words = _look_up(ids, known, column, "__words", "")
+    return words.withColumn(into, F.array_join("__words", " ")).drop("__words")
 
 
 # Tokenizers and sentence splitters a user adds: name -> function that builds one per worker.

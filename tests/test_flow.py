@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -406,3 +407,25 @@ def test_extraction_keeps_checkpoints_of_any_name(spark):
         "ckpt string, tensor string, shape array<int>, block long, vals array<float>",
     )
     assert region.tensor_meta(blocks).count() == 1
+
+
+def test_lookup_split_by_frequency(spark, monkeypatch):
+    """Few counters and many values: frequent, rare, unknown and empty ones, each found once per row."""
+    rng = random.Random(3)
+    words = ["the"] * 400 + [f"w{i}" for i in range(900)]
+    docs = [(i % 40 or None, [rng.choices(words, k=rng.randint(0, 12)) for _ in range(rng.randint(0, 4))]) for i in range(300)] + [(1, None), (2, [[]])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<array<string>>").repartition(4)
+    vocab = {w: i + 1 for i, w in enumerate(sorted(set(words))) if i % 9}
+    table = spark.createDataFrame(list(vocab.items()), "token string, id int")
+    monkeypatch.setattr(tokens._look_up, "__defaults__", (20,))
+    often = {r["v"]: r["n"] for r in tokens.frequent_values(df, "tokens", 20).collect()}
+    true = Counter(w for _, d in docs for s in d or [] for w in s)
+    assert "the" in often and len(often) <= 20 and all(n <= true[w] for w, n in often.items())
+    got = tokens.encode_tokens(df, table, 0, local=False).collect()
+    want = [(k, [[vocab.get(w, 0) for w in s] for s in d or []]) for k, d in docs]
+    assert sorted(map(repr, ((r["doc_id"], r["ids"]) for r in got))) == sorted(map(repr, want))
+    flat = spark.createDataFrame([(k, [x for s in d for x in s]) for k, d in want], "doc_id long, ids array<int>").repartition(3)
+    back, spelled = tokens.decode_ids(flat, table, special=[0], local=False).collect(), {i: w for w, i in vocab.items()}
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in back))) == sorted(
+        map(repr, ((k, " ".join(spelled[x] for s in d for x in s if x)) for k, d in want))
+    )
