@@ -13,7 +13,7 @@ from ..functions import arrays as ar, chat, naming, numeric, text as tx
 from ..operators import (
     attribution, batches, boundaries, corpus, corruption, damage, done, extraction, packing, region, results, splitting, tokens,
 )
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import jsonl, packed, tensors
 from . import views as v
 
@@ -688,7 +688,7 @@ def index_to_tensor(spark, sf):
 @query
 def dense_mask(spark, sf):
     blocks = v.attribution_blocks(spark, sf).filter(naming.layer_of(F.col("tensor")).isNotNull())
-    chosen = _global(spark, sf)
+    chosen = stage(_global(spark, sf), "chosen")  # it is read twice
     variants = chosen.select("ckpt", "k", "side").distinct()
     masks = damage.dense_masks(blocks, chosen, variants, v.VECTOR_LENGTH)
     return masks.select("ckpt", "k", "side", "tensor", "block", flags("mask").alias("mask"))

@@ -94,7 +94,8 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .withColumn("h", order_hash(VOCAB_SEED, F.col("token")))
     )
-    ranked = running_sums(words, ["h", "token"], hash_levels("h"), {"rank": F.lit(1)})
+    # The running sums read the words twice; texts are cut into them once.
+    ranked = running_sums(stage(words, "words"), ["h", "token"], hash_levels("h"), {"rank": F.lit(1)})
     ids = ranked.select("token", (F.col("rank") + FIRST_WORD_ID).cast("int").alias("id"))
     return stage(ids, "vocab")
 
