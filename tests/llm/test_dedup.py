@@ -1,7 +1,11 @@
 """Near-duplicates against all pairs."""
 
+import re
+import string
+
 import numpy as np
 import pytest
+import xxhash
 
 from ablatrix.llm import near_dedup as nd
 
@@ -71,3 +75,29 @@ def test_long_chain(spark):
         chain.append(chain[-1] ^ (1 << i))
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(chain)], "first long, fp long")
     assert {r["component"] for r in nd.components(rows, radius=1, shard_members=8).collect()} == {0}
+
+
+def test_fingerprints_and_components_from_scratch(spark, docs):
+    """The query's rows against words, hashes and distances in plain Python."""
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+    def fingerprint(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+        grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rows = [(r["doc_id"], fingerprint(r["text"])) for r in docs.filter("doc_id is not null").collect()]
+    group = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, (_, a) in enumerate(rows):
+            for j, (_, b) in enumerate(rows):
+                if (a ^ b).bit_count() <= 3 and group[i] != group[j]:
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    smallest = {g: min(k for (k, _), h in zip(rows, group) if h == g) for g in group}
+    want = sorted((k, f"{f:016x}", smallest[g]) for (k, f), g in zip(rows, group))
+    got = nd.near_duplicates(docs.filter("doc_id is not null")).select("doc_id", "fingerprint", "component_id")
+    assert sorted(map(tuple, got.collect())) == want

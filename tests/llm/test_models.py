@@ -1,6 +1,7 @@
 """Scores: brute force where there is one, held-out accuracy otherwise."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -155,3 +156,31 @@ def test_context_weighting(docs, empty):
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 10.5, 1e6, 1e12])
     assert cw._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-8, rel=1e-12)
+
+
+def test_toxicity_of_altered_insults(spark):
+    """Words seen in labelled texts are found plain, dotted and with a letter put in; clean texts are left alone."""
+    rng = random.Random(7)
+    syllables = ["an", "er", "tion", "the", "ou", "ha", "ly", "re", "in", "st", "ble", "and"]
+    insults = ["grobnik", "fuzzlewit", "snarvol", "plodkamp", "krumbub", "dwelzor"]
+
+    def text(*said):
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(60)]
+        for w in said:
+            words.insert(rng.randrange(10, 50), w)
+        return " ".join(words[:30]) + ". " + " ".join(words[30:]) + "."
+
+    docs = [(i, text(*rng.sample(insults, 2)) if i % 4 == 0 else text(), int(i % 4 == 0) if i % 50 else 1) for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    machine = tox.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+    def altered(w, how):
+        at = rng.randrange(2, len(w) - 1)
+        return {"plain": w, "dotted": ".".join(w), "put in": w[:at] + rng.choice("qxzhvj") + w[at:]}[how]
+
+    def rate(texts):
+        return (machine.probabilities(tox.values_of(texts, machine.weights)) >= 0.3).mean()
+
+    found = {how: rate([text(altered(w, how)) for w in insults for _ in range(20)]) for how in ("plain", "dotted", "put in")}
+    assert rate([text() for _ in range(200)]) <= 0.05
+    assert found["plain"] >= 0.9 and found["dotted"] >= 0.9 and found["put in"] >= 0.6, found
