@@ -15,6 +15,7 @@ column are replaced.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from math import ceil
 
@@ -124,15 +125,21 @@ def splitters(keys: DataFrame, targets: list[int], slack: float) -> list[tuple[t
         # Each drawn key, and the beginning of its group of equal texts.
         probes = sorted({p for d in drawn for p in (d, d[:3] + LOWEST[3:])})
         counted = [(p, *c) for p, c in zip(probes, count_below(keys, probes))] if probes else []
-        for t in left:
+        drawn.sort()
+        # Bytes grow along the probes: what lies about a target is found by search.
+        sizes = np.array([p[1] for p in counted], np.int64)
+        at = np.array(left, np.int64)
+        lows, highs = np.searchsorted(sizes, at, side="right") - 1, np.searchsorted(sizes, at, side="left")
+        nears = np.searchsorted(sizes, at - slack, side="left"), np.searchsorted(sizes, at + slack, side="right")
+        for t, i, j, begin, end in zip(left, lows.tolist(), highs.tolist(), *[x.tolist() for x in nears]):
             bottom, top = low[t][0], high[t][0]
-            settled = not any(bottom < d and (top is None or d < top) for d in drawn)
-            for p in counted:
-                if p[1] <= t and p[0] > low[t][0]:
-                    low[t] = p
-                if p[1] >= t and (high[t][0] is None or p[0] < high[t][0]):
-                    high[t] = p
-            near = [p for p in counted if abs(p[1] - t) <= slack]
+            inside = bisect.bisect_right(drawn, bottom)
+            settled = inside == len(drawn) or (top is not None and drawn[inside] >= top)
+            if i >= 0 and counted[i][0] > bottom:
+                low[t] = counted[i]
+            if j < len(counted) and (top is None or counted[j][0] < top):
+                high[t] = counted[j]
+            near = counted[begin:end]
             if near:
                 done[t] = min([p for p in near if p[0][3:] == LOWEST[3:]] or near, key=lambda p: abs(p[1] - t))
             elif settled:  # no key lies between: one row is larger than the tolerance
@@ -181,7 +188,7 @@ def shard(
                 [*batch.columns, pa.array(where), pa.array(first)], names=[*batch.schema.names, at, base]
             )
 
-    placed = keyed.mapInArrow(place, schema).repartition(ranges, at)
+    placed = keyed.mapInArrow(place, schema).repartitionById(ranges, at)
     order = Window.partitionBy(at).orderBy(*narrow)
     return placed.withColumns({
         "size": size_of(text),

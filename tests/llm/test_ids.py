@@ -1,5 +1,6 @@
 """Tokenising, wavelet matrices, packing and sharding: exact round trips."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -125,3 +126,25 @@ def test_shard_sizes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     sizes = check_shards(sharding.shard(docs, range_bytes=4096), docs, 8)
     assert max(sizes.values()) - min(sizes.values()) <= 100
+
+
+def test_many_splitters_on_the_driver(monkeypatch):
+    """20,000 targets: a round's work on the driver is searches, not targets times probes."""
+    n, rng, clock = 10**9, np.random.default_rng(3), []
+    spread = n // 2**20
+
+    def candidates(_, intervals, number, seed):
+        clock.append(time.perf_counter())
+        out = []
+        for low, high in intervals:
+            first, last = max(0, low[0]), n if high is None else high[0]
+            out += [(int(x), *[int(x) % 7] * 4) for x in rng.integers(first, max(first + 1, last), number)]
+        return out
+
+    monkeypatch.setattr(sharding, "candidates", candidates)
+    monkeypatch.setattr(sharding, "count_below", lambda _, probes: [(max(0, p[0]), max(0, p[0]) // spread) for p in probes])
+    targets = [n * i // 20_001 for i in range(1, 20_001)]
+    found = sharding.splitters(None, targets, 0.002 * n / 20_001)
+    clock.append(time.perf_counter())
+    assert all(abs(f[1] - t) <= 0.002 * n / 20_001 for f, t in zip(found, targets))
+    assert max(np.diff(clock)) < 5
