@@ -45,8 +45,20 @@ MIN_SHARDS = 24
 HALF = float(np.log(0.5))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def normalised(text: str | None) -> bytes:
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + END
+    return b" ".join(words_of(text)) + END
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs; sorts in place."""
+    values.sort()
+    begins = np.flatnonzero(values[1:] != values[:-1]) + 1
+    begins = np.concatenate([np.zeros(min(1, len(values)), np.int64), begins])
+    return values[begins], np.diff(begins, append=len(values))
 
 
 def grams(texts: list[bytes], depth: int) -> np.ndarray:
@@ -194,25 +206,28 @@ REQUEST = "kind string, block int, shard int, items binary, counts binary"
 def requests(rows: DataFrame, depth: int, shards: int) -> DataFrame:
     """Per block and shard the distinct grams and words, and how often training texts have them."""
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, texts, size = None, [], [], 0
+        block, used, other, size = None, [], [], 0
+        words: Counter = Counter()
+        unseen: set[bytes] = set()
         for batch in slices(batches):
             for b, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if texts and (b != block or size > BLOCK_BYTES):
-                    yield from answer(block, held, texts)
-                    held, texts, size = [], [], 0
-                block = b
-                held.append(h)
-                texts.append(normalised(t))
-                size += len(texts[-1])
-        if texts:
-            yield from answer(block, held, texts)
-
-    def answer(block, held, texts) -> Iterator[pa.RecordBatch]:
-        used = [t for t, h in zip(texts, held) if not h]
-        other = [t for t, h in zip(texts, held) if h]
-        codes, counts = np.unique(all_grams(used, depth), return_counts=True) if used else (np.zeros(0, np.uint64), np.zeros(0, int))
+                if size and (b != block or size > BLOCK_BYTES):
+                    yield from answer(block, used, other, words, unseen)
+                    used, other, size, words, unseen = [], [], 0, Counter(), set()
+                block, own = b, words_of(t)  # a text is split once, for its words and for its grams
+                if h:
+                    unseen.update(own)
+                else:
+                    words.update(own)
+                (other if h else used).append(b" ".join(own) + END)
+                size += len((other if h else used)[-1])
+        if size:
+            yield from answer(block, used, other, words, unseen)
+
+    def answer(block, used, other, words, unseen) -> Iterator[pa.RecordBatch]:
+        codes, counts = counted(all_grams(used, depth)) if used else (np.zeros(0, np.uint64), np.zeros(0, int))
         if other:
-            more = np.unique(all_grams(other, depth))
+            more, _ = counted(all_grams(other, depth))
             if len(codes):
                 more = more[codes[np.minimum(np.searchsorted(codes, more), len(codes) - 1)] != more]
             codes, counts = np.concatenate([codes, more]), np.concatenate([counts, np.zeros(len(more), int)])
@@ -224,11 +239,7 @@ def requests(rows: DataFrame, depth: int, shards: int) -> DataFrame:
             at = order[bounds[s]:bounds[s + 1]]
             if len(at):
                 rows.append(("gram", block, s, _pack(codes[at]), _pack(counts[at].astype("<i8"))))
-        words: Counter = Counter()
-        for t in used:
-            words.update(t.split())
-        for t in other:
-            words.update(dict.fromkeys(set(t.split()) - words.keys(), 0))
+        words.update(dict.fromkeys(unseen - words.keys(), 0))
         parts: dict[int, list[bytes]] = {}
         for w in words:
             parts.setdefault(zlib.crc32(w) % shards, []).append(w)
@@ -249,7 +260,7 @@ def requests(rows: DataFrame, depth: int, shards: int) -> DataFrame:
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a shard and their counts over all blocks, block by block."""
     codes = [_unpack(x.as_py(), "<u8") for x in group["items"]]
-    distinct = np.unique(np.concatenate(codes))
+    distinct, _ = counted(np.concatenate(codes))
     counts = np.zeros(len(distinct), np.int64)
     for c, raw in zip(codes, group["counts"]):
         counts[np.searchsorted(distinct, c)] += _unpack(raw.as_py(), "<i8")
