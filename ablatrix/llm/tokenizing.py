@@ -18,7 +18,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Where the tokenizer's own pattern is sure to cut: one blank goes to the stretch after it.
 STRETCH = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Stretches a task remembers in each of two generations, and the longest one it keeps.
-TABLE_SIZE, TABLE_LENGTH = 150_000, 48
+TABLE_SIZE, TABLE_LENGTH = 200_000, 48
 STOPS = frozenset(".,;:!?")
 
 
@@ -40,7 +40,7 @@ class Table(dict):
             if core.isalpha():
                 found = self.encode(stretch)
             elif core[:-1].isalpha() and core[-1] in STOPS:
-                found = self[stretch[:-1]] + self[stretch[-1]]
+                return self[stretch[:-1]] + self[stretch[-1]]  # its parts are kept, which leaves room for other words
             else:
                 found = b"".join(map(self.encode, self.pieces(stretch)))
         if len(stretch) <= TABLE_LENGTH:
