@@ -58,10 +58,11 @@ def type_of(token: Column) -> Column:
 
 def type_counts(df: DataFrame, column: str = "text") -> DataFrame:
     """``type``, ``with_period``, ``without``: how often each type stands with and without a period after it."""
-    tokens = df.select(F.explode(tx.tokens_by_space(F.coalesce(column, F.lit("")))).alias("token"))
-    typed = tokens.select(type_of(F.col("token")).alias("type"), dotted(F.col("token")).cast("bigint").alias("period"))
+    # Distinct tokens are counted first: each is looked at once, however often it occurs.
+    tokens = df.select(F.explode(tx.tokens_by_space(F.coalesce(column, F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    typed = tokens.select(type_of(F.col("token")).alias("type"), dotted(F.col("token")).cast("bigint").alias("period"), "n")
     return typed.filter(F.col("type") != "").groupBy("type").agg(
-        F.sum("period").alias("with_period"), F.sum(1 - F.col("period")).alias("without")
+        F.sum(F.col("n") * F.col("period")).alias("with_period"), F.sum(F.col("n") * (1 - F.col("period"))).alias("without")
     )
 
 
@@ -164,14 +165,18 @@ def split_trained(model: Model):
 
     def sentences(text: Column) -> Column:
         def grouped(pieces: Column) -> Column:
+            # A piece's ends are cut at blanks before other white space is looked for.
             def last(a: Column) -> Column:
-                return F.element_at(tx.tokens_by_space(a), -1)
+                end = F.substring_index(F.regexp_replace(a, rf"{tx.SPACE}+\z", ""), " ", -1)
+                return F.regexp_replace(end, rf"(?s)^.*{tx.SPACE}", "")
 
             def first(b: Column) -> Column:
-                return F.element_at(F.split(b, tx.SPACE + "+", 2), 1)
+                return F.regexp_replace(F.substring_index(b, " ", 1), rf"(?s){tx.SPACE}.*\z", "")
 
-            judged = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 2, F.size(pieces)),
-                                lambda a, b: is_boundary(last(a), first(b), model))
+            def judge(a: Column, b: Column) -> Column:
+                return tx.let(F.array(last(a), first(b)), lambda ends: is_boundary(ends[0], ends[1], model))
+
+            judged = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 2, F.size(pieces)), judge)
             # Begins: the first piece, and each after a boundary; a sentence lasts to the next begin.
             begins = F.concat(F.array(F.lit(1)), F.filter(F.transform(judged, lambda x, i: F.when(x, i + 2)), lambda x: x.isNotNull()))
             ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(pieces) + 1))

@@ -70,7 +70,8 @@ def with_marks(sentences: Column, bos: int | None, eos: int | None) -> Column:
 
 def sentences_of(df: DataFrame, column: str = "text", splitter: Callable[[Column], Column] = tx.split_sentences) -> DataFrame:
     """Texts with content, with their ``sentences``; texts without any are left out."""
-    kept = drop_blank(df, column).withColumn("sentences", splitter(F.col(column)))
+    # Generated rather than projected, so that filters on the sentences do not split the text again.
+    kept = drop_blank(df, column).select("*", F.explode(F.array(splitter(F.col(column)))).alias("sentences"))
     return kept.filter(F.size("sentences") > 0)
 
 

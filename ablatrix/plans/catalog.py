@@ -267,13 +267,20 @@ def strip_system(spark, sf):
 def _reports(spark, sf) -> DataFrame:
     """Documents with a sentence of abbreviations, an initial and a number about their own words at the end."""
     text = F.coalesce("text", F.lit(""))
-    names = F.regexp_extract_all(text, F.lit(r"\p{L}{3,}"), F.lit(0))
-    name = F.coalesce(F.get(names, F.col("doc_id").cast("int") % 5), F.lit("Wren"))
-    told = F.concat(
-        text, F.lit(" Yesterday Dr. "), name, F.lit(" met Prof. J. "), name, F.lit(", i.e. the head. Then 3. place went to approx. "),
-        (F.col("doc_id") % 90).cast("string"), F.lit(" of them. However, "), name, F.lit(" left at 5. However, it rained!"),
-    )
-    return v.documents(spark, sf).select("doc_id", told.alias("text"))
+    # One of a text's first five words of three letters or more, without going through the others.
+    place, name = F.col("doc_id").cast("int") % 5, None
+    for i in range(5):
+        word = F.regexp_extract(text, rf"(?s)\A(?>.*?\p{{L}}{{3,}}+){{{i}}}(?>.*?(\p{{L}}{{3,}}+))", 1)
+        name = F.when(place == i, word) if name is None else name.when(place == i, word)
+
+    def told(name: Column) -> Column:
+        return F.concat(
+            text, F.lit(" Yesterday Dr. "), name, F.lit(" met Prof. J. "), name, F.lit(", i.e. the head. Then 3. place went to approx. "),
+            (F.col("doc_id") % 90).cast("string"), F.lit(" of them. However, "), name, F.lit(" left at 5. However, it rained!"),
+        )
+
+    once = F.array(tx.let(F.coalesce(F.nullif(name, F.lit("")), F.lit("Wren")), told))
+    return v.documents(spark, sf).select("doc_id", F.explode(once).alias("text"))
 
 
 @query
@@ -366,7 +373,7 @@ def segment_sample_two(spark, sf):
 
 @query
 def offsets(spark, sf):
-    return packing.number_segments(v.segments(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
+    return packing.number_segments(v.drawn(spark, sf)).select("doc_id", "draw", "sample_id", "start", "length")
 
 
 @query
