@@ -11,6 +11,9 @@ from ..functions import arrays as ar
 from ..session import null_safe_join, settle, stage
 from .running import id_levels, running_sums
 
+#: Documents whose places the planner may broadcast; the tokens that a partition has when there are more.
+PLACED_ROWS, PARTITION_TOKENS = 1 << 20, 1 << 23
+
 
 def number_segments(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ()) -> DataFrame:
     """Number samples and give each its first token's position, in (key, draw) order: one row per sample.
@@ -31,6 +34,10 @@ def number_segments(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ())
     sums = running_sums(documents, [key, "__row"], id_levels(key), {"__id": F.col("__n"), "__start": F.col("__t")}, by=by)
     places = stage(sums.select("__row", "__id", "__start"), "places")
     kept = [c for c in df.columns if c != "drawn"]
+    # Many documents meet their places in so many partitions that none has to be sorted on disk.
+    if places.count() > PLACED_ROWS:
+        parts = -(-documents.agg(F.sum("__t")).first()[0] // PARTITION_TOKENS)
+        rows, places = (t.repartition(max(df.sparkSession.sparkContext.defaultParallelism, parts), "__row") for t in (rows, places))
     # Told apart by place rather than exploded with their tokens, so that counting reads no tokens.
     numbered = rows.join(places, "__row").select("*", F.posexplode("__before").alias("draw", "__at"))
     segment = F.get("drawn", F.col("draw"))

@@ -12,6 +12,7 @@ import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +31,9 @@ MAX_LOCAL_BYTES = 64 * 2**20
 # Of a larger one, so many frequent entries are, none longer than this.
 FREQUENT = 1 << 16
 MAX_FREQUENT_BYTES = 256
+# Values a worker goes through at a time, whatever a batch holds, and that a partition of a join has.
+SLICE_VALUES = 1 << 18
+PARTITION_VALUES = 1 << 22
 
 TOKEN = rf"{tx.WORD}+|[^\p{{L}}\p{{N}}_{tx.SPACE_BODY}]"
 
@@ -74,7 +78,7 @@ def _encode_in_place(df, vocab, unknown, column, into):
 
     def lookup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids = shipped.value
-        for batch in batches:
+        for batch in _slices(batches, at, MAX_LOCAL_TOKENS):
             sentences = batch.column(at)
             flat = sentences.flatten()
             found = pc.index_in(flat.flatten(), value_set=words)
@@ -90,7 +94,7 @@ def _encode_in_place(df, vocab, unknown, column, into):
 
 def _offsets(lists: pa.Array) -> pa.Array:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 def _leaves(column: pa.Array) -> tuple[list[pa.Array], pa.Array]:
@@ -108,6 +112,24 @@ def _nested(levels: list[pa.Array], values: pa.Array) -> pa.Array:
     return values
 
 
+def _row_ends(levels: list[pa.Array]) -> np.ndarray:
+    """Where the values of each row begin and end among all values."""
+    ends = levels[0].to_numpy()
+    for offsets in levels[1:]:
+        ends = offsets.to_numpy()[ends]
+    return ends
+
+
+def _slices(batches: Iterable[pa.RecordBatch], at: int, most: int = SLICE_VALUES) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of rows with at most ``most`` values in the arrays of a column, or of one row."""
+    for batch in batches:
+        ends, row = _row_ends(_leaves(batch.column(at))[0]), 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def frequent_values(df: DataFrame, column: str, most: int = FREQUENT) -> DataFrame:
     """The values that occur most inside the arrays of a column, as ``v`` and at least so often as ``n`` says.
 
@@ -120,7 +142,7 @@ def frequent_values(df: DataFrame, column: str, most: int = FREQUENT) -> DataFra
 
     def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict = {}
-        for batch in batches:
+        for batch in _slices(batches, 0):
             kind, values = batch.column(0).type, _leaves(batch.column(0))[1]
             if pa.types.is_string(values.type):
                 values = values.filter(pc.less_equal(pc.binary_length(values), MAX_FREQUENT_BYTES))
@@ -146,8 +168,9 @@ def _look_up(df: DataFrame, known: DataFrame, column: str, into: str, default, m
     each distinct one by a join, in which no value is hot any more.
     """
     number = f"__row_{column}"
-    rows = stage(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    often = frequent_values(rows, column, most).select("v").join(known, "v", "left").toArrow()
+    # Whichever values are taken for frequent, the answers are the same: the rows need not be kept for the next pass.
+    often = frequent_values(df, column, most).select("v").join(known, "v", "left").toArrow()
+    rows = df.withColumn(number, F.monotonically_increasing_id())
     shipped = df.sparkSession.sparkContext.broadcast((often["v"].combine_chunks(), pc.fill_null(often["found"], default).combine_chunks()))
     at = rows.columns.index(column)
     kept = [c for c in rows.columns if c != column]
@@ -156,36 +179,39 @@ def _look_up(df: DataFrame, known: DataFrame, column: str, into: str, default, m
     leaf = asked_kind.replace("array<", "").rstrip(">")
     shape = rows.select(*kept).withColumns({
         "__found": F.lit(None).cast(asked_kind.replace(leaf, answer)), "__rare": F.lit(None).cast(f"array<{leaf}>"),
-        "__at": F.lit(None).cast(asked_kind.replace(leaf, "int")),
+        "__at": F.lit(None).cast(asked_kind.replace(leaf, "int")), "__values": F.lit(None).cast("int"),
     }).schema
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, answers = shipped.value
-        for batch in batches:
+        for batch in _slices(batches, at):
             levels, flat = _leaves(batch.column(at))
             place = pc.index_in(flat, value_set=values.cast(flat.type))
             # Rare values are numbered from 1 within their row, each distinct one once.
-            ends = levels[0].to_numpy()
-            for offsets in levels[1:]:
-                ends = offsets.to_numpy()[ends]
-            missing = pc.is_null(place).to_numpy(zero_copy_only=False).nonzero()[0]
-            names, numbers, wanted = flat.take(pa.array(missing)).to_pylist(), [None] * len(flat), [[] for _ in range(batch.num_rows)]
-            row, seen = -1, {}
-            for i, name in zip(missing.tolist(), names):
-                if row < 0 or i >= ends[row + 1]:
-                    row, seen = int(ends.searchsorted(i, side="right")) - 1, {}
-                if name not in seen:
-                    seen[name] = len(seen) + 1
-                    wanted[row].append(name)
-                numbers[i] = seen[name]
+            ends = _row_ends(levels)
+            missing = pc.is_null(place).to_numpy(zero_copy_only=False)
+            at_missing = missing.nonzero()[0]
+            names = flat.take(pa.array(at_missing)).dictionary_encode(null_encoding="encode")
+            row = np.searchsorted(ends, at_missing, side="right") - 1
+            different = max(1, len(names.dictionary))
+            pairs, pair_of = np.unique(row * different + names.indices.to_numpy(), return_inverse=True)
+            first = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * different)
+            numbers = np.zeros(len(flat), np.int32)
+            numbers[at_missing] = pair_of - first[row] + 1
             new = [
-                _nested(levels, answers.take(place)), pa.array(wanted, pa.list_(flat.type)), _nested(levels, pa.array(numbers, pa.int32())),
+                _nested(levels, answers.take(place)),
+                pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.dictionary.take(pa.array(pairs % different))),
+                _nested(levels, pa.array(numbers, mask=~missing)), pa.array(np.diff(ends), pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "__found", "__rare", "__at"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*kept, "__found", "__rare", "__at", "__values"])
 
     looked = stage(rows.mapInArrow(look, shape), "looked")
+    # So many partitions that none has to be sorted on disk, whatever the session's number is.
+    total = looked.agg(F.sum(F.col("__values").cast("bigint"))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_VALUES))
     asked = looked.select(number, F.posexplode("__rare").alias("j", "v")).join(known, "v", "left")
-    answers = asked.groupBy(number).agg(F.array_sort(F.collect_list(F.struct("j", "found"))).alias("__answers"))
+    answers = asked.repartition(parts, number).groupBy(number).agg(F.array_sort(F.collect_list(F.struct("j", "found"))).alias("__answers"))
+    looked = looked.drop("__rare", "__values").repartition(parts, number)
     fallback = F.lit(default).cast(answer)
 
     def fill(found: Column, place: Column, depth: int) -> Column:
@@ -224,7 +250,7 @@ def _decode_in_place(df, vocab, column, into):
 
     def lookup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids = shipped.value
-        for batch in batches:
+        for batch in _slices(batches, at, MAX_LOCAL_TOKENS):
             lists = batch.column(at)
             spelled = words.take(pc.index_in(lists.flatten().cast(pa.int32()), value_set=ids))
             spelled = pa.ListArray.from_arrays(_offsets(lists), pc.fill_null(spelled, ""))

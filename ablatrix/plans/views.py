@@ -112,17 +112,11 @@ def drawn(spark: SparkSession, sf_dir: str, mode: str = "greedy", length: int =
     return corpus.draw_segments(corpus.segments_of(encoded(spark, sf_dir), length, mode), -1)
 
 
-@once("segments")
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All greedily packed segments, stored with their documents."""
-    return stage(drawn(spark, sf_dir), "segments")
-
-
 @once("packed_path")
 def packed_path(spark: SparkSession, sf_dir: str) -> str:
     """Where the packed samples of all documents are written."""
     path = scratch_path(spark, "packed")
-    packed.write_packed(packing.number_segments(segments(spark, sf_dir)), path)
+    packed.write_packed(packing.number_segments(drawn(spark, sf_dir)), path)
     return path
 
 
@@ -134,7 +128,7 @@ def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once("packed_by_source")
 def packed_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packed dataset per document source in one table: (source, ordinal, kind, ...)."""
-    per_source = packing.number_segments(segments(spark, sf_dir), by=["source"])
+    per_source = packing.number_segments(drawn(spark, sf_dir), by=["source"])
     ordinal = F.substring("source", 4, 10).cast("int")
     return stage(
         per_source.select(
