@@ -57,7 +57,11 @@ class Rewrite:
 
 def scramble_options(options: Column) -> Column:
     """Reverse letters in every option; a null option reads as the text ``None``."""
-    return F.transform(options, lambda o: tx.reverse_letters(F.coalesce(o, F.lit("None"))))
+    def scrambled(o: Column) -> Column:
+        # Most options are one word, which is turned without looking for gaps.
+        return F.when(F.rlike(o, F.lit(rf"^{tx.WORD}+\z")), F.reverse(o)).otherwise(tx.reverse_letters(F.coalesce(o, F.lit("None"))))
+
+    return F.transform(options, scrambled)
 
 
 def _deductive(c, q, o):

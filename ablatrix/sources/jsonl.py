@@ -34,10 +34,10 @@ def _entries(line: Column) -> Column:
     def parsed(kind: str) -> Column:
         return tx.let(F.from_json(wrapped, f"array<map<string,{kind}>>"), lambda p: F.when(F.size(p) == 1, F.try_element_at(p, F.lit(1))))
 
-    # Variants tell strings from the rest, but forget how numbers were written; plain texts know that.
-    typed = F.transform(F.map_entries(parsed("variant")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("json")))
-    both = F.zip_with(typed, F.map_values(parsed("string")), lambda e, t: F.struct(
-        e["key"].alias("key"), F.when(F.startswith(e["json"], F.lit('"')), e["json"]).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
+    # Variants tell strings from the rest, but forget how numbers were written; plain texts know that. Only strings are
+    # written again as JSON: a variant writes each element of a list by a generator of its own.
+    both = F.zip_with(F.map_entries(parsed("variant")), F.map_values(parsed("string")), lambda e, t: F.struct(
+        e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"])).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
         t.alias("value"),
     ))
     keys = F.transform(both, lambda e: e["key"])
@@ -48,30 +48,33 @@ def _entries(line: Column) -> Column:
 
 def json_kind(json: Column) -> Column:
     """The first sign of a JSON text, with all numbers as ``0`` and both truth values as ``t``."""
-    sign = F.substring(json, 1, 1)
-    return F.when(sign.isin('"', "[", "{", "n"), sign).when(sign.isin("t", "f"), F.lit("t")).otherwise(F.when(json.isNotNull(), F.lit("0")))
+    return tx.let(F.substring(json, 1, 1), lambda sign: (
+        F.when(sign.isin('"', "[", "{", "n"), sign).when(sign.isin("t", "f"), F.lit("t")).otherwise(F.when(sign.isNotNull(), F.lit("0")))
+    ))
 
 
 def json_text(json: Column, value: Column) -> Column:
     """A JSON value as text: numbers with a fraction or exponent by ``tx.float_text``, ``True``, ``False``."""
-    kind = json_kind(json)
-    return (
+    return tx.let(json_kind(json), lambda kind: (
         F.when(kind == "0", tx.float_text(value))
         .when(kind == "t", F.initcap(value))
         .when(kind != "n", value)
-    )
+    ))
 
 
 def _options(json: Column, value: Column) -> Column:
     """What going through the options gives: the elements of a list, the signs of a text, the keys of an object."""
     kinds = F.transform(F.from_json(value, "array<variant>"), lambda v: F.to_json(v))
-    elements = F.zip_with(kinds, F.from_json(value, "array<string>"), json_text)
+    plain = F.from_json(value, "array<string>")
+    elements = F.zip_with(kinds, plain, json_text)
+    # With its strings taken out, a list of strings alone has no signs left but commas: its elements have no kinds to tell.
+    strings = F.rlike(F.regexp_replace(F.regexp_replace(value, r"(?s)\\.", ""), '"[^"]*+"', ""), F.lit(r"^\[[, \t\r\n]*\]\z"))
     signs = F.filter(F.split(value, ""), lambda c: c != "")
-    return (
-        F.when(json_kind(json) == "[", elements)
-        .when(json_kind(json) == '"', signs)
-        .when(json_kind(json) == "{", F.map_keys(F.from_json(value, "map<string,string>")))
-    )
+    return tx.let(json_kind(json), lambda kind: (
+        F.when(kind == "[", F.when(strings, plain).otherwise(elements))
+        .when(kind == '"', signs)
+        .when(kind == "{", F.map_keys(F.from_json(value, "map<string,string>")))
+    ))
 
 
 def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -160,8 +163,8 @@ def _patched(df: DataFrame) -> Column:
         return F.struct(e["key"].alias("key"), (e["json"] if json is None else json.otherwise(e["json"])).alias("json"))
 
     keys = F.transform("record", lambda e: e["key"])
-    added = F.array(*[F.struct(F.lit(n).alias("key"), _json(df, n).alias("json")) for n in columns])
-    missing = F.filter(added, lambda e: ~F.array_contains(keys, e["key"]))
+    added = F.array(*[F.when(~F.array_contains(keys, F.lit(n)), F.struct(F.lit(n).alias("key"), _json(df, n).alias("json"))) for n in columns])
+    missing = F.filter(added, lambda e: e.isNotNull())
     return _object(F.concat(F.transform("record", new), missing))
 
 
