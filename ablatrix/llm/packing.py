@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, whole
-from .tokenizing import encode_all
+from .common import whole
+from .tokenizing import blocks, encode_all
 
 LENGTH = 2048
 #: Documents per group on average.
@@ -106,8 +106,8 @@ def cut_documents(
                 n: pa.array(v, pa.binary() if n == "ids" else pa.int64()) for n, v in out.items()
             })
 
-        for batch in slices(batches):
-            encoded = encode_all(batch.column(1).to_pylist(), tokenizer)
+        for batch in blocks(batches, text=1):
+            encoded = encode_all(batch.column(1), tokenizer)
             for k, raw, deal in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist()):
                 ids = np.frombuffer(raw + end, "<u4")
                 if kind == "<u2" and int(ids.max()) >> 16:

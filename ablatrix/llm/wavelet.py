@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path
-from .common import slices, whole
-from .tokenizing import encode_all
+from .common import whole
+from .tokenizing import blocks, encode_all
 
 MAGIC = b"WVM1"
 #: Bits between two stored counts of ones.
@@ -195,8 +195,8 @@ def write_shards(
                 "matrix": pa.array([WaveletMatrix.build(ids, bits).to_bytes()], pa.binary()),
             })
 
-        for batch in slices(batches):
-            encoded = encode_all(batch.column(1).to_pylist(), tokenizer)
+        for batch in blocks(batches, text=1):
+            encoded = encode_all(batch.column(1), tokenizer)
             for k, ids in zip(batch.column(0).to_pylist(), encoded):
                 keys.append(k)
                 pieces.append(ids + end)
