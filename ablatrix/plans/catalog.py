@@ -24,6 +24,8 @@ BOUNDARY = {"bos": corpus.BOS_ID, "eos": corpus.EOS_ID}
 CHUNK_FLOOR = 1_000
 WORKERS, BATCH = 3, 4
 TRAIN_LENGTH = 1024
+# Of the files that a query writes only to read them back.
+SCRATCH_CODEC = "lz4"
 
 
 def query(fn: Query) -> Query:
@@ -186,7 +188,7 @@ def abilities_roundtrip(spark, sf):
     """Lines written to a folder per ability and split as the reader expects them, found again and read."""
     lines = _qa_lines(spark, sf).filter("kind <> 'broken'").withColumnRenamed("answer", "ability").withColumn("split", _split())
     root = scratch_path(spark, "datasets")
-    jsonl.write_abilities(jsonl.parse_qa_lines(lines), root)
+    jsonl.write_abilities(jsonl.parse_qa_lines(lines), root, SCRATCH_CODEC)
     back = jsonl.read_abilities(spark, root)
     return back.select("ability", "split", jsonl.qa_line(back).alias("line"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as tx
-from ..session import small_table, typed_nulls
+from ..session import setting, small_table, typed_nulls
 
 # The fields of a QA row, the splits, and the folder that holds them.
 QA_SCHEMA = {
@@ -20,6 +20,8 @@ QA_SCHEMA = {
 }
 SPLITS = ("train", "dev", "test")
 SPLIT_FOLDER = "original"
+# Files a task writes at a time; one that meets more folders sorts the rest of its rows by folder.
+OPEN_FILES = 64
 
 
 def _entries(line: Column) -> Column:
@@ -194,14 +196,19 @@ def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("ability", "split").json(path)
 
 
-def write_qa(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """QA rows as JSON lines, one folder per ability and split, unknown fields kept."""
-    df.select("ability", "split", qa_line(df).alias("value")).write.mode(mode).partitionBy(
-        "ability", "split"
-    ).text(path)
+def write_qa(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """QA rows as JSON lines, one folder per ability and split, unknown fields kept.
+
+    A task keeps a file open per folder, so whole lines are not sorted by folder and spilled. ``compression`` is a codec of
+    Spark's text files, which readers know by the files' endings.
+    """
+    lines = df.select("ability", "split", qa_line(df).alias("value"))
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        writer = lines.write.mode(mode).partitionBy("ability", "split")
+        (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def write_abilities(df: DataFrame, root: str) -> None:
+def write_abilities(df: DataFrame, root: str, compression: str | None = None) -> None:
     """QA rows as ``<ability>/original/<split>.jsonl`` under ``root``, the layout ``read_abilities`` reads.
 
     Each ``.jsonl`` is a folder of files, written in one job under another name and moved folder by folder.
@@ -212,7 +219,7 @@ def write_abilities(df: DataFrame, root: str) -> None:
     path = jvm.org.apache.hadoop.fs.Path
     unescaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     staging = f"{root.rstrip('/')}/_writing-{uuid.uuid4().hex[:12]}"
-    write_qa(df, staging)
+    write_qa(df, staging, compression=compression)
     files = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     moves = []
     for ability in (s.getPath() for s in files.listStatus(path(staging)) if s.isDirectory()):
