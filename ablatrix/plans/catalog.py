@@ -176,7 +176,7 @@ def jsonl_roundtrip(spark, sf):
     """Lines parsed, written by ability and split, and read back: the same to the last sign."""
     lines = _qa_lines(spark, sf).filter("kind <> 'broken'").withColumnRenamed("answer", "ability")
     path = scratch_path(spark, "qa")
-    jsonl.write_qa(jsonl.parse_qa_lines(lines).withColumn("split", F.lit("train")), path)
+    jsonl.write_qa(jsonl.parse_qa_lines(lines).withColumn("split", F.lit("train")), path, compression=SCRATCH_CODEC)
     back = jsonl.read_splits(spark, path)
     return back.select(
         F.get_json_object("extras", "$.item_id").cast("bigint").alias("item_id"), "ability", "split", jsonl.qa_line(back).alias("line")

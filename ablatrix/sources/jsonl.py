@@ -42,8 +42,7 @@ def _entries(line: Column) -> Column:
         e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"])).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
         t.alias("value"),
     ))
-    keys = F.transform(both, lambda e: e["key"])
-    return tx.let(both, lambda es: tx.let(F.reverse(keys), lambda back: F.filter(
+    return tx.let(both, lambda es: tx.let(F.reverse(F.transform(es, lambda e: e["key"])), lambda back: F.filter(
         es, lambda e, i: F.array_position(back, e["key"]) == F.size(es) - i
     )))
 
