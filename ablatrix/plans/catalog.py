@@ -119,13 +119,12 @@ def _split() -> Column:
 
 def _qa_lines(spark, sf) -> DataFrame:
     """QA rows as JSON lines, whole, and of every tenth one a further line of each unusual ``kind``."""
-    items = v.qa_items(spark, sf)
-
-    def json(name: str) -> Column:
-        listed = F.to_json(F.array(name))
-        return F.concat(F.lit(f'"{name}":'), F.substr(listed, F.lit(2), F.length(listed) - 2))
-
-    fields = {n: json(n) for n in ("question_type", "context", "question", "options", "answer", "item_id")}
+    names = ("question_type", "context", "question", "options", "answer", "item_id")
+    # Columns, so that the lines of a row share them.
+    items = v.qa_items(spark, sf).select(
+        "item_id", "answer", *[F.concat(F.lit(f'"{n}":'), jsonl.json_of(F.col(n))).alias(f"__{n}") for n in names]
+    )
+    fields = {n: F.col(f"__{n}") for n in names}
     number = F.col("item_id").cast("string")
 
     def line(**changed: Column | None) -> Column:

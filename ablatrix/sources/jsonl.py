@@ -38,15 +38,60 @@ def _entries(line: Column) -> Column:
 
     # Variants tell strings from the rest, but forget how numbers were written; plain texts know that. Only strings are
     # written again as JSON: a variant writes each element of a list by a generator of its own.
-    both = F.zip_with(F.map_entries(parsed("variant")), F.map_values(parsed("string")), lambda e, t: F.struct(
-        e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"])).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
-        t.alias("value"),
-    ))
-    return tx.let(both, lambda es: tx.let(F.reverse(F.transform(es, lambda e: e["key"])), lambda back: F.filter(
-        es, lambda e, i: F.array_position(back, e["key"]) == F.size(es) - i
+    def by_variants(texts: Column) -> Column:
+        return F.zip_with(F.map_entries(parsed("variant")), F.map_values(texts), lambda e, t: F.struct(
+            e["key"].alias("key"), F.when(F.schema_of_variant(e["value"]) == "STRING", F.to_json(e["value"])).otherwise(F.coalesce(t, F.lit("null"))).alias("json"),
+            t.alias("value"),
+        ))
+
+    # The looks of the texts tell as well, if the members written so are the line: equal texts are read alike. Most lines are
+    # the very text; of others spaces don't count, and numbers and lists are looked for among the strings.
+    def by_looks(texts: Column, line: Column | None = None) -> Column:
+        return F.transform(F.map_entries(texts), lambda e: F.struct(
+            e["key"].alias("key"), _likely_json(e["value"], line).alias("json"), e["value"].alias("value"),
+        ))
+
+    def without_spaces(text: Column) -> Column:
+        return F.replace(text, F.lit(" "), F.lit(""))
+
+    def other(texts: Column) -> Column:
+        return tx.let(without_spaces(line), lambda bare: tx.let(by_looks(texts, bare), lambda es: (
+            F.when(without_spaces(_object(es)) == bare, _last_of_key(es)).otherwise(tx.let(by_variants(texts), _last_of_key))
+        )))
+
+    # What ``let`` returns is copied, so few hand on the long texts.
+    return tx.let(parsed("string"), lambda texts: tx.let(by_looks(texts), lambda es: (
+        F.when(_object(es) == line, _last_of_key(es)).otherwise(other(texts))
     )))
 
 
+def _last_of_key(entries: Column) -> Column:
+    """Of repeated keys the last, at its own place."""
+    keys = F.transform(entries, lambda e: e["key"])
+    last = tx.let(F.reverse(keys), lambda back: F.filter(entries, lambda e, i: F.array_position(back, e["key"]) == F.size(entries) - i))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(entries), entries).otherwise(last)
+
+
+def _likely_json(value: Column, line: Column | None) -> Column:
+    """The JSON that a member's plain text most likely comes from, given the line without spaces or not.
+
+    What holds an object counts as a string here.
+    """
+    listed = F.startswith(value, F.lit("[")) & ~F.contains(value, F.lit("{"))
+    plain = (F.octet_length(value) < 40) & F.rlike(value, F.lit(r"^(?:-?\d{1,18}(?:\.\d{1,18})?|true|false)\z"))
+    unquoted = listed | plain
+    if line is not None:
+        unquoted = unquoted & ~F.contains(line, F.concat(F.lit(':"'), F.when(listed, F.lit("[")).otherwise(F.concat(value, F.lit('"')))))
+    return F.when(value.isNull(), F.lit("null")).when(unquoted, value).otherwise(json_of(value))
+
+
+def json_of(value: Column) -> Column:
+    """A value as JSON text, null included."""
+    # Brackets are taken off as bytes, so that no signs are counted.
+    listed = F.to_json(F.array(value)).cast("binary")
+    return tx.let(listed, lambda b: F.substr(b, F.lit(2), F.octet_length(b) - 2).cast("string"))
+
+
 def json_kind(json: Column) -> Column:
     """The first sign of a JSON text, with all numbers as ``0`` and both truth values as ``t``."""
     return tx.let(F.substring(json, 1, 1), lambda sign: (
@@ -58,7 +103,7 @@ def json_text(json: Column, value: Column) -> Column:
     """A JSON value as text: numbers with a fraction or exponent by ``tx.float_text``, ``True``, ``False``."""
     return tx.let(json_kind(json), lambda kind: (
         F.when(kind == "0", tx.float_text(value))
-        .when(kind == "t", F.initcap(value))
+        .when(kind == "t", F.when(value == "true", F.lit("True")).otherwise(F.lit("False")))
         .when(kind != "n", value)
     ))
 
@@ -66,13 +111,13 @@ def json_text(json: Column, value: Column) -> Column:
 def _options(json: Column, value: Column) -> Column:
     """What going through the options gives: the elements of a list, the signs of a text, the keys of an object."""
     kinds = F.transform(F.from_json(value, "array<variant>"), lambda v: F.to_json(v))
-    plain = F.from_json(value, "array<string>")
-    elements = F.zip_with(kinds, plain, json_text)
-    # With its strings taken out, a list of strings alone has no signs left but commas: its elements have no kinds to tell.
-    strings = F.rlike(F.regexp_replace(F.regexp_replace(value, r"(?s)\\.", ""), '"[^"]*+"', ""), F.lit(r"^\[[, \t\r\n]*\]\z"))
+    # Written again, a list of strings alone is the same text: its elements have no kinds to tell.
+    elements = tx.let(F.from_json(value, "array<string>"), lambda plain: (
+        F.when(F.to_json(plain) == value, plain).otherwise(F.zip_with(kinds, plain, json_text))
+    ))
     signs = F.filter(F.split(value, ""), lambda c: c != "")
     return tx.let(json_kind(json), lambda kind: (
-        F.when(kind == "[", F.when(strings, plain).otherwise(elements))
+        F.when(kind == "[", elements)
         .when(kind == '"', signs)
         .when(kind == "{", F.map_keys(F.from_json(value, "map<string,string>")))
     ))
@@ -88,13 +133,9 @@ def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """
 
     def fields(entries: Column) -> Column:
-        def of(name: str, part: str) -> Column:
-            return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(1))[part]
-
         def column_of(name: str) -> Column:
-            if name == "options":
-                return _options(of(name, "json"), of(name, "value"))
-            return json_text(of(name, "json"), of(name, "value"))
+            member = F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(1))
+            return tx.let(member, lambda e: (_options if name == "options" else json_text)(e["json"], e["value"]))
 
         record = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["json"].alias("json")))
         return F.struct(record.alias("record"), *[column_of(n).alias(n) for n in QA_SCHEMA])
@@ -117,21 +158,10 @@ def parse_qa_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def _object(entries: Column) -> Column:
     """Members as one JSON object."""
-
-    def quoted(text: Column) -> Column:
-        listed = F.to_json(F.array(text))
-        return F.substr(listed, F.lit(2), F.length(listed) - 2)
-
-    members = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"]))
+    members = F.transform(entries, lambda e: F.concat(json_of(e["key"]), F.lit(":"), e["json"]))
     return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
-def _json(df: DataFrame, name: str) -> Column:
-    """A column's value as JSON text, null included."""
-    whole = F.to_json(F.array(F.col(name)))
-    return F.when(F.col(name).isNull(), F.lit("null")).otherwise(F.substr(whole, F.lit(2), F.length(whole) - 2))
-
-
 def qa_line(df: DataFrame) -> Column:
     """One JSON object per row, unknown fields included, text unescaped.
 
@@ -160,11 +190,11 @@ def _patched(df: DataFrame) -> Column:
         json = None
         for n in columns:
             hit = (e["key"] == n) & F.array_contains("written", n)
-            json = F.when(hit, _json(df, n)) if json is None else json.when(hit, _json(df, n))
+            json = F.when(hit, json_of(F.col(n))) if json is None else json.when(hit, json_of(F.col(n)))
         return F.struct(e["key"].alias("key"), (e["json"] if json is None else json.otherwise(e["json"])).alias("json"))
 
     keys = F.transform("record", lambda e: e["key"])
-    added = F.array(*[F.when(~F.array_contains(keys, F.lit(n)), F.struct(F.lit(n).alias("key"), _json(df, n).alias("json"))) for n in columns])
+    added = F.array(*[F.when(~F.array_contains(keys, F.lit(n)), F.struct(F.lit(n).alias("key"), json_of(F.col(n)).alias("json"))) for n in columns])
     missing = F.filter(added, lambda e: e.isNotNull())
     return _object(F.concat(F.transform("record", new), missing))
 
